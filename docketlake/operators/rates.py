@@ -23,8 +23,8 @@ def rolling_event_counts(events: DataFrame, seconds: int = fixed.RATE_WINDOW_SEC
     busy client is spread over many tasks.
     """
     span = max(_SPAN, seconds)
-    counted = events.groupBy("client", "at").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "_us", F.unix_micros("at")
+    counted = events.groupBy("client", "seen_at").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "_us", F.unix_micros("seen_at")
     )
     own = F.floor(F.col("_us") / (span * 1000000))
     reaches_next = F.col("_us") >= (F.col("_own") + 1) * span * 1000000 - seconds * 1000000
@@ -33,7 +33,7 @@ def rolling_event_counts(events: DataFrame, seconds: int = fixed.RATE_WINDOW_SEC
     trailing = W.partitionBy("client", "_slice").orderBy("_us").rangeBetween(-(seconds * 1000000 - 1), 0)
     return (
         placed.withColumn("trailing_count", F.sum("n").over(trailing))
-        .where("_slice = _own").select("client", "at", "n", "trailing_count")
+        .where("_slice = _own").select("client", "seen_at", "n", "trailing_count")
     )
 
 
@@ -105,16 +105,16 @@ def sliding_rate_violations(
     one run after the other.
     """
     keys = ["bucket", "client"]
-    limited = requests.select("request_id", *keys, "at", limit_of(F.col("bucket"), limits).alias("limit"))
-    numbered = cut(quiet_islands(limited.where("limit > 0"), keys, "at", "request_id", seconds))
+    limited = requests.select("request_id", *keys, "seen_at", limit_of(F.col("bucket"), limits).alias("limit"))
+    numbered = cut(quiet_islands(limited.where("limit > 0"), keys, "seen_at", "request_id", seconds))
     run = [*keys, "island"]
     busy = numbered.groupBy(*run, "limit").agg(F.count(F.lit(1)).alias("n")).where("n > limit").select(*run)
     ordered = (
         numbered.join(busy, run, "left_semi")
-        .withColumn("_us", F.unix_micros("at")).drop("at")
+        .withColumn("_us", F.unix_micros("seen_at")).drop("seen_at")
         .repartition(*run).sortWithinPartitions(*run, "_us", "request_id")
     )
     refused = ordered.mapInPandas(
         _limiter(seconds * 1000000), "request_id long, bucket string, client string, _us long"
     )
-    return refused.select("request_id", "bucket", "client", F.timestamp_micros("_us").alias("at"))
+    return refused.select("request_id", "bucket", "client", F.timestamp_micros("_us").alias("seen_at"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docketlake import fixed
 from docketlake.functions.files import extension_of, plain_text
-from docketlake.functions.text import base_name
+from docketlake.functions.text import base_name, quoted
 
 REGISTRY_SCHEMA = (
     "total_documents long, documents_with_expiration long, retention_categories map<string,long>, "
@@ -26,7 +26,7 @@ def read_document_files(
     )
     root = path.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
     # the path column carries the file system's prefix, so the root is searched in it
-    inner = F.substring_index(F.col("path"), F.lit(root), -1)
+    inner = F.regexp_extract("path", f"^.*?{quoted(root)}(.*)$", 1)
     parts = F.split(inner, "/")
     folder = F.when(F.size(parts) > 1, parts[0])
     return (

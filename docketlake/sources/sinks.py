@@ -15,21 +15,27 @@ def write_registry(df: DataFrame, path: str) -> None:
     expiration_tracking(df).write.mode("overwrite").json(f"{path}/expiration_tracking")
 
 
+METADATA_BUCKETS = 64
+
+
 def metadata_rows(analysed: DataFrame) -> DataFrame:
-    """One metadata JSON text per analysed document."""
+    """One metadata JSON text per analysed document, with the bucket of its vendor."""
     fields = [
         "original_name", "vendor", "clean_vendor", "document_type", "execution_status", "date_str",
         "signature_analysis", "date_metadata", "retention_category",
     ]
     extra = [c for c in ("new_filename", "resolved_path") if c in analysed.columns]
     track = tracking_id(F.col("vendor"), F.col("document_type"), F.col("path")).alias("tracking_id")
+    bucket = F.pmod(F.xxhash64("clean_vendor"), F.lit(METADATA_BUCKETS)).alias("vendor_bucket")
     return analysed.where("error is null").select(
-        "clean_vendor", F.to_json(F.struct(*fields, *extra, track)).alias("value")
+        bucket, F.to_json(F.struct(*fields, *extra, track)).alias("value")
     )
 
 
 def write_metadata(analysed: DataFrame, path: str) -> None:
-    metadata_rows(analysed).write.mode("overwrite").partitionBy("clean_vendor").text(path)
+    """Folders by vendor bucket: a reader of one vendor opens one of them, and their
+    number does not grow with the vendors."""
+    metadata_rows(analysed).write.mode("overwrite").partitionBy("vendor_bucket").text(path)
 
 
 def write_pseudo_labels(labels: DataFrame, path: str) -> None:
