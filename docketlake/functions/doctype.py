@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 from docketlake import fixed
-from docketlake.functions.text import any_of, unicode_regex
+from docketlake.functions.text import any_of, let, unicode_regex
 
 _ANY_TYPE = unicode_regex(any_of(p for ps in fixed.TYPE_PATTERNS.values() for p in ps))
 
@@ -22,29 +22,32 @@ def _score(patterns, name: Column, everything: Column) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def with_document_type(
-    df: DataFrame, text: Column, filename: Column, out: str = "document_type"
-) -> DataFrame:
-    """Add the best scoring type; ties go to the type listed first.
+def document_type(text: Column, filename: Column) -> Column:
+    """The best scoring type; ties go to the type listed first.
 
-    The lower-cased haystack and the scores are columns of their own, so each is
-    computed once per row; one combined search spares texts without any hit.
+    One combined search spares texts without any hit the single patterns.
     """
     name = F.regexp_replace(F.lower(F.coalesce(filename, F.lit(""))), "[_-]+", " ")
-    df = df.withColumn("_name", name).withColumn(
-        "_everything", F.lower(F.concat(F.col("_name"), F.lit(" "), F.coalesce(text, F.lit(""))))
-    )
-    scores = F.struct(*[
-        _score(patterns, F.col("_name"), F.col("_everything")).alias(kind)
-        for kind, patterns in fixed.TYPE_PATTERNS.items()
-    ])
-    df = df.withColumn("_scores", F.when(F.col("_everything").rlike(_ANY_TYPE), scores))
+    everything = F.lower(F.concat(name, F.lit(" "), F.coalesce(text, F.lit(""))))
     kinds = list(fixed.TYPE_PATTERNS)
-    best = F.greatest(*[F.col(f"_scores.{k}") for k in kinds])
-    chosen = F.lit(fixed.DEFAULT_TYPE)
-    for kind in reversed(kinds):
-        chosen = F.when((best > 0) & (F.col(f"_scores.{kind}") == best), kind).otherwise(chosen)
-    return df.withColumn(out, chosen).drop("_name", "_everything", "_scores")
+
+    def scores(searched: Column) -> Column:
+        return F.struct(*[
+            _score(patterns, searched["name"], searched["everything"]).alias(kind)
+            for kind, patterns in fixed.TYPE_PATTERNS.items()
+        ])
+
+    def best(score: Column) -> Column:
+        top = F.greatest(*[score[k] for k in kinds])
+        chosen = F.lit(fixed.DEFAULT_TYPE)
+        for kind in reversed(kinds):
+            chosen = F.when((top > 0) & (score[kind] == top), kind).otherwise(chosen)
+        return chosen
+
+    searched = F.struct(name.alias("name"), everything.alias("everything"))
+    return let(searched, lambda s: F.when(
+        s["everything"].rlike(_ANY_TYPE), let(scores(s), best)
+    ).otherwise(fixed.DEFAULT_TYPE))
 
 
 def retention_category(document_type: Column, has_expiration: Column) -> Column:

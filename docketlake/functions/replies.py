@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 from docketlake import fixed
-from docketlake.functions.text import strip
+from docketlake.functions.text import let, strip
 
 _JSON_OPTIONS = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
 
 
 def _json_answer(text: Column) -> Column:
     """Answer struct of a JSON object, null where it is none or names no known type."""
-    fields = F.from_json(F.when(text.startswith("{"), text), "map<string,string>", _JSON_OPTIONS)
+    def answer(fields: Column) -> Column:
+        def value(key: str) -> Column:
+            shown = F.coalesce(F.try_element_at(fields, F.lit(key)), F.lit("None"))
+            return strip(F.when(F.map_contains_key(fields, key), shown).otherwise(""))
 
-    def value(key: str) -> Column:
-        shown = F.coalesce(F.try_element_at(fields, F.lit(key)), F.lit("None"))
-        return strip(F.when(F.map_contains_key(fields, key), shown).otherwise(""))
+        kind = F.upper(value("doc_type"))
+        told = F.struct(kind.alias("doc_type"), value("vendor").alias("vendor"))
+        return F.when(fields.isNotNull() & kind.isin("", *fixed.MODEL_TYPES), told)
 
-    kind = F.upper(value("doc_type"))
-    answer = F.struct(kind.alias("doc_type"), value("vendor").alias("vendor"))
-    return F.when(fields.isNotNull() & kind.isin("", *fixed.MODEL_TYPES), answer)
+    parsed = F.from_json(F.when(text.startswith("{"), text), "map<string,string>", _JSON_OPTIONS)
+    return let(parsed, answer)
 
 
 def _loose_answer(text: Column) -> Column:
@@ -31,19 +33,16 @@ def _loose_answer(text: Column) -> Column:
     return F.struct(known.alias("doc_type"), vendor.alias("vendor"))
 
 
-def with_parsed_reply(df: DataFrame, raw: Column, out: str = "answer") -> DataFrame:
-    """Add ``struct(doc_type, vendor)`` of a reply.
+def parsed_reply(raw: Column) -> Column:
+    """``struct(doc_type, vendor)`` of a reply.
 
     Tried in order: the reply as JSON, the first braces in it, ``key: value`` text.
     """
-    df = df.withColumn("_reply", strip(F.coalesce(raw, F.lit(""))))
-    reply = F.col("_reply")
-    answer = F.coalesce(
+    return let(strip(F.coalesce(raw, F.lit(""))), lambda reply: F.coalesce(
         _json_answer(reply),
         _json_answer(F.regexp_extract(reply, r"\{[^}]*\}", 0)),
         _loose_answer(reply),
-    )
-    return df.withColumn(out, answer).drop("_reply")
+    ))
 
 
 def truncate_prompt(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 MARKED_SPACE = r"(?U)^\s+|\s+$"
@@ -26,6 +28,15 @@ def unicode_regex(pattern: str, flags: str = "") -> str:
     return f"(?{flags}U){pattern}"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used.
+
+    Also when a filter on the result is pushed down and the whole expression is
+    repeated there, ``value`` stays one computation per copy.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def any_of(patterns) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from docketlake import fixed
-from docketlake.functions.replies import with_parsed_reply
+from docketlake.functions.replies import parsed_reply
 
 
 def score_documents(df: DataFrame, factory: Callable[[], Callable[[str], str]]) -> DataFrame:
@@ -38,7 +38,7 @@ def score_documents(df: DataFrame, factory: Callable[[], Callable[[str], str]])
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     replied = df.mapInPandas(run, f"{columns}, reply string")
-    return with_parsed_reply(replied, F.col("reply")).drop("reply")
+    return replied.withColumn("answer", parsed_reply(F.col("reply"))).drop("reply")
 
 
 def detect_on_pages(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from docketlake import fixed
-from docketlake.functions.doctype import with_document_type
+from docketlake.functions.doctype import document_type
 from docketlake.functions.replies import training_target, truncate_prompt
 from docketlake.functions.text import first_filled, strip
 from docketlake.functions.vendors import vendor_from_filename, vendor_from_folder
@@ -29,7 +29,7 @@ def pseudo_labels(
             "vendor", strip(F.coalesce("answer.vendor", F.lit("")))
         ).where("doc_type <> ''").withColumn("is_default", F.lit(False))
     else:
-        labelled = with_document_type(docs, F.col("text"), F.col("original_name"), "doc_type").withColumn(
+        labelled = docs.withColumn("doc_type", document_type(F.col("text"), F.col("original_name"))).withColumn(
             "vendor",
             first_filled(vendor_from_folder(F.col("folder")), vendor_from_filename(F.col("original_name"))),
         ).withColumn("is_default", F.col("doc_type") == fixed.DEFAULT_TYPE)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,9 +19,9 @@ def deadlines(df: DataFrame, as_of: date, days: int = 90) -> DataFrame:
     days = max(1, min(days, 3650))
     today = F.lit(as_of)
     last = F.date_add(today, days)
-    due = F.least(*[F.col(f"{k}_date") for k in _KINDS])
+    any_due = reduce(lambda a, b: a | b, [F.col(f"{k}_date") <= last for k in _KINDS])
     long = (
-        df.where(due <= last)
+        df.where(any_due)
         .select("doc_id", "tenant_id", "vendor", *[F.col(f"{k}_date").alias(k) for k in _KINDS])
         .unpivot(["doc_id", "tenant_id", "vendor"], list(_KINDS), "kind", "due_date")
         .where(F.col("due_date") <= last)

@@ -115,14 +115,15 @@ def throughput_report(jobs: DataFrame, attempts: DataFrame, docs: DataFrame) ->
         F.when(F.col("generated_filename") != "", F.col("generated_filename")),
         F.concat(F.lit("document-"), F.col("document_id")),
     )
-    measured = finished.select(
+    # narrow, and read by every part of the report
+    measured = cut(finished.select(
         "job_id", "status", "created_at", "finished_at",
         F.coalesce("attempt_ms", own_time, F.lit(0)).cast("long").alias("processing_ms"),
         _millis(F.col("finished_at"), F.col("created_at")).cast("long").alias("end_to_end_ms"),
         F.greatest(F.lit(0), F.coalesce(F.col("tries"), F.lit(0)) - 1).alias("retries"),
         F.when(F.col("status") == "completed", identity).alias("result"),
         ((F.col("status") == "completed") & F.col("result_storage_key").isNotNull()).alias("downloadable"),
-    )
+    ))
     drain = (F.unix_micros(F.max("finished_at")) - F.unix_micros(F.min("created_at"))) / 1e6
     successes = F.count_if(F.col("status") == "completed")
     totals = measured.agg(
@@ -199,6 +200,7 @@ def job_lineage(jobs: DataFrame, job_id: int | None = None) -> DataFrame:
         F.when(F.col("_exists"), 1).otherwise(0).cast("long").alias("depth"),
         F.col("_exists").isNull().alias("done"),
     ))
+    slices = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = state.where("not done").count()
     rounds = max(1, left.bit_length()) + 1
     while left and rounds:
@@ -211,7 +213,8 @@ def job_lineage(jobs: DataFrame, job_id: int | None = None) -> DataFrame:
             "job_id", F.col("_next").alias("pointer"), (F.col("depth") + F.col("_more")).alias("depth"),
             F.col("_root_known").alias("done"),
         )
-        state = cut(state.where("done").unionByName(moved))
+        # the union adds up partitions; without this their number grew every round
+        state = cut(state.where("done").unionByName(moved).coalesce(slices))
         left = state.where("not done").count()
         rounds -= 1
     result = state.select(

@@ -71,8 +71,10 @@ def resolve_conflicts(
         F.lit(None).cast(ranked.schema[order].dataType).alias("_tie"),
         F.lit(None).cast(requests.schema["_row"].dataType).alias("_row"),
     )
-    merged = cut(requests.unionByName(blocks))
-    skipped = _with_skips(merged, target)
+    if taken.isEmpty():
+        skipped = requests.withColumn("_skip", F.lit(0).cast("long"))
+    else:
+        skipped = _with_skips(cut(requests.unionByName(blocks)), target)
     numbered = skipped.select(
         target, "_row.*", _numbered(F.col(target), suffix, F.col("_at") + F.col("_skip")).alias(out)
     )

@@ -12,7 +12,7 @@ from docketlake import fixed
 from docketlake.operators.ordered import running_total, slice_borders, slice_count, slice_of
 from docketlake.session import cut
 
-_SPAN = 600  # seconds per time slice
+_SPAN = 300  # seconds per time slice
 
 
 def rolling_event_counts(events: DataFrame, seconds: int = fixed.RATE_WINDOW_SECONDS) -> DataFrame:

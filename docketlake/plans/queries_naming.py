@@ -141,7 +141,7 @@ def naming_plan(d):
 
 @query("process_folders")
 def process_folders(d):
-    docs = d.contracts.select(
+    docs = d.wide.contracts.select(
         "doc_id", "path", "folder", "original_name", "text", F.col("error_message").alias("error")
     )
     return intake.process_folders(docs)

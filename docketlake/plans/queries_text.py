@@ -54,13 +54,14 @@ select *, regexp_replace(lower({name}), '[_-]+', ' ', 'g') as name from {source}
 
 @query("classify_type", _type_check("contracts", "text", "original_name"))
 def classify_type(d: Data):
-    return doctype.with_document_type(d.contracts, F.col("text"), F.col("original_name")).select("doc_id", "document_type")
+    kind = doctype.document_type(F.col("text"), F.col("original_name"))
+    return d.wide.contracts.select("doc_id", kind.alias("document_type"))
 
 
 @query("classify_type_texts", _type_check("documents", "text", "source"))
 def classify_type_texts(d):
-    raw = d.table("documents")
-    return doctype.with_document_type(raw, F.col("text"), F.col("source")).select("doc_id", "document_type")
+    kind = doctype.document_type(F.col("text"), F.col("source"))
+    return d.wide.documents.select("doc_id", kind.alias("document_type"))
 
 
 @query("retention_category", """
@@ -84,7 +85,7 @@ def _score_check(kind: str) -> str:
 def keyword_score(d):
     name, text = F.lower("original_name"), F.lower("text")
     scores = [doctype.keyword_score(name, text, k).cast("long").alias(f"{k}_score") for k in fixed.SCORE_WORDS]
-    return d.contracts.select("doc_id", *scores)
+    return d.wide.contracts.select("doc_id", *scores)
 
 
 # --- signatures ------------------------------------------------------------------------
@@ -108,10 +109,14 @@ found as (select doc_id, list_sort(list_distinct(list_filter(list_transform(
 from (select doc_id, flatten([{', '.join(windows)}]) as windows from (select doc_id, lower(text) as t from {source}) l) w)"""
 
 
+def _signed(df):
+    return df.withColumn("signatures", signatures.signatures(F.col("text")))
+
+
 @query("detect_signatures", "with " + _signature_check("contracts") + """
 select doc_id, cast(len(strings) as bigint) as signature_count, array_to_string(strings, '|') as strings from found""")
 def detect_signatures(d):
-    found = signatures.with_signatures(d.contracts, F.col("text"))
+    found = _signed(d.wide.contracts)
     return found.select(
         "doc_id", F.size("signatures").cast("long").alias("signature_count"),
         F.array_join(F.array_sort("signatures"), "|").alias("strings"),
@@ -121,7 +126,7 @@ def detect_signatures(d):
 @query("detect_signatures_texts", "with " + _signature_check("documents") + """
 select doc_id, cast(len(strings) as bigint) as signature_count from found""")
 def detect_signatures_texts(d):
-    found = signatures.with_signatures(d.table("documents"), F.col("text"))
+    found = _signed(d.wide.documents)
     return found.select("doc_id", F.size("signatures").cast("long").alias("signature_count"))
 
 
@@ -131,7 +136,7 @@ PHRASES = " or ".join(f"contains(lower(text), {_lit(p)})" for p in fixed.HIGH_CO
 @query("classify_status", "with " + _signature_check("contracts") + """
 select doc_id, case when len(strings) > 0 then 'final' else 'supporting' end as execution_status from found""")
 def classify_status(d):
-    found = signatures.with_signatures(d.contracts, F.col("text"))
+    found = _signed(d.wide.contracts)
     status = signatures.execution_status(F.lit(0), F.col("signatures"))
     return found.select("doc_id", status.alias("execution_status"))
 
@@ -170,11 +175,12 @@ from contracts c join found f on f.doc_id = c.doc_id left join rolled r on r.doc
 def signature_analysis(d):
     rolled = visual.signature_rollup(detections(d))
     rolled = rolled.select("doc_id", F.struct(*[c for c in rolled.columns if c != "doc_id"]).alias("seen"))
-    docs = d.contracts.join(rolled, "doc_id", "left").withColumn(
+    docs = d.wide.contracts.join(rolled, "doc_id", "left").withColumn(
         "seen", F.when(F.col("original_name").endswith(".pdf"), F.col("seen"))
     )
-    found = signatures.with_signatures(docs, F.col("text"))
-    full = signatures.with_signature_analysis(found, F.col("text"), visual="seen").withColumn(
+    found = _signed(docs)
+    analysis = signatures.signature_analysis(F.col("text"), F.col("signatures"), F.col("seen"))
+    full = found.withColumn("signature_analysis", analysis).withColumn(
         "routed", signatures.review_status(F.col("signature_analysis.review_required"))
     )
     fields = ("has_signatures", "signature_count", "confidence", "review_required", "detection_source")
@@ -206,7 +212,7 @@ select doc_id, strftime(list_max(list_filter(list_transform(
  regexp_extract_all(text || chr(10) || original_name, {ONE_DATE}, 1), lambda x: {_parse('x')}),
  lambda x: year(x) between 1990 and 2035)), '%Y%m%d') as date_str from contracts""")
 def extract_latest_date(d):
-    return d.contracts.select("doc_id", dates.latest_date(F.col("text"), F.col("original_name")).alias("date_str"))
+    return d.wide.contracts.select("doc_id", dates.latest_date(F.col("text"), F.col("original_name")).alias("date_str"))
 
 
 def _lifecycle(kind: str) -> str:
@@ -222,7 +228,7 @@ KINDS = tuple(fixed.LIFECYCLE_PATTERNS)
 @query("extract_lifecycle_dates", f"""
 select doc_id, {', '.join(_lifecycle(k) for k in KINDS)}, cast(null as varchar) as signature_date from contracts""")
 def extract_lifecycle_dates(d):
-    found = d.contracts.select("doc_id", dates.lifecycle_dates(F.col("text")).alias("found"))
+    found = d.wide.contracts.select("doc_id", dates.lifecycle_dates(F.col("text")).alias("found"))
     return found.select("doc_id", *[iso_date(F.col(f"found.{k}")).alias(k) for k in (*KINDS, "signature_date")])
 
 
@@ -259,12 +265,12 @@ def _region(text: str) -> str:
 
 @query("has_region", f"select doc_id, {_region('text')} as region_found from contracts")
 def has_region(d):
-    return d.contracts.select("doc_id", regions.has_region(F.col("text")).alias("region_found"))
+    return d.wide.contracts.select("doc_id", regions.has_region(F.col("text")).alias("region_found"))
 
 
 @query("has_region_texts", f"select doc_id, {_region('text')} as region_found from documents")
 def has_region_texts(d):
-    return d.table("documents").select("doc_id", regions.has_region(F.col("text")).alias("region_found"))
+    return d.wide.documents.select("doc_id", regions.has_region(F.col("text")).alias("region_found"))
 
 
 def _digest(df, text: str = "text"):
@@ -276,7 +282,7 @@ with kept as (select doc_id, coalesce(string_agg(text, chr(10) order by page_no)
  from doc_pages where page_no <= 5 group by doc_id)
 select doc_id, md5(substr(joined, 1, 5000)) as text_md5, length({_strip('joined')}) < 50 as needs_ocr from kept""")
 def document_text(d):
-    return _digest(pages.document_text(d.doc_pages))
+    return _digest(pages.document_text(d.wide.doc_pages))
 
 
 @query("paragraphs_to_text", """
@@ -289,7 +295,7 @@ def paragraphs_to_text(d):
 select doc_id, md5(string_agg(text || chr(10), '' order by page_no)) as text_md5
 from (select *, row_number() over (partition by doc_id order by page_no desc) as rn from doc_pages) x where rn <= 5 group by doc_id""")
 def tail_pages_text(d):
-    return _digest(pages.tail_pages_text(d.doc_pages), "tail_text")
+    return _digest(pages.tail_pages_text(d.wide.doc_pages), "tail_text")
 
 
 @query("widen_front_pages", f"""
@@ -300,7 +306,7 @@ judged as (select *, text <> '' and ({_region('text')}) as region from steps),
 stops as (select *, row_number() over (partition by doc_id order by s) as rn from judged where s = n or (text <> '' and (region or length(text) >= 200)))
 select doc_id, md5(text) as text_md5, region as region_found, cast(s as bigint) as pages_read from stops where rn = 1""")
 def widen_front_pages(d):
-    return number(_digest(pages.widen_front_pages(d.doc_pages)), "pages_read")
+    return number(_digest(pages.widen_front_pages(d.wide.doc_pages)), "pages_read")
 
 
 # --- vendors ---------------------------------------------------------------------------------------
@@ -412,7 +418,9 @@ with told as (select doc_id, {ANSWER_TYPE} as kind,
 select doc_id, case when kind in ({MODEL}) then kind else '' end as doc_type,
  case when doc_id % 6 in (0, 1) and kind not in ({MODEL}) then '' else vendor end as vendor from told""")
 def parse_model_output(d):
-    return replies.with_parsed_reply(d.replies, F.col("reply")).select("doc_id", "answer.doc_type", "answer.vendor")
+    return d.replies.select("doc_id", replies.parsed_reply(F.col("reply")).alias("answer")).select(
+        "doc_id", "answer.doc_type", "answer.vendor"
+    )
 
 
 @query("truncate_prompt", f"select doc_id, md5({_lit(fixed.MODEL_INSTRUCTION)} || substr(text, 1, 2000)) as prompt_md5 from documents")
@@ -426,25 +434,25 @@ LABELS = f"""labels_made as (select c.doc_id, c.text, t.document_type as doc_typ
 
 @query("pseudo_labels", f"with {LABELS} select doc_id, text, doc_type, vendor, doc_type = 'CONTRACT' as is_default, 'regex' as source from labels_made")
 def pseudo_labels(d):
-    return corpus.pseudo_labels(d.contracts)
+    return corpus.pseudo_labels(d.wide.contracts)
 
 
 @query("pseudo_labels_without_defaults", f"with {LABELS} select doc_id, doc_type, vendor from labels_made where doc_type <> 'CONTRACT' and vendor <> ''")
 def pseudo_labels_without_defaults(d):
-    return corpus.pseudo_labels(d.contracts, exclude_defaults=True, vendor_source="folder").select("doc_id", "doc_type", "vendor")
+    return corpus.pseudo_labels(d.wide.contracts, exclude_defaults=True, vendor_source="folder").select("doc_id", "doc_type", "vendor")
 
 
 @query("write_pseudo_labels", f"with {LABELS} select doc_id, doc_type, vendor, md5(text) as text_md5 from labels_made")
 def write_pseudo_labels(d):
     path = scratch(d.spark, "labels")
-    sinks.write_pseudo_labels(corpus.pseudo_labels(d.contracts), path)
+    sinks.write_pseudo_labels(corpus.pseudo_labels(d.wide.contracts), path)
     return _digest(file_sources.read_pseudo_labels(d.spark, path).select("doc_id", "doc_type", "vendor", "text"))
 
 
 @query("training_pairs", f"""with {LABELS} select doc_id, md5({_lit(fixed.MODEL_INSTRUCTION)} || substr({_strip('text')}, 1, 2000)) as prompt_md5,
  '{{"doc_type": "' || doc_type || '", "vendor": "' || vendor || '"}}' as target from labels_made""")
 def training_pairs(d):
-    pairs = corpus.training_pairs(corpus.pseudo_labels(d.contracts))
+    pairs = corpus.training_pairs(corpus.pseudo_labels(d.wide.contracts))
     return pairs.select("doc_id", F.md5("prompt").alias("prompt_md5"), "target")
 
 
@@ -458,7 +466,7 @@ def train_eval_split(d):
 
 
 def analysed(d: Data, **options):
-    return intake.analyze_documents(d.contracts.select("doc_id", "path", "folder", "original_name", "text"), **options)
+    return intake.analyze_documents(d.wide.contracts.select("doc_id", "path", "folder", "original_name", "text"), **options)
 
 
 @query("analyze_documents", f"""with {_signature_check("contracts")}, {LABELS.replace("where c.text <> ''", "")},
@@ -485,7 +493,7 @@ def analyze_paged_documents(d):
         "doc_id", F.concat(F.lit("/"), "source", F.lit("/"), "doc_id").alias("path"), F.col("source").alias("folder"),
         F.concat("doc_id", F.lit(".pdf")).alias("original_name"),
     )
-    docs = intake.with_page_texts(raw, d.doc_pages)
+    docs = intake.with_page_texts(raw, d.wide.doc_pages)
     return intake.analyze_documents(docs, detections=detections(d)).select(
         "doc_id", "vendor", "document_type", "execution_status", "date_str", "review_status",
         F.col("signature_analysis.detection_source").alias("detection_source"),
@@ -510,7 +518,7 @@ def score_documents(d):
     def factory():
         return lambda text: '{"doc_type": "MSA", "vendor": "Acme"}'
 
-    return score(d.contracts.select("doc_id", "text"), factory).select("doc_id", "answer.doc_type", "answer.vendor")
+    return score(d.wide.contracts.select("doc_id", "text"), factory).select("doc_id", "answer.doc_type", "answer.vendor")
 
 
 @query("detect_on_pages", """
@@ -518,7 +526,7 @@ select doc_id, cast(page_no - 1 as bigint) as page, 0.5::double as confidence fr
 def detect_on_pages(d):
     from docketlake.hooks import detect_on_pages as detect
 
-    images = d.doc_pages.select("doc_id", (F.col("page_no") - 1).alias("page"), F.col("text").cast("binary").alias("image"))
+    images = d.wide.doc_pages.select("doc_id", (F.col("page_no") - 1).alias("page"), F.col("text").cast("binary").alias("image"))
 
     def factory():
         def find(image: bytes):

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docketlake.sources.tables import spread
+
 BASE_TABLES = ("customer", "orders", "lineitem", "events", "documents")
 
 
@@ -306,11 +308,17 @@ _ON_CONTRACTS = ("replies", "patch_columns", "tracked", "files")
 class Data:
     """The given tables of one folder and the views derived from them."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, spread: bool = False):
+        self.spark, self.folder, self._spread = spark, folder.rstrip("/"), spread
+
+    @property
+    def wide(self) -> Data:
+        """The same tables for work that is heavy per row (see ``spread``)."""
+        return Data(self.spark, self.folder, spread=True)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if self._spread and name in ("orders", "documents") else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:

@@ -50,6 +50,17 @@ def load_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a scan to all cores if it has fewer partitions than those.
+
+    Text work costs far more than reading, so a table of one or two files would
+    leave most cores idle.  A large table has enough partitions and is left alone.
+    Meant for plain scans: counting their partitions runs nothing.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def load_jdbc_table(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
     """One table from a database; give partitionColumn and bounds to read in parallel."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
