@@ -7,10 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from docketlake import fixed
-from docketlake.functions.text import any_of, let, unicode_regex
-
-_ANY_TYPE = unicode_regex(any_of(p for ps in fixed.TYPE_PATTERNS.values() for p in ps))
-
+from docketlake.functions.text import let, unicode_regex, where_possible
 
 def _score(patterns, name: Column, everything: Column) -> Column:
     """Hits of each pattern, three times their number where the name has one too."""
@@ -18,15 +15,13 @@ def _score(patterns, name: Column, everything: Column) -> Column:
     for pattern in patterns:
         regex = unicode_regex(pattern)
         weight = F.when(name.rlike(regex), 3).otherwise(1)
-        parts.append(F.regexp_count(everything, F.lit(regex)) * weight)
+        hits = F.regexp_count(everything, F.lit(regex)) * weight
+        parts.append(where_possible(everything, pattern, hits, F.lit(0)))
     return reduce(lambda a, b: a + b, parts)
 
 
 def document_type(text: Column, filename: Column) -> Column:
-    """The best scoring type; ties go to the type listed first.
-
-    One combined search spares texts without any hit the single patterns.
-    """
+    """The best scoring type; ties go to the type listed first."""
     name = F.regexp_replace(F.lower(F.coalesce(filename, F.lit(""))), "[_-]+", " ")
     everything = F.lower(F.concat(name, F.lit(" "), F.coalesce(text, F.lit(""))))
     kinds = list(fixed.TYPE_PATTERNS)
@@ -45,9 +40,7 @@ def document_type(text: Column, filename: Column) -> Column:
         return chosen
 
     searched = F.struct(name.alias("name"), everything.alias("everything"))
-    return let(searched, lambda s: F.when(
-        s["everything"].rlike(_ANY_TYPE), let(scores(s), best)
-    ).otherwise(fixed.DEFAULT_TYPE))
+    return let(let(searched, scores), best)
 
 
 def retention_category(document_type: Column, has_expiration: Column) -> Column:

@@ -15,7 +15,7 @@ def strip(col: Column) -> Column:
 
 
 def null_if_empty(col: Column) -> Column:
-    return F.when(col != "", col)
+    return F.nullif(col, F.lit(""))
 
 
 def first_filled(*cols: Column) -> Column:
@@ -41,6 +41,34 @@ def any_of(patterns) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def leading_literal(pattern: str) -> str:
+    """Plain text that every match of ``pattern`` starts with (maybe none).
+
+    Looking for it costs a small part of a regular expression, so texts without it
+    need not be searched.  For patterns without alternatives at their top level.
+    """
+    rest = pattern.removeprefix(r"(?<!\w)")
+    found = []
+    while rest:
+        char, rest = rest[0], rest[1:]
+        if char == "\\":
+            if rest[:1].isalnum():
+                break
+            char, rest = rest[0], rest[1:]
+        elif char in ".[(|^$)*+?{":
+            break
+        if rest[:1] in ("?", "*", "{"):
+            break
+        found.append(char)
+    return "".join(found)
+
+
+def where_possible(lowered: Column, pattern: str, search: Column, nothing: Column) -> Column:
+    """``search`` where the lower-cased text has the pattern's leading text."""
+    literal = leading_literal(pattern)
+    return F.when(F.contains(lowered, F.lit(literal)), search).otherwise(nothing) if literal else search
+
+
 def quoted(literal: str) -> str:
     return r"\Q" + literal + r"\E"
 

@@ -112,7 +112,7 @@ def sliding_rate_violations(
     ordered = (
         numbered.join(busy, run, "left_semi")
         .withColumn("_us", F.unix_micros("seen_at")).drop("seen_at")
-        .repartition(*run).sortWithinPartitions(*run, "_us", "request_id")
+        .repartition(slice_count(numbered), *run).sortWithinPartitions(*run, "_us", "request_id")
     )
     refused = ordered.mapInPandas(
         _limiter(seconds * 1000000), "request_id long, bucket string, client string, _us long"

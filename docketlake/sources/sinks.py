@@ -34,8 +34,10 @@ def metadata_rows(analysed: DataFrame) -> DataFrame:
 
 def write_metadata(analysed: DataFrame, path: str) -> None:
     """Folders by vendor bucket: a reader of one vendor opens one of them, and their
-    number does not grow with the vendors."""
-    metadata_rows(analysed).write.mode("overwrite").partitionBy("vendor_bucket").text(path)
+    number does not grow with the vendors.  Rebalancing gathers a bucket's rows into
+    few files and splits the bucket of a very large vendor."""
+    rows = metadata_rows(analysed).hint("rebalance", F.col("vendor_bucket"))
+    rows.write.mode("overwrite").partitionBy("vendor_bucket").text(path)
 
 
 def write_pseudo_labels(labels: DataFrame, path: str) -> None:
