@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from docketlake import fixed
-from docketlake.functions.text import let, null_if_empty, strip, unicode_regex
+from docketlake.functions.text import let, null_if_empty, strip, unicode_regex, where_possible
 
 _UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
+def _without(name: Column, suffix: str) -> Column:
+    return let(name, lambda n: where_possible(n, suffix, F.regexp_replace(n, unicode_regex(suffix), ""), n))
+
+
 def normalize_vendor(name: Column) -> Column:
     """Lower case without company suffixes and punctuation."""
+    # one pass each: taking a suffix away can complete a dotted one before it
     out = F.lower(F.coalesce(name, F.lit("")))
     for suffix in fixed.VENDOR_SUFFIX_PATTERNS:
-        out = F.regexp_replace(out, unicode_regex(suffix), "")
+        out = _without(out, suffix)
     out = F.regexp_replace(out, r"(?U)[^\w\s]", " ")
     return strip(F.regexp_replace(out, r"(?U)\s+", " "))
 

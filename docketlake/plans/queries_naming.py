@@ -32,7 +32,7 @@ def enhanced(vendor: str, sequence: str) -> str:
 
 
 def _docs(d: Data):
-    return d.contracts.withColumns({
+    return d.wide.contracts.withColumns({
         "clean_vendor": clean_vendor(F.col("vendor")),
         "document_type": F.coalesce("document_type", F.lit("CONTRACT")),
         "execution_status": F.coalesce("execution_status", F.lit("supporting")),

@@ -372,7 +372,7 @@ EXACT = f"exact as (select {_normal('master_vendor')} as vendor_key, min_by(mast
 with {EXACT} select doc_id, coalesce(exact_vendor, vendor) as matched_vendor, case when exact_vendor is null then 0.0 else 100.0 end::double as match_score
 from contracts left join exact on vendor_key = {_normal('vendor')}""")
 def match_vendors_exact(d):
-    return vendor_jobs.match_vendors(d.contracts, d.vendor_master, fuzzy=False).select(
+    return vendor_jobs.match_vendors(d.wide.contracts, d.vendor_master, fuzzy=False).select(
         "doc_id", "matched_vendor", "match_score"
     )
 
@@ -391,7 +391,7 @@ with named as (select coalesce({FOLDER}, {FILENAME}, '') as vendor, count(*) as
 select vendor, {_normal('vendor')} as vendor_key, {_clean('vendor')} as clean_vendor, documents
 from (select vendor, cast(sum(n) as bigint) as documents from matched group by vendor) m""")
 def vendor_dimension(d):
-    docs = d.contracts.withColumn("model_vendor", F.lit(""))
+    docs = d.wide.contracts.withColumn("model_vendor", F.lit(""))
     return vendor_jobs.vendor_dimension(docs, d.vendor_master, fuzzy=False)
 
 
