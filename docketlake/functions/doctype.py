@@ -7,40 +7,28 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from docketlake import fixed
-from docketlake.functions.text import let, unicode_regex, where_possible
+from docketlake.functions.text import leading_literal, let_sql, raw, unicode_regex
 
-def _score(patterns, name: Column, everything: Column) -> Column:
+def _score(patterns) -> str:
     """Hits of each pattern, three times their number where the name has one too."""
     parts = []
     for pattern in patterns:
-        regex = unicode_regex(pattern)
-        weight = F.when(name.rlike(regex), 3).otherwise(1)
-        hits = F.regexp_count(everything, F.lit(regex)) * weight
-        parts.append(where_possible(everything, pattern, hits, F.lit(0)))
-    return reduce(lambda a, b: a + b, parts)
+        regex = raw(unicode_regex(pattern))
+        hits = f"regexp_count(s.everything, {regex}) * if(s.name rlike {regex}, 3, 1)"
+        parts.append(f"if(contains(s.everything, {raw(leading_literal(pattern))}), {hits}, 0)")
+    return " + ".join(parts)
 
 
 def document_type(text: Column, filename: Column) -> Column:
     """The best scoring type; ties go to the type listed first."""
     name = F.regexp_replace(F.lower(F.coalesce(filename, F.lit(""))), "[_-]+", " ")
     everything = F.lower(F.concat(name, F.lit(" "), F.coalesce(text, F.lit(""))))
-    kinds = list(fixed.TYPE_PATTERNS)
-
-    def scores(searched: Column) -> Column:
-        return F.struct(*[
-            _score(patterns, searched["name"], searched["everything"]).alias(kind)
-            for kind, patterns in fixed.TYPE_PATTERNS.items()
-        ])
-
-    def best(score: Column) -> Column:
-        top = F.greatest(*[score[k] for k in kinds])
-        chosen = F.lit(fixed.DEFAULT_TYPE)
-        for kind in reversed(kinds):
-            chosen = F.when((top > 0) & (score[kind] == top), kind).otherwise(chosen)
-        return chosen
-
     searched = F.struct(name.alias("name"), everything.alias("everything"))
-    return let(let(searched, scores), best)
+    kinds = fixed.TYPE_PATTERNS
+    scores = let_sql(searched, f"s -> named_struct({', '.join(f'{raw(k)}, {_score(p)}' for k, p in kinds.items())})")
+    top = f"greatest({', '.join(f'q.{k}' for k in kinds)})"
+    chain = " ".join(f"when q.{k} = {top} then {raw(k)}" for k in kinds)
+    return let_sql(scores, f"q -> case when {top} = 0 then {raw(fixed.DEFAULT_TYPE)} {chain} end")
 
 
 def retention_category(document_type: Column, has_expiration: Column) -> Column:

@@ -37,6 +37,21 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def let_sql(value: Column, body: str) -> Column:
+    """Like ``let`` with the use written as a SQL lambda (``x -> ...``).
+
+    For expressions of very many parts: one text parses much faster than its parts
+    are built one by one.
+    """
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(body)), 1)
+
+
+def raw(text: str) -> str:
+    """SQL literal in which backslashes mean themselves."""
+    assert "'" not in text
+    return f"r'{text}'"
+
+
 def any_of(patterns) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
