@@ -8,7 +8,7 @@ from docketlake import fixed
 from docketlake.functions.text import iso_date, iso_timestamp
 from docketlake.operators import audit, backfill, corrections, deadlines, documents, registry, relationships
 from docketlake.plans.catalog import AS_OF, AS_OF_TIME, Data, iso, iso_days, number, query, scratch
-from docketlake.sources import sinks, tables
+from docketlake.sources import files, sinks, tables
 
 DATES = ("effective_date", "expiration_date", "renewal_date", "review_date", "termination_date")
 NEWEST = "order by created_at desc, doc_id desc"
@@ -243,6 +243,32 @@ def expiry_report(d):
     return deadlines.expiry_report(d.tracked, AS_OF_TIME)
 
 
+@query("expiry_status", f"""
+select case when {EXPIRES} is null then 'no_expiration' when {EXPIRES} < timestamp '1999-01-01 00:00:00' then 'expired'
+ when {EXPIRES} <= timestamp '1999-01-01 00:00:00' + interval 90 days then 'expiring_soon' else 'active' end as expiration_status,
+ count(*) as documents from tracked group by 1""")
+def expiry_status(d):
+    report = deadlines.expiry_report(d.tracked, AS_OF_TIME)
+    return report.groupBy("expiration_status").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("read_registry", "select tracking_id, vendor, filename, expiration_date, retention_category from tracked where expiration_date is not null")
+def read_registry(d):
+    """Registry files of at most a thousand documents each, written and read back."""
+    listed = d.tracked.where("expiration_date is not null").withColumn(
+        "registry", F.floor(F.regexp_extract("tracking_id", r"(\d+)$", 1).cast("long") / 1000)
+    )
+    entry = F.struct("tracking_id", "vendor", "document_type", "filename", "expiration_date", "retention_category")
+    registries = listed.groupBy("registry").agg(F.collect_list(entry).alias("expiration_tracking"))
+    path = scratch(d.spark, "registries")
+    registries.select(
+        "registry", F.to_json(F.struct(F.size("expiration_tracking").alias("total_documents"), "expiration_tracking")).alias("value")
+    ).write.partitionBy("registry").text(path)
+    return files.read_registry(d.spark, path).select(
+        "tracking_id", "vendor", "filename", "expiration_date", "retention_category"
+    )
+
+
 @query("by_retention_category", f"select {TRACKED} from tracked where lower(retention_category) = 'short_term'")
 def by_retention_category(d):
     return deadlines.by_retention_category(d.tracked, "Short_Term")

@@ -10,7 +10,7 @@ from docketlake.functions.vendors import clean_vendor
 from docketlake.operators import files, intake
 from docketlake.operators import naming as plans
 from docketlake.plans.catalog import Data, number, query, scratch
-from docketlake.plans.queries_text import _clean, _lit
+from docketlake.plans.queries_text import ALL_LABELS, _clean, _lifecycle, _lit, _signature_check
 from docketlake.sources import files as file_sources
 from docketlake.sources import sinks
 
@@ -75,12 +75,17 @@ def format_file_size(d):
     return d.contracts.select("doc_id", naming.format_file_size(F.col("file_size")).alias("size_formatted"))
 
 
-@query("tracking_id")
+@query("tracking_id", """
+select doc_id, vendor || '_' || coalesce(document_type, 'CONTRACT') || '_' ||
+ printf('%04d', cast('0x' || substr(md5(path), 1, 8) as bigint) % 10000) as tracking_id from contracts""")
 def tracking_id(d):
-    return d.contracts.select("doc_id", naming.tracking_id(F.col("vendor"), F.col("document_type"), F.col("path")).alias("tracking_id"))
+    return d.contracts.select("doc_id", naming.tracking_id(
+        F.col("vendor"), F.coalesce("document_type", F.lit("CONTRACT")), F.col("path")
+    ).alias("tracking_id"))
 
 
-SEQUENCED = f"{DOCS}, sequenced as (select *, row_number() over (partition by clean_vendor, document_type order by path) as sequence_id from docs)"
+NUMBERED = "sequenced as (select *, row_number() over (partition by clean_vendor, document_type order by path) as sequence_id from docs)"
+SEQUENCED = f"{DOCS}, {NUMBERED}"
 
 
 @query("assign_sequence_ids", f"with {SEQUENCED} select doc_id, clean_vendor, document_type, sequence_id from sequenced")
@@ -130,7 +135,8 @@ def resolve_conflicts_existing(d):
     return plans.resolve_conflicts(asked, existing=held.union(second))
 
 
-PLANNED = f"""{SEQUENCED}, planned as (select *, {enhanced('clean_vendor', 'sequence_id')} as new_filename from sequenced)"""
+NAMED = f"{NUMBERED}, planned as (select *, {enhanced('clean_vendor', 'sequence_id')} as new_filename from sequenced)"
+PLANNED = f"{DOCS}, {NAMED}"
 
 
 @query("naming_plan", f"""with {PLANNED}
@@ -139,7 +145,24 @@ def naming_plan(d):
     return plans.naming_plan(_docs(d)).select("path", "new_filename", "resolved_path")
 
 
-@query("process_folders")
+FAILED = f"""failed as (select *, '_errors/' || original_name as target_path, row_number() over (partition by original_name order by path) - 1 as copy
+ from contracts where error_message is not null)"""
+
+
+@query("process_folders", f"""with {_signature_check("contracts")}, {ALL_LABELS},
+expiry as (select doc_id, {_lifecycle('expiration_date')} from contracts),
+docs as (select c.doc_id, c.path, c.folder, c.original_name, {_clean('l.vendor')} as clean_vendor, l.doc_type as document_type,
+ case when len(f.strings) > 0 then 'final' else 'supporting' end as execution_status,
+ case when l.doc_type in ('MSA', 'CONTRACT') then case when e.expiration_date is not null then 'long_term' else 'indefinite' end
+ when l.doc_type in ('NDA', 'LICENSE') then 'indefinite' when l.doc_type = 'PO' then 'short_term' when l.doc_type = 'AMD' then 'tied_to_parent' else 'contracts' end as retention_category
+ from contracts c join labels_made l on l.doc_id = c.doc_id join found f on f.doc_id = c.doc_id join expiry e on e.doc_id = c.doc_id
+ where c.error_message is null),
+{NAMED}, {FAILED}
+select doc_id, path, folder || '/' || folder || '_' || execution_status || '/' || new_filename as resolved_path, new_filename,
+ clean_vendor, document_type, execution_status, retention_category, null as error from planned
+union all select doc_id, path, case when copy = 0 then target_path else
+ substr(target_path, 1, length(target_path) - length({EXT.format('target_path')})) || '_conflict' || printf('%02d', copy) || {EXT.format('target_path')} end,
+ null, null, null, null, null, error_message from failed""")
 def process_folders(d):
     docs = d.wide.contracts.select(
         "doc_id", "path", "folder", "original_name", "text", F.col("error_message").alias("error")
@@ -148,7 +171,7 @@ def process_folders(d):
 
 
 @query("publish_results", """
-select doc_id, 'results/' || cast(doc_id as varchar) || '/' || original_name as location, case when status = 'completed' then 1 else 0 end as batch_id from contracts""")
+select doc_id, 'results/' || cast(doc_id as varchar) || '/' || original_name as location, cast(case when status = 'completed' then 1 else 0 end as bigint) as batch_id from contracts""")
 def publish_results(d):
     """Two batches, the second one run twice; the latest row per document counts."""
     path = scratch(d.spark, "published")

@@ -298,13 +298,15 @@ def tail_pages_text(d):
     return _digest(pages.tail_pages_text(d.wide.doc_pages), "tail_text")
 
 
-@query("widen_front_pages", f"""
-with texts as (select doc_id, list(text order by page_no) as texts from doc_pages where page_no <= 7 group by doc_id),
+FRONT = f"""texts as (select doc_id, list(text order by page_no) as texts from doc_pages where page_no <= 7 group by doc_id),
 steps as (select doc_id, s, len(texts) as n, {_strip("array_to_string(list_transform(list_filter(texts[1:s], lambda t: t <> ''), lambda t: t || chr(10)), '')")} as text
  from (select *, unnest(range(least(2, len(texts)), len(texts) + 1)) as s from texts) u),
 judged as (select *, text <> '' and ({_region('text')}) as region from steps),
-stops as (select *, row_number() over (partition by doc_id order by s) as rn from judged where s = n or (text <> '' and (region or length(text) >= 200)))
-select doc_id, md5(text) as text_md5, region as region_found, cast(s as bigint) as pages_read from stops where rn = 1""")
+stops as (select *, row_number() over (partition by doc_id order by s) as rn from judged where s = n or (text <> '' and (region or length(text) >= 200))),
+front as (select doc_id, text, region, s from stops where rn = 1)"""
+
+
+@query("widen_front_pages", f"with {FRONT} select doc_id, md5(text) as text_md5, region as region_found, cast(s as bigint) as pages_read from front")
 def widen_front_pages(d):
     return number(_digest(pages.widen_front_pages(d.wide.doc_pages)), "pages_read")
 
@@ -432,6 +434,9 @@ LABELS = f"""labels_made as (select c.doc_id, c.text, t.document_type as doc_typ
  from contracts c join ({_type_check('contracts', 'text', 'original_name')}) t on t.doc_id = c.doc_id where c.text <> '')"""
 
 
+ALL_LABELS = LABELS.replace("where c.text <> ''", "")
+
+
 @query("pseudo_labels", f"with {LABELS} select doc_id, text, doc_type, vendor, doc_type = 'CONTRACT' as is_default, 'regex' as source from labels_made")
 def pseudo_labels(d):
     return corpus.pseudo_labels(d.wide.contracts)
@@ -469,7 +474,7 @@ def analysed(d: Data, **options):
     return intake.analyze_documents(d.wide.contracts.select("doc_id", "path", "folder", "original_name", "text"), **options)
 
 
-@query("analyze_documents", f"""with {_signature_check("contracts")}, {LABELS.replace("where c.text <> ''", "")},
+@query("analyze_documents", f"""with {_signature_check("contracts")}, {ALL_LABELS},
 expiry as (select doc_id, {_lifecycle('effective_date')}, {_lifecycle('expiration_date')} from contracts)
 select c.doc_id, l.vendor, {_clean('l.vendor')} as clean_vendor, l.doc_type as document_type,
  case when len(f.strings) > 0 then 'final' else 'supporting' end as execution_status, e.effective_date, e.expiration_date,
@@ -486,7 +491,20 @@ def analyze_documents(d):
     )
 
 
-@query("analyze_paged_documents")
+@query("analyze_paged_documents", f"""
+with {FRONT},
+tails as (select doc_id, string_agg(text || chr(10), '' order by page_no) as text
+ from (select *, row_number() over (partition by doc_id order by page_no desc) as rn from doc_pages) x where rn <= 5 group by doc_id),
+{_signature_check("tails")}, {ROLLUP},
+named as (select d.doc_id, d.source, cast(d.doc_id as varchar) || '.pdf' as original_name, f.text from documents d join front f on f.doc_id = d.doc_id)
+select n.doc_id, n.source as vendor, t.document_type,
+ case when r.doc_id is not null or len(found.strings) > 0 then 'final' else 'supporting' end as execution_status,
+ strftime(list_max(list_filter(list_transform(regexp_extract_all(n.text || chr(10) || n.original_name, {ONE_DATE}, 1), lambda x: {_parse('x')}),
+ lambda x: year(x) between 1990 and 2035)), '%Y%m%d') as date_str,
+ case when r.medium_count > 0 and r.high_count = 0 then 'needs_review' else 'not_required' end as review_status,
+ case when r.doc_id is not null then 'rfdetr' when len(found.strings) > 0 then 'regex' else 'none' end as detection_source
+from named n join ({_type_check('named', 'text', 'original_name')}) t on t.doc_id = n.doc_id
+join found on found.doc_id = n.doc_id left join rolled r on r.doc_id = n.doc_id""")
 def analyze_paged_documents(d):
     """Page rows to analysis: front pages for the text, tail pages for signatures."""
     raw = d.table("documents").select(
@@ -500,7 +518,7 @@ def analyze_paged_documents(d):
     )
 
 
-@query("write_metadata", f"""with {LABELS.replace("where c.text <> ''", "")}
+@query("write_metadata", f"""with {ALL_LABELS}
 select {_clean('vendor')} as clean_vendor, doc_type as document_type, count(*) as documents from labels_made group by 1, 2""")
 def write_metadata(d):
     path = scratch(d.spark, "metadata")
