@@ -10,27 +10,39 @@ from docketlake.operators.ordered import running_total
 from docketlake.session import cut
 
 
-def jobs_with_attempts(jobs: DataFrame, attempts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Each job with its attempts in order, their total duration and its document.
+_ATTEMPT = ("attempt_number", "status", "started_at", "finished_at", "duration_ms", "retryable", "error_code")
 
-    ``(job_id, attempt_number)`` is unique and bounded by ``max_attempts``, so the
-    nested list is short; the durations are summed before the shuffle.
-    """
-    history = F.array_sort(F.collect_list(F.struct(
-        "attempt_number", "status", "started_at", "finished_at", "duration_ms", "retryable",
-        "error_code",
-    )))
-    done = attempts.groupBy("job_id").agg(
-        history.alias("attempt_history"), F.sum(F.coalesce("duration_ms", F.lit(0))).alias("duration_ms")
-    )
+
+def _with_document(jobs: DataFrame, docs: DataFrame) -> DataFrame:
     document = docs.select(
         F.col("doc_id").alias("document_id"),
         F.struct("doc_id", "original_name", "document_type", "status").alias("document"),
     )
-    return (
-        jobs.join(done, "job_id", "left").join(document, "document_id", "left")
-        .withColumn("duration_ms", F.coalesce("duration_ms", F.lit(0)))
+    return jobs.join(document, "document_id", "left")
+
+
+def jobs_with_attempts(jobs: DataFrame, attempts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Each job with its document and total duration, one row per attempt (``attempt``).
+
+    Totals are summed before the shuffle.  Attempts drive the join, so a job with
+    very many of them is split like any skewed key; jobs without attempts are added.
+    """
+    spent = attempts.groupBy("job_id").agg(F.sum(F.coalesce("duration_ms", F.lit(0))).alias("duration_ms"))
+    known = _with_document(jobs, docs).join(spent, "job_id", "left")
+    rows = attempts.select("job_id", F.struct(*_ATTEMPT).alias("attempt"))
+    tried = known.where("duration_ms is not null")
+    never = known.where("duration_ms is null").withColumn("duration_ms", F.lit(0).cast("long"))
+    return rows.join(tried, "job_id").unionByName(never, allowMissingColumns=True)
+
+
+def job_detail(jobs: DataFrame, attempts: DataFrame, docs: DataFrame, job_id: int) -> DataFrame:
+    """One job with its document and the list of its attempts, in order."""
+    one = _with_document(jobs.where(F.col("job_id") == job_id), docs)
+    history = attempts.where(F.col("job_id") == job_id).groupBy("job_id").agg(
+        F.array_sort(F.collect_list(F.struct(*_ATTEMPT))).alias("attempt_history"),
+        F.sum(F.coalesce("duration_ms", F.lit(0))).alias("duration_ms"),
     )
+    return one.join(history, "job_id", "left").withColumn("duration_ms", F.coalesce("duration_ms", F.lit(0)))
 
 
 def _long(row: DataFrame) -> DataFrame:

@@ -14,18 +14,33 @@ from docketlake.plans.catalog import Data, iso, number, query
 AS_OF = datetime(1998, 1, 1)
 
 
-@query("jobs_with_attempts", """
-select j.job_id, j.document_id, j.status, cast(coalesce(a.duration_ms, 0) as bigint) as duration_ms, a.history, c.original_name
-from jobs j left join (select job_id, sum(coalesce(duration_ms, 0)) as duration_ms,
- string_agg(cast(attempt_number as varchar) || ':' || status, ',' order by attempt_number) as history from attempts group by job_id) a
- on a.job_id = j.job_id left join contracts c on c.doc_id = j.document_id""")
+SPENT = "(select job_id, sum(coalesce(duration_ms, 0)) as duration_ms from attempts group by job_id)"
+
+
+@query("jobs_with_attempts", f"""
+select j.job_id, j.document_id, j.status, cast(coalesce(s.duration_ms, 0) as bigint) as duration_ms, cast(a.attempt_number as bigint) as attempt_number,
+ a.status as attempt_status, a.duration_ms as attempt_duration_ms, a.retryable, c.original_name
+from jobs j left join {SPENT} s on s.job_id = j.job_id left join attempts a on a.job_id = j.job_id left join contracts c on c.doc_id = j.document_id""")
 def jobs_with_attempts(d: Data):
     full = jobs.jobs_with_attempts(d.jobs, d.attempts, d.contracts)
-    history = F.transform("attempt_history", lambda a: F.concat_ws(":", a["attempt_number"], a["status"]))
     return full.select(
         "job_id", "document_id", "status", "duration_ms",
-        F.when(F.col("attempt_history").isNotNull(), F.array_join(history, ",")).alias("history"),
-        F.col("document.original_name").alias("original_name"),
+        F.col("attempt.attempt_number").cast("long").alias("attempt_number"),
+        F.col("attempt.status").alias("attempt_status"), F.col("attempt.duration_ms").alias("attempt_duration_ms"),
+        "attempt.retryable", "document.original_name",
+    )
+
+
+@query("job_detail", """
+select j.job_id, j.status, cast(a.duration_ms as bigint) as duration_ms, a.history, c.original_name
+from jobs j left join (select job_id, sum(coalesce(duration_ms, 0)) as duration_ms,
+ string_agg(cast(attempt_number as varchar) || ':' || status, ',' order by attempt_number) as history from attempts group by job_id) a
+ on a.job_id = j.job_id left join contracts c on c.doc_id = j.document_id where j.job_id = 26""")
+def job_detail(d):
+    full = jobs.job_detail(d.jobs, d.attempts, d.contracts, 26)
+    history = F.transform("attempt_history", lambda a: F.concat_ws(":", a["attempt_number"], a["status"]))
+    return full.select(
+        "job_id", "status", "duration_ms", F.array_join(history, ",").alias("history"), "document.original_name"
     )
 
 
