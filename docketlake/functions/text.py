@@ -78,12 +78,6 @@ def leading_literal(pattern: str) -> str:
     return "".join(found)
 
 
-def where_possible(lowered: Column, pattern: str, search: Column, nothing: Column) -> Column:
-    """``search`` where the lower-cased text has the pattern's leading text."""
-    literal = leading_literal(pattern)
-    return F.when(F.contains(lowered, F.lit(literal)), search).otherwise(nothing) if literal else search
-
-
 def quoted(literal: str) -> str:
     return r"\Q" + literal + r"\E"
 

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from docketlake import fixed
-from docketlake.functions.text import let, null_if_empty, strip, unicode_regex, where_possible
+from docketlake.functions.text import (
+    leading_literal, let, let_sql, null_if_empty, raw, strip, unicode_regex,
+)
 
 _UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
-def _without(name: Column, suffix: str) -> Column:
-    return let(name, lambda n: where_possible(n, suffix, F.regexp_replace(n, unicode_regex(suffix), ""), n))
+def _without_suffixes(name: Column) -> Column:
+    """One pass per suffix: taking one away can complete a dotted one before it."""
+    steps = "v"
+    for suffix in fixed.VENDOR_SUFFIX_PATTERNS:
+        shorter = f"regexp_replace(n, {raw(unicode_regex(suffix))}, '')"
+        step = f"n -> if(contains(n, {raw(leading_literal(suffix))}), {shorter}, n)"
+        steps = f"element_at(transform(array({steps}), {step}), 1)"
+    return let_sql(name, f"v -> {steps}")
 
 
 def normalize_vendor(name: Column) -> Column:
     """Lower case without company suffixes and punctuation."""
-    # one pass each: taking a suffix away can complete a dotted one before it
-    out = F.lower(F.coalesce(name, F.lit("")))
-    for suffix in fixed.VENDOR_SUFFIX_PATTERNS:
-        out = _without(out, suffix)
+    out = _without_suffixes(F.lower(F.coalesce(name, F.lit(""))))
     out = F.regexp_replace(out, r"(?U)[^\w\s]", " ")
     return strip(F.regexp_replace(out, r"(?U)\s+", " "))
 

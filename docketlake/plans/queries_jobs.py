@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docketlake import fixed
 from docketlake.functions.text import iso_timestamp
 from docketlake.operators import jobs, rates
-from docketlake.plans.catalog import Data, iso, number, query
+from docketlake.plans.catalog import Data, number, query
 
 AS_OF = datetime(1998, 1, 1)
 
