@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from docketlake.session import shared_dir
 
 # Bytes of input a Python worker holds at a time, and rows at most.
-BATCH_BYTES, BATCH_ROWS = 16 << 20, 4000
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4000
 # Word hashes a worker remembers before it starts afresh.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 250_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
