@@ -152,16 +152,19 @@ def repeated_spans(docs: DataFrame, length: int = 35) -> DataFrame:
     if not SEED < length < SEED + 64:
         raise ValueError("length must be 9 to 71 words")
     paths = path_rows(docs, length)
-    several = paths.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # written first: a join of two plain exchanges is one whose hot anchors Spark can split
+    several = stage(paths.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     # edges whose anchor occurs more than once; everything after this is about repeated text only
     edges = stage(path_rows(docs, length).join(several, "anchor", "left_semi"), "edges")
     # one source coordinate stands for all copies of a path
     graph = stage(edges.groupBy("anchor", "path").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tag", "span")).alias("source")), "graph")
-    branching = graph.groupBy("anchor").agg(F.count(F.lit(1)).alias("paths")).where("paths > 1").select("anchor")
+    branching = stage(graph.groupBy("anchor").agg(
+        F.count(F.lit(1)).alias("paths")).where("paths > 1").select("anchor"), "branching")
     opened = stage(opened_windows(docs, graph.join(branching, "anchor", "left_semi").select(
         "anchor", "source.doc_id", "source.tag", "source.span", (F.col("n") > 1).alias("many")), length), "windows")
-    matched = opened.groupBy("anchor", "word_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    matched = stage(opened.groupBy("anchor", "word_hash").agg(
+        F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "matched")
     whole = edges.join(graph.where("n > 1").select("anchor", "path"), ["anchor", "path"], "left_semi").select(
         "doc_id", "tag", "span")
     parts = opened.where("many = 0").join(matched, ["anchor", "word_hash"], "left_semi").select(
