@@ -23,11 +23,13 @@ from __future__ import annotations
 
 import math
 import operator
+import pickle
 import zlib
 from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from docketlake.llm.common import WordHashes, lists, map_batches
@@ -246,14 +248,6 @@ def _drawn(ids: DataFrame, most: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def _collected(features: DataFrame) -> tuple[list, list[np.ndarray], np.ndarray]:
-    rows = features.collect()
-    width = 13 + LANGUAGES + SOURCES
-    words = [np.sort(np.frombuffer(r.words, np.uint64)) for r in rows]
-    meta = np.array([np.frombuffer(r.meta) for r in rows]).reshape(-1, width)
-    return rows, words, meta
-
-
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model:
     """Fit the two views on a bounded sample; documents are the ones in ``docs``."""
     good = F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good")
@@ -263,14 +257,23 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     others = _drawn(ids.join(known, "doc_id", "left_anti"), pool).withColumn("good", F.lit(None).cast("int"))
     # the drawn ids are bounded by the two parameters
     chosen = F.broadcast(sample.unionByName(others))
-    rows, words, meta = _collected(_features(docs.join(chosen.select("doc_id"), "doc_id", "left_semi").dropDuplicates(
-        ["doc_id"])).join(chosen, "doc_id"))
-    order = sorted(range(len(rows)), key=lambda i: rows[i].doc_id)
-    own = [i for i in order if rows[i].good is not None]
-    free = [i for i in order if rows[i].good is None]
-    y = np.array([rows[i].good for i in own], float)
-    held = np.array([zlib.crc32(str(rows[i].doc_id).encode()) % 4 == 0 for i in own], bool)
-    return co_train([words[i] for i in own], meta[own], y, held, [words[i] for i in free], meta[free], rounds)
+    sampled = _features(docs.join(chosen.select("doc_id"), "doc_id", "left_semi").dropDuplicates(
+        ["doc_id"])).join(chosen, "doc_id")
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("doc_id")
+        words = [np.sort(np.frombuffer(w, np.uint64)) for w in group["words"]]
+        meta = np.array([np.frombuffer(m) for m in group["meta"]])
+        own = np.flatnonzero(group["good"].notna())
+        free = np.flatnonzero(group["good"].isna())
+        held = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in group["doc_id"].to_numpy()[own]], bool)
+        model = co_train([words[i] for i in own], meta[own], group["good"].to_numpy(float)[own], held,
+                         [words[i] for i in free], meta[free], rounds)
+        return pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    # the sample is bounded, so one task fits it; the driver only sees the weights
+    fitted = sampled.groupBy(F.lit(0)).applyInPandas(fit, "model binary").first()
+    return pickle.loads(fitted.model) if fitted else Model()
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
