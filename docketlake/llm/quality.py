@@ -272,7 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
         return pd.DataFrame({"model": [pickle.dumps(model)]})
 
     # the sample is bounded, so one task fits it; the driver only sees the weights
-    fitted = sampled.groupBy(F.lit(0)).applyInPandas(fit, "model binary").first()
+    fitted = sampled.groupBy(F.lit("sample")).applyInPandas(fit, "model binary").first()
     return pickle.loads(fitted.model) if fitted else Model()
 
 
