@@ -40,7 +40,7 @@ def _best() -> Column:
 
 
 def find_copies(docs: DataFrame, digest=sha256, salts: int = SALTS) -> DataFrame:
-    """doc_id, digest, keep_id, group_size, kept: one row per row of ``docs``.
+    """doc_id, digest, keep_id, keep_points, group_size, kept: one row per row of ``docs``.
 
     ``digest`` maps the normalised text to the key rows are dealt by.  Texts
     that share a digest are told apart by their content: only for such digests
@@ -65,11 +65,17 @@ def find_copies(docs: DataFrame, digest=sha256, salts: int = SALTS) -> DataFrame
         found = found.unionByName(members.join(shared, "digest", "left_semi").withColumn(
             "content", normalised(F.col("text"))).drop("text").join(winners, ["digest", "content"]).drop("content"))
     return found.select(
-        "doc_id", "digest", F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"),
+        "doc_id", "digest", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("keep_points"), F.col("size").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.col("best.id")).alias("kept"))
 
 
 def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; one row per text and doc_id."""
-    kept = find_copies(docs, salts=salts).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """The rows of ``docs`` that stay, with all their columns; of repeated rows one."""
+    kept = find_copies(docs, salts=salts).where("kept").select(
+        F.col("doc_id").alias("__id"), F.col("digest").alias("__sha"), F.col("keep_points").alias("__size")).distinct()
+    keyed = docs.withColumns({
+        "__digest": sha256(normalised(F.col("text"))), "__points": F.length(F.coalesce("text", F.lit("")))})
+    return keyed.join(
+        kept, keyed["doc_id"].eqNullSafe(kept["__id"]) & (F.col("__digest") == F.col("__sha"))
+        & (F.col("__points") == F.col("__size")), "left_semi",
+    ).dropDuplicates(["doc_id", "__digest"]).select(*docs.columns)
