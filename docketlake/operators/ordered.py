@@ -1,10 +1,10 @@
 """Ranks and running totals inside groups of any size.
 
-A plain window sends a whole group to one task.  That is right while the largest
-group, which is counted first, is a fair load for a task.  Beyond that, groups
-are cut into slices of their sort order, so a group that holds a third of all
-rows is spread over many tasks:  slice totals (one small aggregate) give every slice its start
-value, and a window inside (group, slice) does the rest.
+A plain window sends a whole group to one task.  Here groups are cut into slices
+of their sort order, so a group that holds a third of all rows is spread over
+many tasks: slice totals (one small aggregate) give every slice its start value,
+and a window inside (group, slice) does the rest.  There is one plan for every
+size; a small table merely has one slice.
 
 The slice borders come from a row sample.  They only decide how even the slices
 are: every row is kept, and any borders give the same, exact result.
@@ -12,27 +12,26 @@ are: every row is kept, and any borders give the same, exact result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-TASK_ROWS = 1_000_000  # rows of one group a single task may order
+SLICE_ROWS = 500_000  # rows of one slice, on average
 SAMPLES_PER_SLICE = 32
-MAX_SLICES = 4096
 
 
 def slice_count(df: DataFrame) -> int:
-    return min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_SLICES)
+    """Slices for a table, by its rows."""
+    return df.count() // SLICE_ROWS + 1
 
 
 def slice_borders(df: DataFrame, key: Column, slices: int) -> list:
-    """At most ``slices - 1`` increasing borders of ``key`` (a bounded sample)."""
+    """At most ``slices - 1`` increasing borders of ``key``, from a sample of some SAMPLES_PER_SLICE rows a slice."""
     if slices <= 1:
         return []
-    size = slices * SAMPLES_PER_SLICE
-    sample = (
-        df.select(key.alias("k")).where("k is not null")
-        .orderBy(F.rand(42)).limit(size).toArrow().column("k").to_pylist()
-    )
-    sample.sort()
+    keys = df.select(key.alias("k")).where("k is not null")
+    part = min(1.0, SAMPLES_PER_SLICE / SLICE_ROWS)
+    sample = sorted(keys.sample(part, seed=42).toArrow().column("k").to_pylist())
     step = max(1, len(sample) // slices)
     return sorted(set(sample[step::step]))
 
@@ -60,30 +59,23 @@ def running_total(
 ) -> DataFrame:
     """``sum(value) over (partition by keys order by order)``, rows up to the current one.
 
-    ``keys`` must not be null; rows equal in the whole order share no fixed sequence,
-    so ``order`` should end in a unique column.
+    Null keys form a group of their own.  Rows equal in the whole order share no
+    fixed sequence, so ``order`` should end in a unique column.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= TASK_ROWS:
-        whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(value).over(whole))
     first = F.col(order[0])
-    borders = slice_borders(df, first, slice_count(df))
-    sliced = df.withColumn("_slice", slice_of(first, borders)).withColumn("_value", value)
-    group = [F.col(k) for k in keys] or [F.lit(0)]
+    sliced = df.withColumn("_slice", slice_of(first, slice_borders(df, first, slice_count(df)))).withColumn("_value", value)
     totals = sliced.groupBy(*keys, "_slice").agg(F.sum("_value").alias("_total"))
-    before = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("_slice").rowsBetween(
+        W.unboundedPreceding, -1)
     starts = totals.select(
-        *keys, "_slice", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start")
+        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_slice").alias("_of_slice"),
+        F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"),
     )
     inside = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     summed = sliced.withColumn("_inside", F.sum("_value").over(inside))
-    return (
-        summed.join(starts, [*keys, "_slice"])
-        .withColumn(out, F.col("_start") + F.col("_inside"))
-        .drop("_slice", "_value", "_inside", "_start")
-    )
+    same = reduce(lambda a, b: a & b, [summed[k].eqNullSafe(starts[f"_of_{k}"]) for k in keys],
+                  F.col("_slice").eqNullSafe(F.col("_of_slice")))
+    return summed.join(starts, same).withColumn(out, F.col("_start") + F.col("_inside")).select(*df.columns, out)
 
 
 def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:

@@ -103,17 +103,18 @@ def sliding_rate_violations(
     After a pause as long as the window nothing earlier counts any more, so runs
     between pauses are independent.  Runs with no more requests than the limit
     cannot hold a refusal and never leave the JVM; the others are decided in order,
-    one run after the other.
+    one run after the other.  Requests without a client count as one client, "unknown".
     """
     keys = ["bucket", "client"]
-    limited = requests.select("request_id", *keys, "seen_at", limit_of(F.col("bucket"), limits).alias("limit"))
+    limited = requests.withColumn("client", F.coalesce("client", F.lit(fixed.UNKNOWN_CLIENT))).select(
+        "request_id", *keys, "seen_at", limit_of(F.col("bucket"), limits).alias("limit"))
     numbered = cut(quiet_islands(limited.where("limit > 0"), keys, "seen_at", "request_id", seconds))
     run = [*keys, "island"]
     busy = numbered.groupBy(*run, "limit").agg(F.count(F.lit(1)).alias("n")).where("n > limit").select(*run)
     ordered = (
         numbered.join(busy, run, "left_semi")
         .withColumn("_us", F.unix_micros("seen_at")).drop("seen_at")
-        .repartition(slice_count(numbered), *run).sortWithinPartitions(*run, "_us", "request_id")
+        .repartition(*run).sortWithinPartitions(*run, "_us", "request_id")
     )
     refused = ordered.mapInPandas(
         _limiter(seconds * 1000000), "request_id long, bucket string, client string, _us long"

@@ -11,7 +11,7 @@ def registry_totals(df: DataFrame) -> DataFrame:
     """One row: documents and how many of them expire."""
     return df.agg(
         F.count(F.lit(1)).alias("total_documents"),
-        F.count("expiration_date").alias("documents_with_expiration"),
+        F.count(F.nullif("expiration_date", F.lit(""))).alias("documents_with_expiration"),
     )
 
 
@@ -19,7 +19,7 @@ def registry_rollup(df: DataFrame) -> DataFrame:
     """Totals per retention category, the registry's counters in long form."""
     return df.groupBy(F.coalesce("retention_category", F.lit("unknown")).alias("retention_category")).agg(
         F.count(F.lit(1)).alias("documents"),
-        F.count("expiration_date").alias("documents_with_expiration"),
+        F.count(F.nullif("expiration_date", F.lit(""))).alias("documents_with_expiration"),
     )
 
 

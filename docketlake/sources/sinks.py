@@ -56,18 +56,23 @@ def result_location(doc_id: Column, filename: Column) -> Column:
     return F.concat_ws("/", F.lit("results"), doc_id.cast("string"), name)
 
 
-def publish_results(results: DataFrame, path: str, batch_id: int) -> None:
-    """Publish one batch.
+def publish_results(results: DataFrame, path: str, batch_id: int, stream: str = "batch") -> None:
+    """Publish one batch of a stream.
 
-    A batch owns its folder, so repeating it after a failure replaces what it wrote
-    before and touches nothing else.
+    A stream's batch owns its folder, so repeating it after a failure replaces what
+    it wrote before and touches nothing else.  Streams that publish into one place,
+    and a stream that starts again without its checkpoint, need names of their own.
     """
     located = results.withColumn("location", result_location(F.col("doc_id"), F.col("new_filename")))
-    located.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    located.write.mode("overwrite").parquet(f"{path}/stream={stream}/batch_id={batch_id}")
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
-    """Latest published row per document."""
+    """Latest published row per document: the highest batch, then the last stream by name.
+
+    The version is chosen on the keys alone; only the chosen rows carry their text.
+    """
     rows = spark.read.parquet(path)
-    latest = F.max_by(F.struct(*rows.columns), F.col("batch_id"))
-    return rows.groupBy("doc_id").agg(latest.alias("row")).select("row.*")
+    latest = rows.groupBy("doc_id").agg(F.max(F.struct("batch_id", "stream")).alias("last")).select(
+        "doc_id", "last.batch_id", "last.stream")
+    return rows.join(latest, ["doc_id", "batch_id", "stream"], "left_semi").dropDuplicates(["doc_id"])

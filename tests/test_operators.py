@@ -97,7 +97,7 @@ def request_rows():
 @pytest.mark.parametrize("force_slices", [False, True])
 def test_sliding_limiter(spark, monkeypatch, force_slices):
     if force_slices:
-        monkeypatch.setattr(ordered, "TASK_ROWS", 0)
+        monkeypatch.setattr(ordered, "SLICE_ROWS", 5)
     rows = request_rows()
     limits = {"auth": 3, "upload": 5}
     df = spark.createDataFrame(rows, "request_id long, bucket string, client string, seen_at timestamp")
@@ -163,7 +163,7 @@ def test_nearest_rank(spark, n):
 @pytest.mark.parametrize("force_slices", [False, True])
 def test_max_concurrency(spark, monkeypatch, force_slices):
     if force_slices:
-        monkeypatch.setattr(ordered, "TASK_ROWS", 0)
+        monkeypatch.setattr(ordered, "SLICE_ROWS", 5)
     rnd = random.Random(8)
     base = datetime(2024, 1, 1)
     rows = []

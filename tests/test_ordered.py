@@ -12,7 +12,7 @@ from docketlake.operators import naming as names
 @pytest.fixture
 def sliced(monkeypatch):
     """Make every group too large for a task."""
-    monkeypatch.setattr(ordered, "TASK_ROWS", 0)
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 5)
 
 
 def hot_rows(n=600):
@@ -96,7 +96,7 @@ def brute_conflicts(asked, existing, suffix):
 @pytest.mark.parametrize("force_slices", [False, True])
 def test_conflicts_against_brute_force(spark, monkeypatch, suffix, force_slices):
     if force_slices:
-        monkeypatch.setattr(ordered, "TASK_ROWS", 0)
+        monkeypatch.setattr(ordered, "SLICE_ROWS", 5)
     rnd = random.Random(11)
     targets = ["d/a.pdf", "d/a.pdf", "d/a.pdf", "d/b.pdf", f"d/a{suffix}01.pdf", f"d/a{suffix}03.pdf", "d/noext",
                f"d/a{suffix}001.pdf", f"d/b{suffix}02.pdf"]
@@ -117,3 +117,11 @@ def test_existing_names_move_on(spark):
     assert names.resolve_conflicts(df, existing=held).first()["resolved_path"] == "x/file_conflict02.txt"
     held = spark.createDataFrame([("x/file.txt",), ("x/file_01.txt",)], "target_path string")
     assert names.unique_names(df, existing=held).first()["resolved_path"] == "x/file_02.txt"
+
+
+def test_null_keys_keep_their_rows(spark, sliced):
+    rows = [(None if i % 3 else "a", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, p int")
+    got = {r["p"]: r["rank"] for r in ordered.rank_in_groups(df, ["k"], ["p"], "rank").collect()}
+    want = {p: sum(1 for k2, p2 in rows if k2 == k and p2 <= p) for k, p in rows}
+    assert got == want

