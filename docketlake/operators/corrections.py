@@ -1,11 +1,15 @@
-"""Reviewer corrections: checked, applied and logged as a join.
+"""Reviewer corrections: checked in order, applied and logged.
 
-A correction is one row per document: ``doc_id, seq, reviewer_id, fields`` where
-``fields`` maps field names to texts; only the fields present are changed.
+A correction is one row: ``doc_id, seq, reviewer_id, fields`` where ``fields``
+maps field names to texts; only the fields present are changed.  Corrections of
+a document follow each other by seq, then reviewer, then their fields as JSON.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docketlake import fixed
@@ -48,40 +52,69 @@ def _new_values() -> dict[str, Column]:
     return values
 
 
-def _first_error(values: dict[str, Column]) -> Column:
-    """Message of the first rule a correction breaks, null if none."""
+def _first_error() -> Column:
+    """Message of the first rule that a correction breaks by itself, null if none."""
     rules = []
     for name, (case, domain) in _DOMAINS.items():
         rules.append((_has(name) & ~case(_given(name)).isin("", *domain), f"Invalid {name}"))
     rules.append((F.length(_given("review_notes")) > fixed.MAX_REVIEW_NOTES, "review_notes is too long"))
     for name in _DATES:
         rules.append((_has(name) & (_given(name) != "") & _date(name).isNull(), f"{name} must be YYYY-MM-DD"))
-    rules.append((
-        values["expiration_date"] < values["effective_date"],
-        "expiration_date cannot be before effective_date",
-    ))
     return F.coalesce(*[F.when(broken, message) for broken, message in rules])
 
 
 def _marked() -> Column:
+    """``mark_reviewed`` is set by true (in any case) or 1; every other text leaves the status."""
     return F.lower(_given("mark_reviewed")).isin("true", "1")
 
 
 def checked_corrections(docs: DataFrame, patches: DataFrame) -> DataFrame:
-    """Corrections next to their documents, with the reason of refusal (or null).
+    """Corrections next to the state of their document, with the reason of refusal (or null).
 
-    The first correction of a document in a batch counts; later ones are refused,
-    because they would have to be checked against its result.
+    Each correction is checked against the state that the accepted ones before it
+    have left; ``applied`` numbers the accepted ones of a document.  What a
+    correction says is checked in expressions; only the order of dates needs the
+    state, which passes through a task document by document, one row in memory.
     """
-    first = patches.groupBy("doc_id").agg(F.min("seq").alias("_first"))
-    known = docs.select("doc_id", "tenant_id", *_DOMAINS, "vendor", "review_notes", *_DATES, "review_status")
-    joined = patches.join(first, "doc_id").join(known.withColumn("_known", F.lit(True)), "doc_id", "left")
-    error = (
-        F.when(F.col("_known").isNull(), "Document not found")
-        .when(F.col("seq") != F.col("_first"), "Document already corrected in this batch")
-        .otherwise(_first_error(_new_values()))
-    )
-    return joined.withColumn("error", error).drop("_first", "_known")
+    fields = (*_DOMAINS, "vendor", "review_notes", *_DATES)
+    known = docs.select("doc_id", "tenant_id", *fields, "review_status").withColumn("_known", F.lit(True))
+    patches = patches.withColumn("fields", F.coalesce("fields", F.create_map().cast("map<string,string>")))
+    joined = patches.join(known, "doc_id", "left").withColumns({
+        "error": F.when(F.col("_known").isNull(), "Document not found").otherwise(_first_error()),
+        "applied": F.lit(None).cast("long"), "_marked": _marked(), "_order": F.to_json("fields"),
+        **{f"_new_{name}": value for name, value in _new_values().items()},
+        **{f"_has_{name}": _has(name) for name in fields},
+    }).drop("_known")
+    state_names = (*fields, "review_status")
+
+    def in_order(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, state, applied = object(), {}, 0
+        for batch in source:
+            out = {name: batch.column(name).to_pylist() for name in (*state_names, "error", "applied")}
+            read = {name: batch.column(name).to_pylist() for name in batch.schema.names
+                    if name in ("doc_id", "_marked") or name.startswith(("_new_", "_has_"))}
+            for i, doc_id in enumerate(read["doc_id"]):
+                if doc_id != document:
+                    document, state, applied = doc_id, {n: out[n][i] for n in state_names}, 0
+                for name in state_names:
+                    out[name][i] = state[name]
+                if out["error"][i] is not None:
+                    continue
+                after = {n: read[f"_new_{n}"][i] if read[f"_has_{n}"][i] else state[n] for n in fields}
+                start, end = after["effective_date"], after["expiration_date"]
+                if start is not None and end is not None and end < start:
+                    out["error"][i] = "expiration_date cannot be before effective_date"
+                    continue
+                after["review_status"] = "reviewed" if read["_marked"][i] else state["review_status"]
+                applied += 1
+                state, out["applied"][i] = after, applied
+            yield pa.record_batch(
+                [pa.array(out[f.name], f.type) if f.name in out else batch.column(f.name) for f in batch.schema],
+                names=batch.schema.names)
+
+    ordered = joined.repartition("doc_id").sortWithinPartitions("doc_id", "seq", "reviewer_id", "_order")
+    hidden = [name for name in joined.columns if name.startswith("_")]
+    return ordered.mapInArrow(in_order, joined.schema).drop(*hidden)
 
 
 def rejected_corrections(checked: DataFrame) -> DataFrame:
@@ -127,15 +160,17 @@ def change_log(checked: DataFrame, as_of) -> DataFrame:
 def apply_corrections(docs: DataFrame, checked: DataFrame, as_of) -> DataFrame:
     """All documents, accepted corrections applied."""
     new = _new_values()
-    updates = checked.where("error is null").select(
-        "doc_id", F.lit(True).alias("_patched"), _marked().alias("_marked"), "reviewer_id",
-        *[v.alias(f"_new_{n}") for n, v in new.items()],
+    updates = checked.where("error is null").groupBy("doc_id").agg(
+        F.lit(True).alias("_patched"),
+        F.max_by(F.struct(*[v.alias(n) for n, v in new.items()]), "applied").alias("_new"),
+        F.max_by(F.struct("reviewer_id"), F.when(_marked(), F.col("applied"))).alias("_mark"),
     )
     joined = docs.join(updates, "doc_id", "left")
+    marked = F.col("_mark").isNotNull()
     columns = {
-        name: F.when(F.col("_patched"), F.col(f"_new_{name}")).otherwise(F.col(name)) for name in new
+        name: F.when(F.col("_patched"), F.col(f"_new.{name}")).otherwise(F.col(name)) for name in new
     }
-    columns["review_status"] = F.when(F.col("_marked"), "reviewed").otherwise(F.col("review_status"))
-    columns["reviewed_by_id"] = F.when(F.col("_marked"), F.col("reviewer_id")).otherwise(F.col("reviewed_by_id"))
-    columns["reviewed_at"] = F.when(F.col("_marked"), F.lit(as_of).cast("timestamp")).otherwise(F.col("reviewed_at"))
+    columns["review_status"] = F.when(marked, "reviewed").otherwise(F.col("review_status"))
+    columns["reviewed_by_id"] = F.when(marked, F.col("_mark.reviewer_id")).otherwise(F.col("reviewed_by_id"))
+    columns["reviewed_at"] = F.when(marked, F.lit(as_of).cast("timestamp")).otherwise(F.col("reviewed_at"))
     return joined.withColumns(columns).select(*docs.columns)

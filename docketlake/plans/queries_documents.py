@@ -368,7 +368,7 @@ def audit_log(d):
 # --- corrections and data quality ----------------------------------------------------------
 
 FIELDS = ("document_type", "execution_status", "retention_category", "vendor", "review_notes",
-          "effective_date", "expiration_date", "mark_reviewed")
+          *DATES, "mark_reviewed")
 
 
 def patches(d: Data):
@@ -384,23 +384,35 @@ def _in(values, upper=""):
     return ", ".join(f"'{v}'" for v in ("",) + tuple(values))
 
 
-NEW_EFFECTIVE = "case when p_effective_date is null then effective_date else try_cast(p_effective_date as date) end"
-NEW_EXPIRATION = "case when p_expiration_date is null then expiration_date else try_cast(nullif(p_expiration_date, '') as date) end"
+def _after(field: str) -> str:
+    """State of a field after a correction (SQL)."""
+    given = {"document_type": "nullif(upper(p_document_type), '')", "execution_status": "nullif(lower(p_execution_status), '')",
+             "retention_category": "nullif(lower(p_retention_category), '')", "vendor": "nullif(trim(p_vendor), '')",
+             "review_notes": "p_review_notes"}.get(field, f"try_cast(nullif(p_{field}, '') as date)")
+    return f"case when p_{field} is null then {field} else {given} end"
+
+
+AFTER = {f: _after(f) for f in FIELDS if f != "mark_reviewed"} | {
+    "review_status": "case when p_mark_reviewed = 'true' then 'reviewed' else review_status end",
+    "reviewed_by_id": "case when p_mark_reviewed = 'true' then reviewer_id else reviewed_by_id end"}
+ALSO_OLD = ", ".join(f"{f}, {f} as old_{f}" for f in AFTER)
+NOT_ISO = " ".join(
+    f"when p_{f} <> '' and not regexp_matches(p_{f}, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}$') then '{f} must be YYYY-MM-DD'" for f in DATES)
 CHECKED = f"""
-with first_patch as (select doc_id, min(seq) as first_seq from patch_columns group by doc_id),
-checked as (select p.*, c.doc_id as known_id, c.tenant_id, c.document_type, c.execution_status, c.retention_category, c.vendor,
- c.review_notes, c.effective_date, c.expiration_date, c.review_status, c.reviewed_by_id,
- {NEW_EFFECTIVE} as new_effective, {NEW_EXPIRATION} as new_expiration,
- case when c.doc_id is null then 'Document not found'
- when p.seq <> f.first_seq then 'Document already corrected in this batch'
- when upper(p_document_type) not in ({_in(fixed.DOCUMENT_TYPES)}) then 'Invalid document_type'
+with recursive placed as (select *, row_number() over (partition by doc_id order by seq, reviewer_id) as place,
+ case when upper(p_document_type) not in ({_in(fixed.DOCUMENT_TYPES)}) then 'Invalid document_type'
  when lower(p_execution_status) not in ({_in(fixed.EXECUTION_STATUSES)}) then 'Invalid execution_status'
  when lower(p_retention_category) not in ({_in(fixed.RETENTION_CATEGORIES)}) then 'Invalid retention_category'
- when length(p_review_notes) > 4000 then 'review_notes is too long'
- when p_effective_date <> '' and not regexp_matches(p_effective_date, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}$') then 'effective_date must be YYYY-MM-DD'
- when p_expiration_date <> '' and not regexp_matches(p_expiration_date, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}$') then 'expiration_date must be YYYY-MM-DD'
- when {NEW_EXPIRATION} < {NEW_EFFECTIVE} then 'expiration_date cannot be before effective_date' end as error
- from patch_columns p join first_patch f on f.doc_id = p.doc_id left join contracts c on c.doc_id = p.doc_id)
+ when length(p_review_notes) > 4000 then 'review_notes is too long' {NOT_ISO} end as fault from patch_columns),
+step as (select doc_id, tenant_id, cast(0 as bigint) as place, cast(null as varchar) as error, {ALSO_OLD} from contracts
+ union all
+ select doc_id, tenant_id, place, problem, {", ".join(f"case when problem is null then {new} else {f} end, {f}" for f, new in AFTER.items())}
+ from (select s.* exclude (place, error), p.* exclude (doc_id), coalesce(p.fault, case when {AFTER['expiration_date']} < {AFTER['effective_date']}
+  then 'expiration_date cannot be before effective_date' end) as problem
+  from step s join placed p on p.doc_id = s.doc_id and p.place = s.place + 1) x),
+checked as (select p.*, s.* exclude (doc_id, place, error),
+ case when s.doc_id is null then 'Document not found' else s.error end as error
+ from placed p left join step s on s.doc_id = p.doc_id and s.place = p.place)
 """
 
 
@@ -409,40 +421,28 @@ def rejected_corrections(d):
     return number(corrections.rejected_corrections(corrections.checked_corrections(d.contracts, patches(d))), "seq")
 
 
-def _change(field, new, old=None):
-    old = old or field
-    return f"""select doc_id, tenant_id, reviewer_id, '{field}' as field, cast({old} as varchar) as old_value, cast({new} as varchar) as new_value
+def _change(field):
+    return f"""select doc_id, tenant_id, reviewer_id, '{field}' as field, cast(old_{field} as varchar) as old_value, cast({field} as varchar) as new_value
 from checked where error is null and p_{field} is not null"""
 
 
 @query("correction_changes", CHECKED + " union all ".join([
-    _change("document_type", "nullif(upper(p_document_type), '')"),
-    _change("execution_status", "nullif(lower(p_execution_status), '')"),
-    _change("retention_category", "nullif(lower(p_retention_category), '')"),
-    _change("vendor", "nullif(trim(p_vendor), '')"),
-    _change("review_notes", "p_review_notes"),
-    _change("effective_date", "new_effective"),
-    _change("expiration_date", "new_expiration"),
-    "select doc_id, tenant_id, reviewer_id, 'review_status', review_status, 'reviewed' from checked where error is null and p_mark_reviewed = 'true'",
+    *[_change(f) for f in FIELDS if f != "mark_reviewed"],
+    "select doc_id, tenant_id, reviewer_id, 'review_status', old_review_status, 'reviewed' from checked where error is null and p_mark_reviewed = 'true'",
 ]))
 def correction_changes(d):
     return corrections.correction_changes(corrections.checked_corrections(d.contracts, patches(d)))
 
 
 @query("apply_corrections", CHECKED + f"""
-select c.doc_id,
- case when k.p_document_type is not null then nullif(upper(k.p_document_type), '') else c.document_type end as document_type,
- case when k.p_vendor is not null then nullif(trim(k.p_vendor), '') else c.vendor end as vendor,
- strftime(case when k.doc_id is not null then k.new_expiration else c.expiration_date end, '%Y-%m-%d') as expiration_date,
- case when k.p_mark_reviewed = 'true' then 'reviewed' else c.review_status end as review_status,
- case when k.p_mark_reviewed = 'true' then k.reviewer_id else c.reviewed_by_id end as reviewed_by_id
-from contracts c left join (select * from checked where error is null) k on k.doc_id = c.doc_id""")
+select doc_id, document_type, execution_status, retention_category, vendor, review_notes, {iso_days(*DATES)}, review_status, reviewed_by_id
+from step qualify row_number() over (partition by doc_id order by place desc) = 1""")
 def apply_corrections(d):
     docs = d.contracts
     checked = corrections.checked_corrections(docs, patches(d))
     return corrections.apply_corrections(docs, checked, AS_OF_TIME).select(
-        "doc_id", "document_type", "vendor", iso_date(F.col("expiration_date")).alias("expiration_date"),
-        "review_status", "reviewed_by_id",
+        "doc_id", *[f for f in FIELDS if f not in (*DATES, "mark_reviewed")],
+        *[iso_date(F.col(f)).alias(f) for f in DATES], "review_status", "reviewed_by_id",
     )
 
 

@@ -272,12 +272,20 @@ select doc_id, 1 as seq, doc_id % 20 as reviewer_id,
  case when doc_id % 31 = 0 then repeat('n', 4001) when doc_id % 3 = 1 then 'looks fine' end as p_review_notes,
  case when doc_id % 37 = 0 then '01/02/2003' when doc_id % 4 = 1 then '1998-02-03' end as p_effective_date,
  case when doc_id % 4 = 3 then case doc_id % 8 when 3 then '' else '1990-01-01' end end as p_expiration_date,
- case when doc_id % 9 = 0 then 'true' end as p_mark_reviewed
+ case when doc_id % 9 = 0 then 'true' end as p_mark_reviewed,
+ case when doc_id % 11 = 0 then '2001-02-03' end as p_renewal_date,
+ case when doc_id % 13 = 0 then case doc_id % 26 when 0 then 'soon' else '2002-03-04' end end as p_review_date,
+ case when doc_id % 17 = 0 then '' end as p_termination_date
 from contracts
 union all
-select doc_id, 2 as seq, 1, 'NDA', null, null, null, null, null, null, null from contracts where review_status = 'reviewed'
+select doc_id, 2 as seq, 1, 'NDA', null, null, null, null, null, null, null, null, null, null from contracts where review_status = 'reviewed'
 union all
-select -1 - c_custkey, 1, 1, 'NDA', null, null, null, null, null, null, null from customer"""
+select doc_id, 3, 2, null, null, null, 'Third', null, case when doc_id % 12 = 1 then '2030-01-01' end, '2020-01-01', null, '2003-04-05', null, '2004-05-06'
+from contracts where doc_id % 4 in (1, 2)
+union all
+select doc_id, 3, 5, null, null, null, 'Same place', null, null, '2035-01-01', 'true', null, '2005-06-07', null from contracts where doc_id % 6 = 1
+union all
+select -1 - c_custkey, 1, 1, 'NDA', null, null, null, null, null, null, null, null, null, null from customer"""
 
 
 def _tracked(d) -> str:

@@ -318,6 +318,9 @@ def test_corrections(spark):
         (4, 1, 9, {"review_notes": "n" * 4001}), (5, 1, 9, {"effective_date": "05/01/2024"}),
         (6, 1, 9, {"vendor": "", "expiration_date": ""}), (6, 2, 9, {"vendor": "later"}), (99, 1, 9, {"vendor": "x"}),
         (7, 1, 9, {"execution_status": "supporting"}),
+        # a valid correction after an invalid one; two at one place; one that is wrong only after those before it
+        (3, 2, 8, {"document_type": "NDA"}), (3, 3, 8, {"vendor": "B"}), (3, 3, 7, {"vendor": "A", "mark_reviewed": "1"}),
+        (3, 4, 8, {"expiration_date": "2024-06-01"}), (3, 5, 8, {"effective_date": "2024-07-01"}), (3, 6, 8, None),
     ], "doc_id long, seq int, reviewer_id long, fields map<string,string>")
     now = datetime(2024, 6, 1)
     checked = corrections.checked_corrections(docs, patches)
@@ -325,17 +328,22 @@ def test_corrections(spark):
     assert errors == {
         (2, 1): "expiration_date cannot be before effective_date", (3, 1): "Invalid document_type",
         (4, 1): "review_notes is too long", (5, 1): "effective_date must be YYYY-MM-DD",
-        (6, 2): "Document already corrected in this batch", (99, 1): "Document not found",
+        (99, 1): "Document not found", (3, 5): "expiration_date cannot be before effective_date",
         (7, 1): "Invalid execution_status",
     }
     out = {r["doc_id"]: r for r in corrections.apply_corrections(docs, checked, now).collect()}
     assert len(out) == 7
     assert (out[1]["document_type"], out[1]["vendor"], out[1]["review_status"], out[1]["reviewed_by_id"], out[1]["reviewed_at"]) == (
         "NDA", "New", "reviewed", 9, now)
-    assert out[6]["vendor"] is None and out[2]["expiration_date"] is None and out[3]["document_type"] == "MSA"
-    changes = {(r["doc_id"], r["field"]): (r["old_value"], r["new_value"]) for r in corrections.correction_changes(checked).collect()}
-    assert changes[1, "document_type"] == ("MSA", "NDA") and changes[1, "review_status"] == ("needs_review", "reviewed")
-    assert changes[6, "vendor"] == ("Acme", None) and len(changes) == 5
+    assert out[6]["vendor"] == "later" and out[2]["expiration_date"] is None
+    assert (out[3]["document_type"], out[3]["vendor"], out[3]["expiration_date"], out[3]["effective_date"]) == (
+        "NDA", "B", date(2024, 6, 1), start)
+    assert (out[3]["review_status"], out[3]["reviewed_by_id"]) == ("reviewed", 7)
+    changes = [(r["doc_id"], r["field"], r["old_value"], r["new_value"]) for r in corrections.correction_changes(checked).collect()]
+    assert sorted(c for c in changes if c[0] == 1) == [
+        (1, "document_type", "MSA", "NDA"), (1, "review_status", "needs_review", "reviewed"), (1, "vendor", "Acme", "New")]
+    assert {c for c in changes if c[1] == "vendor" and c[0] != 1} == {
+        (6, "vendor", "Acme", None), (6, "vendor", None, "later"), (3, "vendor", "Acme", "A"), (3, "vendor", "A", "B")}
 
 
 # --- corpus ---------------------------------------------------------------------------------------------
