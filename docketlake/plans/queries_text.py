@@ -197,11 +197,15 @@ def route_review(d):
 
 # --- dates --------------------------------------------------------------------------------
 
-FORMATS = "['%B %-d %Y', '%b %-d %Y', '%-m/%-d/%Y', '%Y/%-m/%-d']"
+FORMATS = "['%B %-d %Y', '%b %-d %Y', '%-d %B %Y', '%-d %b %Y', '%-m/%-d/%Y', '%Y/%-m/%-d']"
 
 
 def _parse(sql: str) -> str:
-    return f"cast(try_strptime(replace(regexp_replace({sql}, ',?\\s+', ' ', 'g'), '-', '/'), {FORMATS}) as date)"
+    plain = f"replace({sql}, '-', '/')"
+    for pattern, left in dates.PLAIN:
+        plain = f"regexp_replace({plain}, {_lit(pattern)}, '{chr(92) + str(left) if isinstance(left, int) else left}', 'g')"
+    return (f"cast(case when regexp_matches({plain}, '^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2}}$') "
+            f"then try_strptime({plain}, '%-m/%-d/%y') else try_strptime({plain}, {FORMATS}) end as date)")
 
 
 ONE_DATE = _lit(f"(?i)(?:^|[^A-Za-z0-9])({dates.DATE_TEXT})")

@@ -95,6 +95,8 @@ class CheckDialect:
 def _contracts(d) -> str:
     day = "cast(o_orderdate as date)"
     expires = d.add_days(day, "365 * (1 + o_orderkey % 5)")
+    form_day = f"cast(1 + o_orderkey % 31 as {d.text})"
+    form_year = f"cast(1988 + o_orderkey % 50 as {d.text})"
     return f"""
 select k.*,
  '/intake/' || folder || '/' || cast(doc_id as {d.text}) || '/' || original_name as path,
@@ -142,6 +144,10 @@ select o_orderkey as doc_id,
   || case o_orderkey % 4 when 0 then 'It automatically renews on ' || {d.iso_date(d.add_days(day, '335'))} || '.' || chr(10) else '' end
   || case o_orderkey % 5 when 0 then 'Subject to review on ' || {d.long_date(d.add_days(day, '180'))} || ';' || chr(10) else '' end
   || case o_orderkey % 11 when 0 then 'The termination date is ' || {d.us_date(d.add_days(day, '400'))} || '.' || chr(10) else '' end
+  || case o_orderkey % 13 when 0 then 'Expiration date: ' || {form_day} || 'th day of March, ' || {form_year} || chr(10)
+   when 1 then 'Renewal date: ' || {form_day} || ' June ' || {form_year} || chr(10) when 2 then 'The termination date is Sept ' || {form_day} || ', ' || {form_year} || chr(10)
+   when 3 then 'Effective date: October ' || {form_day} || 'rd, ' || {form_year} || chr(10) when 4 then 'The termination date is 12/' || {form_day} || '/' || substr({form_year}, 3, 2) || chr(10)
+   when 5 then 'Renewal date: ' || {form_day} || ' Sept ' || {form_year} || chr(10) when 6 then 'Effective date: Feb. ' || {form_day} || ' ' || {form_year} || chr(10) else '' end
   || case o_orderkey % 4 when 0 then 'Digitally signed by Jane Doe' when 1 then 'DocuSign Envelope ID: 12345' when 2 then 'By: ________ Date: ________' else 'Draft for discussion' end
   || case o_orderkey % 10 when 0 then chr(10) || 'Witnessed by: John Roe' || chr(10) || 'Notary Public' when 1 then chr(10) || 'In witness whereof the parties have executed this agreement' when 2 then chr(10) || 'Name: Ann Poe Title: Director Date: May 1 ' else '' end
  end as text
