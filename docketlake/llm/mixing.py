@@ -20,13 +20,15 @@ nothing.  Repeated rows are drawn together; a null doc_id is hashed as ''.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from docketlake.llm.common import stage
 
 MARGINALS = ("source", "lang", "topic")
 # Sweeps over the marginals, and the part of all tokens that is drawn.
 SWEEPS, SHARE = 8, 0.5
+# Cells that one task scales.
+CELLS_PER_TASK = 100_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -60,24 +62,29 @@ def default_target(cells: DataFrame, marginal: str) -> DataFrame:
     return each.select(marginal, (F.col("root") / F.lit(every)).alias("share"))
 
 
-def _scaled(cells: DataFrame, marginal: str, target: DataFrame) -> DataFrame:
-    """Scale the weights so that the marginal meets its target."""
-    factor = cells.groupBy(marginal).agg(F.sum("weight").alias("held")).join(target, marginal).select(
-        marginal, F.when(F.col("held") > 0, F.col("share") / F.col("held")).otherwise(0.0).alias("factor"))
-    return cells.join(factor, marginal, "left").withColumn(
-        "weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor")
-
-
 def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     """Add ``weight`` to cells (source, lang, topic, tokens): token shares that meet the targets.
 
-    Every scaling is written to a table, so plans and lineage stay short.
+    The shares are joined once; a scaling then is one window over the marginal.
+    Every sweep is written to a table, so plans and lineage stay short.
     """
-    cells = cells.withColumn("weight", F.col("tokens").cast("double"))
+    aims = [f"__share_{m}" for m in MARGINALS]
+    for marginal, aim in zip(MARGINALS, aims):
+        cells = cells.join(targets[marginal].withColumnRenamed("share", aim), marginal, "left")
+    cells = stage(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
     for _ in range(SWEEPS):
-        for marginal in MARGINALS:
-            cells = stage(_scaled(cells, marginal, targets[marginal]), "cells")
-    return cells
+        cells = together(cells)
+        for marginal, aim in zip(MARGINALS, aims):
+            held = F.sum("weight").over(Window.partitionBy(marginal))
+            cells = cells.withColumn("weight", F.when(
+                held > 0, F.col("weight") * F.coalesce(aim, F.lit(0.0)) / held).otherwise(0.0))
+        cells = stage(cells, "cells")
+    return cells.drop(*aims)
+
+
+def together(cells: DataFrame) -> DataFrame:
+    """Cells in tasks of CELLS_PER_TASK: the few that most corpora have then need no shuffle."""
+    return cells.coalesce(int(cells.count() // CELLS_PER_TASK) + 1)
 
 
 def factor_for(cells: DataFrame, wanted: float) -> float:
@@ -106,9 +113,9 @@ def rates(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: in
     ``targets`` names a marginal's values and shares; the others get the default.
     """
     rows = stage(measured(docs), "measured")
-    cells = stage(rows.groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("tokens")), "tokens")
+    cells = together(stage(rows.groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("tokens")), "tokens"))
     aims = {m: stage((targets or {}).get(m, default_target(cells, m)), "targets") for m in MARGINALS}
-    filled = rake(cells.where("tokens > 0"), aims).withColumn("ratio", F.col("weight") / F.col("tokens"))
+    filled = together(rake(cells.where("tokens > 0"), aims)).withColumn("ratio", F.col("weight") / F.col("tokens"))
     every = filled.agg(F.sum("tokens")).first()[0] or 0
     factor = factor_for(filled, share * every)
     rated = filled.select(*MARGINALS, "weight", F.least(F.lit(1.0), F.col("ratio") * F.lit(factor)).alias("rate"))
