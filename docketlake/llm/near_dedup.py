@@ -8,7 +8,7 @@ in a crowded region of an order the neighbours are those that agree longest.
 Orders are dealt by range, so a region of any size is spread over many tasks.
 
 Candidates whose compared hashes make the wanted similarity impossible (by over
-four standard deviations) are left out; all others are confirmed on full sets.
+eight standard deviations) are left out; all others are confirmed on full sets.
 First each set confirms its likeliest candidate, then all candidates that are
 not yet in one component.  Equal sets are one node from the start.
 
@@ -152,7 +152,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, tag, n_shingles, component_id, kept: one row per row of ``docs``."""
-    likely = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / (TREES * DEPTH)) ** 0.5
+    likely = percent / 100 - 8 * (percent / 100 * (1 - percent / 100) / (TREES * DEPTH)) ** 0.5
     features = stage(set_features(docs), "features")
     sets = stage(features.where("digest is not null").groupBy("digest").agg(
         F.first("signature").alias("signature"), F.min("doc_id").alias("least"),
