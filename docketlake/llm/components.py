@@ -25,6 +25,15 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(low.withColumnRenamed("low", "b")).distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Every node that is not a root has one link, and that leads to a root."""
+    up, down = F.lit(1).alias("up"), F.lit(0).alias("down")
+    ends = links.select(F.col("a").alias("node"), up, down).unionByName(
+        links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    each = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return each.where("up > 1 or up = 1 and down = 1").agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """node, root of every node in ``links`` (a, b); the root is the smallest node of its component.
 
@@ -33,12 +42,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     """
     ends = stage(links.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    before = None
-    while True:
+    while not _settled(ends):
         ends = stage(_small_star(_large_star(ends)), name)
-        state = tuple(ends.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
     return ends.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         ends.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
