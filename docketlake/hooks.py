@@ -48,8 +48,8 @@ def detect_on_pages(
     """Detections of a visual model, one row each.
 
     ``images``: doc_id, page (absolute, from 0), image.  The callable yields
-    ``(confidence, (x1, y1, x2, y2))``; those below ``threshold`` are left out, and
-    a failing page gives no rows.
+    ``(confidence, (x1, y1, x2, y2))``; those below ``threshold`` are left out.  A
+    failing page gives one row with the error and no detection.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         detect = factory()
@@ -58,16 +58,18 @@ def detect_on_pages(
             for doc_id, page, image in zip(batch["doc_id"], batch["page"], batch["image"]):
                 try:
                     found = list(detect(image))
-                except Exception:
+                except Exception as failure:
+                    rows.append((doc_id, page, None, None, None, source, str(failure)))
                     continue
                 for seq, (confidence, box) in enumerate(found):
                     if confidence >= threshold:
                         rows.append((doc_id, page, seq, round(float(confidence), 4),
-                                     [round(float(v), 2) for v in box], source))
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "seq", "confidence", "bbox", "source"])
+                                     [round(float(v), 2) for v in box], source, None))
+            frame = pd.DataFrame(rows, columns=["doc_id", "page", "seq", "confidence", "bbox", "source", "error"])
+            yield frame.astype({"seq": "Int32", "confidence": "Float64"})
 
     return images.select("doc_id", "page", "image").mapInPandas(
-        run, "doc_id long, page int, seq int, confidence double, bbox array<double>, source string"
+        run, "doc_id long, page int, seq int, confidence double, bbox array<double>, source string, error string"
     )
 
 

@@ -7,23 +7,26 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docketlake.operators.documents import view_columns
+
 _KINDS = ("expiration", "renewal", "review", "termination")
 
 
 def deadlines(df: DataFrame, as_of: date, days: int = 90) -> DataFrame:
     """Deadlines up to ``days`` ahead, overdue ones included.
 
-    The four date columns are unfolded per row; the latest allowed day is checked
+    Each comes with the public fields of its document.  The four date columns are unfolded per row; the latest allowed day is checked
     on the unfolded rows and, as a plain filter, already on the scan.
     """
     days = max(1, min(days, 3650))
     today = F.lit(as_of)
     last = F.date_add(today, days)
     any_due = reduce(lambda a, b: a | b, [F.col(f"{k}_date") <= last for k in _KINDS])
+    shown = view_columns(df)
     long = (
         df.where(any_due)
-        .select("doc_id", "tenant_id", "vendor", *[F.col(f"{k}_date").alias(k) for k in _KINDS])
-        .unpivot(["doc_id", "tenant_id", "vendor"], list(_KINDS), "kind", "due_date")
+        .select(*shown.values(), *[F.col(f"{k}_date").alias(k) for k in _KINDS])
+        .unpivot(list(shown), list(_KINDS), "kind", "due_date")
         .where(F.col("due_date") <= last)
     )
     left = F.datediff(F.col("due_date"), today)

@@ -40,6 +40,11 @@ def _shown(name: str) -> Column:
     return col
 
 
+def view_columns(df: DataFrame) -> dict[str, Column]:
+    """The public fields that ``df`` has, as they are shown."""
+    return {c: _shown(c) for c in _VIEW if c in df.columns}
+
+
 def document_view(df: DataFrame) -> DataFrame:
     """The 31 public fields, dates and times as ISO text."""
     return df.select(*[_shown(c) for c in _VIEW])

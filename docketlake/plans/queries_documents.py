@@ -202,14 +202,14 @@ def error_records(d):
 # --- deadlines, expiry, registry --------------------------------------------------
 
 
-@query("deadlines", """
-select doc_id, tenant_id, vendor, kind, strftime(due_date, '%Y-%m-%d') as due_date,
+@query("deadlines", f"""
+select {VIEW}, kind, strftime(due_date, '%Y-%m-%d') as due_date,
  cast(date_diff('day', date '1999-01-01', due_date) as bigint) as days_remaining, due_date < date '1999-01-01' as overdue,
  case when due_date < date '1999-01-01' then 'overdue' when date_diff('day', date '1999-01-01', due_date) <= 30 then 'soon' else 'later' end as urgency
-from (select doc_id, tenant_id, vendor, 'expiration' as kind, expiration_date as due_date from contracts union all
- select doc_id, tenant_id, vendor, 'renewal', renewal_date from contracts union all
- select doc_id, tenant_id, vendor, 'review', review_date from contracts union all
- select doc_id, tenant_id, vendor, 'termination', termination_date from contracts) x
+from (select *, 'expiration' as kind, expiration_date as due_date from contracts union all
+ select *, 'renewal', renewal_date from contracts union all
+ select *, 'review', review_date from contracts union all
+ select *, 'termination', termination_date from contracts) x
 where due_date <= date '1999-01-01' + 90""")
 def deadline_list(d):
     return number(deadlines.deadlines(d.contracts, AS_OF, 90), "days_remaining").withColumn(

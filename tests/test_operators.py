@@ -15,16 +15,10 @@ from docketlake.operators import corpus, corrections, deadlines, documents, jobs
 
 
 def brute_match(name, masters, normal, threshold=80):
-    if not name or not masters:
-        return name, 0.0
-    best, best_score = name, 0.0
-    for master in masters:
-        score = SequenceMatcher(None, normal[name], normal[master]).ratio() * 100
-        if normal[name] == normal[master]:
-            return master, 100.0
-        if score > best_score and score >= threshold:
-            best, best_score = master, score
-    return best, best_score
+    """The earliest of the masters with the highest score, if that reaches the threshold."""
+    scored = [(SequenceMatcher(None, normal[name], normal[m]).ratio() * 100, -at) for at, m in enumerate(masters)]
+    score, place = max(scored, default=(0.0, 0)) if name else (0.0, 0)
+    return (masters[-place], score) if score and score >= threshold else (name, 0.0)
 
 
 @pytest.mark.parametrize("small_cells", [False, True])

@@ -109,11 +109,17 @@ def test_extractor_and_detector_hooks(spark):
     }
 
     def detector():
-        return lambda image: [(0.34999, (0, 0, 1, 1)), (0.912345, (1.234, 2, 3, 4.567))]
+        def find(image):
+            if image == b"bad":
+                raise ValueError("no image")
+            return [(0.34999, (0, 0, 1, 1)), (0.912345, (1.234, 2, 3, 4.567))]
 
-    images = spark.createDataFrame([(1, 4, b"img")], "doc_id long, page int, image binary")
-    found = hooks.detect_on_pages(images, detector).collect()
-    assert [(r["page"], r["seq"], r["confidence"], r["bbox"]) for r in found] == [(4, 1, 0.9123, [1.23, 2.0, 3.0, 4.57])]
+        return find
+
+    images = spark.createDataFrame([(1, 4, b"img"), (1, 5, b"bad")], "doc_id long, page int, image binary")
+    found = sorted(hooks.detect_on_pages(images, detector).collect(), key=lambda r: r["page"])
+    assert [(r["page"], r["seq"], r["confidence"], r["bbox"], r["error"]) for r in found] == [
+        (4, 1, 0.9123, [1.23, 2.0, 3.0, 4.57], None), (5, None, None, None, "no image")]
 
 
 def test_whole_chain_from_pages(spark):
