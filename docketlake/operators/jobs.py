@@ -81,29 +81,16 @@ def duration_histogram(attempts: DataFrame, buckets=fixed.DURATION_BUCKETS) -> D
 def nearest_rank(df: DataFrame, value: str, fraction: float) -> DataFrame:
     """Exact nearest-rank percentile of a whole-number column; one row, 0 when empty.
 
-    Values are counted first, then located in steps of 1000: the ordered pass sees
-    one row per step, and afterwards only the values of a single step.
+    Values are counted first; the running total over all distinct values is
+    computed slice by slice, not in one task.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(
+    counted = cut(df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(
         F.count(F.lit(1)).alias("n")
-    )
-    steps = counted.groupBy(F.floor(F.col("v") / 1000).alias("step")).agg(F.sum("n").alias("n"))
-    upto = W.orderBy("step").rowsBetween(W.unboundedPreceding, 0)
-    rank = F.least(F.col("total"), F.greatest(F.lit(1), F.floor(F.col("total") * fraction + 0.999)))
-    target = (
-        steps.withColumn("reached", F.sum("n").over(upto))
-        .withColumn("total", F.sum("n").over(W.partitionBy()))
-        .withColumn("rank", rank)
-        .where((F.col("reached") >= F.col("rank")) & (F.col("reached") - F.col("n") < F.col("rank")))
-        .select("step", (F.col("rank") - F.col("reached") + F.col("n")).alias("rank"))
-    )
-    # ``target`` is one row by construction
-    inside = counted.withColumn("step", F.floor(F.col("v") / 1000)).join(F.broadcast(target), "step")
-    upto_value = W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    found = inside.withColumn("reached", F.sum("n").over(upto_value)).where(
-        F.col("reached") >= F.col("rank")
-    )
-    return found.agg(F.coalesce(F.min("v"), F.lit(0)).alias(value))
+    ))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rank = min(total, max(1, int(total * fraction + 0.999)))
+    reached = running_total(counted, [], ["v"], F.col("n"), "reached")
+    return reached.where(F.col("reached") >= rank).agg(F.coalesce(F.min("v"), F.lit(0)).alias(value))
 
 
 def _millis(later: Column, earlier: Column) -> Column:
