@@ -12,9 +12,16 @@ eight standard deviations) are left out; all others are confirmed on full sets.
 First each set confirms its likeliest candidate, then all candidates that are
 not yet in one component.  Equal sets are one node from the start.
 
-A link of similarity 0.85 between two sets that few others resemble is missed
-with a probability of 0.15 ** TREES, about 1e-10; a pair that meets at the
-border of two ranges in one order meets in the others.
+A set is crowded in an order if sets beyond its NEIGHBOURS share its first value
+there, or if the border of a range hides whether they do.  Pairs of sets that
+are crowded in over SPARE orders are found by an exact prefix join instead: if
+all shingles are put in one order, rare ones first, two similar sets share one
+so early in both that enough can follow.  Pairs already in one component are
+left out of it.
+
+A link of similarity 0.85 is thus missed only between sets of which one is
+crowded in SPARE orders at most, with a probability of 0.15 ** (TREES - SPARE),
+about 6e-9, at most.
 
 Rows: without words or text a document has an empty set, is linked with nothing
 and is kept.  Repeated rows are equal sets.  A null doc_id is never the smallest
@@ -27,17 +34,25 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from docketlake.llm.common import (
-    WordHashes, gram_hashes, lists, map_batches, row_tag, stage, u64, utf8, words_of,
+    WordHashes, gram_hashes, lists, map_batches, row_tag, signed, stage, u64, utf8, words_of,
 )
 from docketlake.llm.components import components
 
 SHINGLE, TREES, DEPTH, NEIGHBOURS = 5, 12, 6, 6
 ROWS_PER_RANGE = 20_000
+# Orders in which a set may be crowded without being given to the exact join.
+SPARE = 2
+# Counters of shingles that put rare ones first (they decide the work, not the result), and their rows.
+BUCKETS, BUCKET_ROWS = 1 << 20, 256
+SETS_PER_TASK = 5_000
+# Sets of one shingle that the exact join compares at a time.
+BLOCK = 500
 _hashes = WordHashes()
 # Odd multipliers, one for each minimum hash.
 _factors = [
@@ -84,7 +99,10 @@ def set_features(docs: DataFrame) -> DataFrame:
 
 
 def candidates(sets: DataFrame, likely: float) -> DataFrame:
-    """a, b (digests, a < b) and alike: neighbours in at least one of the orders."""
+    """a, b (digests, a < b) and alike: neighbours in at least one of the orders.
+
+    A row without b says that the set a is crowded in ``alike`` orders.
+    """
     count = sets.count() * TREES
     width = DEPTH * 4
     # one byte of every minimum hash, to judge a pair by all of them
@@ -94,8 +112,13 @@ def candidates(sets: DataFrame, likely: float) -> DataFrame:
     ordered = map_batches(ordered, _sketched, "tree int, label binary, digest binary, sketch binary")
     ordered = ordered.repartitionByRange(int(count // ROWS_PER_RANGE) + 1, "tree", "label", "digest")
 
+    def crowd(digests: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(digests.tolist(), pa.binary()), pa.nulls(len(digests), pa.binary()),
+                                pa.array(np.ones(len(digests)))], names=["a", "b", "alike"])
+
     def neighbours(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        # rows that the next ones may still show to be crowded are kept back, with what is known of them
+        last, told, beyond = None, np.zeros(0, bool), NEIGHBOURS + 1
         for batch in source:
             if not batch.num_rows:
                 continue
@@ -104,6 +127,12 @@ def candidates(sets: DataFrame, likely: float) -> DataFrame:
                    np.array(digests, object), np.frombuffer(b"".join(sketches), np.uint8).reshape(len(tree), -1))
             old = 0 if last is None else len(last[0])
             tree, value, digest, sketch = now if last is None else [np.concatenate(x) for x in zip(last, now)]
+            full = np.concatenate([told, np.zeros(len(now[0]), bool)])
+            if last is None:  # what stands before the first row is not seen
+                full[:beyond] = (tree[:beyond] == tree[0]) & (value[:beyond] == value[0])
+            far = (tree[beyond:] == tree[:-beyond]) & (value[beyond:] == value[:-beyond])
+            full[beyond:] |= far
+            full[:-beyond] |= far
             for step in range(1, NEIGHBOURS + 1):
                 at = np.arange(max(old, step), len(tree))
                 at = at[(tree[at] == tree[at - step]) & (value[at] == value[at - step])]
@@ -114,11 +143,15 @@ def candidates(sets: DataFrame, likely: float) -> DataFrame:
                     yield pa.record_batch([pa.array([x for x, _ in ends], pa.binary()),
                                            pa.array([y for _, y in ends], pa.binary()),
                                            pa.array(alike)], names=["a", "b", "alike"])
-            last = (tree[-NEIGHBOURS:], value[-NEIGHBOURS:], digest[-NEIGHBOURS:], sketch[-NEIGHBOURS:])
+            yield crowd(digest[:-beyond][full[:-beyond]])
+            last, told = tuple(x[-beyond:] for x in (tree, value, digest, sketch)), full[-beyond:]
+        if last is not None:  # nor what follows the last
+            yield crowd(last[2][told | (last[0] == last[0][-1]) & (last[1] == last[1][-1])])
 
     found = ordered.sortWithinPartitions("tree", "label", "digest").mapInArrow(
         neighbours, T.StructType.fromDDL("a binary, b binary, alike double"))
-    return found.groupBy("a", "b").agg(F.max("alike").alias("alike"))
+    return found.groupBy("a", "b").agg(
+        F.when(F.col("b").isNull(), F.sum("alike")).otherwise(F.max("alike")).alias("alike"))
 
 
 def _sketched(batch: pa.RecordBatch) -> dict:
@@ -150,6 +183,109 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return map_batches(both, work, "a binary, b binary")
 
 
+def shingle_counts(crowd: DataFrame) -> np.ndarray:
+    """Shingles of the sets in each of BUCKETS buckets."""
+    width = BUCKETS // BUCKET_ROWS
+
+    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, total = zstandard.ZstdDecompressor().decompress, np.zeros(BUCKETS, np.int64)
+        for batch in source:
+            for packed in lists(batch, "packed")[0]:
+                # a set's shingles are distinct, but two may fall into one bucket
+                np.add.at(total, _bucket(shingle_set(unpack(packed))), 1)
+        yield pa.record_batch([pa.array(range(BUCKET_ROWS), pa.int32()), pa.array(
+            [row.tobytes() for row in total.reshape(-1, width)], pa.binary())], names=["part", "counts"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        every = sum(np.frombuffer(x, np.int64) for x in group["counts"])
+        return pd.DataFrame({"part": group["part"].iloc[:1], "counts": [every.tobytes()]})
+
+    tasks = crowd.coalesce(crowd.count() // SETS_PER_TASK + 12)
+    rows = tasks.mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary")
+    total = np.zeros((BUCKET_ROWS, width), np.int64)
+    for part, counts in rows.collect():  # BUCKET_ROWS rows at every size
+        total[part] = np.frombuffer(counts, np.int64)
+    return np.minimum(total.ravel(), 2**32 - 1).astype(np.uint32)
+
+
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> u64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+ENTRY = np.dtype([("root", "<i8"), ("n", "<i8"), ("left", "<i8"), ("digest", "V16")])
+
+
+def prefixes(crowd: DataFrame, percent: int) -> DataFrame:
+    """token, root, leads, entry: the shingles of each set that can be the rarest it shares with a similar one.
+
+    ``leads`` marks those that can be so with a set of the same size or larger;
+    in the entry, ``left`` counts the set's shingles from this one on.
+    """
+    shared = crowd.sparkSession.sparkContext.broadcast(shingle_counts(crowd))
+
+    def work(batch):
+        unpack, counts = zstandard.ZstdDecompressor().decompress, shared.value
+        tokens, leads, entries = [], [], []
+        for digest, root, packed in zip(*lists(batch, "digest", "root", "packed")):
+            shingles = shingle_set(unpack(packed))
+            n, often = len(shingles), counts[_bucket(shingles)]
+            order = np.lexsort((shingles, often))
+            left = np.arange(n, 0, -1)
+            # no other set has the shingle of a bucket counted once
+            use = (100 * left >= percent * n) & (often[order] > 1)
+            entry = np.zeros(int(use.sum()), ENTRY)
+            entry["root"], entry["n"], entry["left"], entry["digest"] = root, n, left[use], np.void(digest)
+            tokens.append(signed(shingles[order][use]))
+            leads.append((100 + percent) * left[use] >= 2 * percent * n)
+            entries.append(entry)
+        entries = np.concatenate(entries)
+        return {"token": np.concatenate(tokens), "root": entries["root"].copy(), "leads": np.concatenate(leads),
+                "entry": [x.tobytes() for x in entries]}
+
+    return map_batches(crowd, work, "token long, root long, leads boolean, entry binary")
+
+
+def crowded_pairs(crowd: DataFrame, percent: int) -> DataFrame:
+    """a, b: every pair of sets (digest, packed, root) in different components that can be similar enough.
+
+    Sets that share a shingle are compared in blocks.  A component with many of
+    them has blocks of its own, which are not compared with each other.
+    """
+    rows = stage(prefixes(crowd, percent), "prefixes")
+    each = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("own"), F.max("leads").alias("leads"))
+    many = F.col("own") > BLOCK
+    live = each.groupBy("token").agg(
+        F.count(F.lit(1)).alias("roots"), F.max("leads").alias("led"), F.sum(F.when(~many, F.col("own"))).alias("others"),
+    ).where("roots > 1 and led").select("token", "others")
+    crowds = each.where(many).select("token", "root", "own")
+    slot = F.xxhash64("entry")
+    blocks = rows.join(live, "token").join(crowds, ["token", "root"], "left").groupBy(
+        "token", F.when(F.col("own").isNotNull(), F.col("root")).alias("only"),
+        F.when(F.col("own").isNotNull(), F.pmod(slot, F.expr(f"own div {BLOCK} + 1"))).otherwise(
+            F.pmod(slot, F.expr(f"others div {BLOCK} + 1"))).alias("block"),
+    ).agg(F.collect_list("entry").alias("entries"), F.max("leads").alias("leads"))
+    blocks = stage(blocks, "blocks")
+    one = blocks.where("leads").select("token", F.col("only").alias("one_only"), F.col("entries").alias("one"))
+    two = blocks.select("token", F.col("only").alias("two_only"), F.col("entries").alias("two"))
+    both = one.join(two, "token").where(
+        "one_only is null or two_only is null or one_only <> two_only").select("one", "two")
+
+    def work(batch):
+        out = {"a": [], "b": []}
+        for x, y in zip(*lists(batch, "one", "two")):
+            x, y = (np.frombuffer(b"".join(z), ENTRY) for z in (x, y))
+            x = x[(100 + percent) * x["left"] >= 2 * percent * x["n"]][:, None]
+            fit = (x["n"] <= y["n"]) & (100 * x["n"] >= percent * y["n"]) & (x["root"] != y["root"]) & (
+                (100 + percent) * np.minimum(x["left"], y["left"]) >= percent * (x["n"] + y["n"]))
+            for i, j in zip(*np.nonzero(fit)):
+                ends = x["digest"][i, 0].tobytes(), y["digest"][j].tobytes()
+                out["a"].append(min(ends))
+                out["b"].append(max(ends))
+        return out
+
+    return map_batches(both, work, "a binary, b binary").distinct()
+
+
 def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, tag, n_shingles, component_id, kept: one row per row of ``docs``."""
     likely = percent / 100 - 8 * (percent / 100 * (1 - percent / 100) / (TREES * DEPTH)) ** 0.5
@@ -157,26 +293,21 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     sets = stage(features.where("digest is not null").groupBy("digest").agg(
         F.first("signature").alias("signature"), F.min("doc_id").alias("least"),
         F.min(F.struct("doc_id", "tag")).alias("source")), "sets")
-    pairs = stage(candidates(sets, likely), "candidates")
-    ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+    found = stage(candidates(sets, likely), "candidates")
+    pairs, crowded = found.where("b is not null"), found.where(f"b is null and alike > {SPARE}").select("a")
+    ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).unionByName(
+        crowded.select(F.col("a").alias("digest"))).distinct()
     texts = stage(_texts_of(docs, sets.join(ends, "digest", "left_semi")), "texts")
     best = pairs.groupBy("a").agg(F.max(F.struct("alike", "b")).alias("best")).select("a", "best.b").unionByName(
         pairs.groupBy("b").agg(F.max(F.struct("alike", "a")).alias("best")).select("best.a", "b")).distinct()
-    links = stage(confirmed(best, texts, percent), "links")
-    roots = stage(components(links, "near"), "roots")
-    root = {end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")) for end in "ab"}
-    apart = pairs.join(best, ["a", "b"], "left_anti").join(root["a"], "a", "left").join(root["b"], "b", "left").where(
-        F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    more = stage(confirmed(apart, texts, percent), "links")
-    # nodes of the second graph are the components of the first
-    joined = more.join(root["a"], "a", "left").join(root["b"], "b", "left").select(
-        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    joined = stage(components(joined, "near"), "roots").select(
-        F.col("node").alias("first_root"), F.col("root").alias("last_root"))
-    of_set = sets.select("digest", "least").join(
-        roots.select(F.col("node").alias("digest"), F.col("root").alias("first_root")), "digest", "left",
-    ).withColumn("first_root", F.coalesce("first_root", "digest")).join(joined, "first_root", "left").withColumn(
-        "root", F.coalesce("last_root", "first_root"))
+    of_set = _rooted(sets.select("digest", "least", F.col("digest").alias("root")),
+                     stage(confirmed(best, texts, percent), "links"))
+    apart = _apart(pairs.join(best, ["a", "b"], "left_anti"), of_set)
+    of_set = _rooted(of_set, stage(confirmed(apart, texts, percent), "links"))
+    crowd = stage(texts.join(crowded, texts["digest"] == crowded["a"], "left_semi").join(of_set, "digest").select(
+        "digest", "packed", F.xxhash64("root").alias("root")), "crowd")
+    apart = crowded_pairs(crowd, percent).join(pairs, ["a", "b"], "left_anti")
+    of_set = _rooted(of_set, stage(confirmed(apart, texts, percent), "links"))
     smallest = of_set.groupBy("root").agg(F.min("least").alias("component"))
     component = of_set.join(smallest, "root").select("digest", "component")
     return features.select("doc_id", "tag", "n_shingles", "digest").join(component, "digest", "left").select(
@@ -185,6 +316,21 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _rooted(of_set: DataFrame, links: DataFrame) -> DataFrame:
+    """digest, least, root of every set, after components that ``links`` connect have become one."""
+    root = {end: of_set.select(F.col("digest").alias(end), F.col("root").alias(f"root_{end}")) for end in "ab"}
+    joined = links.join(root["a"], "a").join(root["b"], "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    roots = components(joined, "near").select(F.col("node").alias("root"), F.col("root").alias("new_root"))
+    return stage(of_set.join(roots, "root", "left").select(
+        "digest", "least", F.coalesce("new_root", "root").alias("root")), "roots")
+
+
+def _apart(pairs: DataFrame, of_set: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component."""
+    root = {end: of_set.select(F.col("digest").alias(end), F.col("root").alias(f"root_{end}")) for end in "ab"}
+    return pairs.join(root["a"], "a").join(root["b"], "b").where("root_a <> root_b")
+
+
 def _texts_of(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """digest and compressed text of the document that stands for each set."""
     def work(batch):

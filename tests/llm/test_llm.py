@@ -235,6 +235,20 @@ def test_near_dedup_leaves_one(spark, corpus):
     assert ids.count(None) == 2
 
 
+def test_near_copies_in_a_template_crowd(spark):
+    """Hundreds of sets just below the limit among themselves, and pairs of them above it."""
+    template = [f"c{i}" for i in range(204)]
+    rows = []
+    for i in range(600):
+        # 200 shingles of the template and 22 others: 0.82; a pair shares 12 of the others: 0.91
+        pair = i // 2 if i < 160 else -i
+        own = [f"p{pair}_{j}" for j in range(12)] + [f"o{i}_{j}" for j in range(10)]
+        rows.append((i, " ".join(template + own)))
+    found = near_dedup.near_groups(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == brute_near(rows)
+    assert sum(not r.kept for r in found) == 80
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [
