@@ -2,16 +2,19 @@
 
 One view is the text's content (which words occur), the other the page's
 metadata (language, source, size and surface statistics).  Each has a classifier
-of its own.  In every round each classifier labels the pool of unlabelled
-documents where it is confident, and the other learns from these pseudo-labels,
-at a lower weight, in the next round.  A labelled document that one view rejects
-with confidence is explained: the other view need not find a reason in it and
-leaves it out, and no view learns a pseudo-label it is confident is wrong.  In the end both scores are calibrated on labelled documents that
-neither has learned from; a document's score is the probability that neither
-view has reason to reject it.
-
-Fitting uses at most ``labelled`` labelled and ``pool`` unlabelled documents,
-drawn by a hash; scoring reads every document and its whole text.
+of its own.  After every round each classifier labels all unlabelled documents
+where it is confident, and the other learns from a draw of these pseudo-labels,
+at a lower weight, in the next round.  The draw takes languages and sources in
+turn, so that small ones are in it, and is another one in each round.  A
+labelled document that one view rejects with confidence is explained: the other
+view need not find a reason in it and leaves it out, and no view learns a
+pseudo-label it is confident is wrong.  In the end both scores are calibrated on
+labelled documents that neither has learned from; a document's score is the
+probability that neither view has reason to reject it.
+
+Fitting uses at most ``labelled`` labelled documents, drawn by a hash, and for
+each view at most ``pool`` newly labelled ones; giving pseudo-labels and scoring
+read every document and its whole text.
 
 Rows: a null text is empty, null language and source are values of their own,
 rows with null labels are not learned from, of several labels of one document
@@ -30,11 +33,11 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window
 
-from docketlake.llm.common import WordHashes, lists, map_batches
+from docketlake.llm.common import WordHashes, lists, map_batches, stage
 
-# Bounds of the sample that is fitted on.
+# Bounds of what is fitted on: labelled documents, newly labelled ones for each view and round; rounds.
 LABELLED, POOL, ROUNDS = 8000, 3000, 3
 # A pseudo-label is given where the calibrated probability is this near to 0 or 1.
 CONFIDENT = 0.98
@@ -176,66 +179,65 @@ class Model:
         return _sigmoid(one), _sigmoid(two), _sigmoid(one) * _sigmoid(two)
 
 
-def co_train(sets: list[np.ndarray], meta: np.ndarray, y: np.ndarray, held: np.ndarray,
-             pool_sets: list[np.ndarray], pool_meta: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """``held`` marks the labelled rows kept for calibration."""
+Given = tuple[list[np.ndarray], np.ndarray, np.ndarray]
+
+
+def co_train(sets: list[np.ndarray], meta: np.ndarray, y: np.ndarray, held: np.ndarray, given: list[Given],
+             explained: list[np.ndarray] | None = None) -> tuple[Model, list[np.ndarray] | None]:
+    """One round; ``held`` marks the labelled rows kept for calibration.
+
+    ``given`` has words, metadata and pseudo-labels that the content and the metadata view learn from;
+    ``explained`` is what the round before has returned.
+    """
     if not len(y) or y.min() == y.max():
-        return Model(prior=float(y.mean()) if len(y) else 1.0)
+        return Model(prior=float(y.mean()) if len(y) else 1.0), None
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.arange(len(y)) % 2 == 0 if len(set(y[::2])) == len(set(y[1::2])) == 2 else np.ones(len(y), bool)
     own = np.flatnonzero(~held) if not held.all() else np.arange(len(y))
     kept = np.flatnonzero(held)
-    given: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0))] * 2
-    explained = [np.zeros(len(y), bool)] * 2  # for the content view, for the metadata view
-    for _ in range(rounds):
-        views, scores = [], []
-        for view in (0, 1):
-            learn = own[~explained[view][own]]
-            if len(set(y[learn])) < 2:
-                learn = own
-            more, labels = given[view]
-            target = np.append(y[learn], labels)
-            weight = np.append(np.ones(len(learn)), np.full(len(labels), PSEUDO_WEIGHT))
-            if view == 0:
-                content = ContentView.fit([sets[i] for i in learn] + [pool_sets[i] for i in more], target, weight)
-                views.append(content)
-                scores.append(np.array([content.score(s) for s in sets]))
-            else:
-                metadata = MetadataView.fit(np.vstack([meta[learn], pool_meta[more]]), target, weight)
-                views.append(metadata)
-                scores.append(metadata.score(meta))
-        lines = []
-        for view in (0, 1):
-            use = kept[~explained[view][kept]]
-            use = use if len(set(y[use])) == 2 else kept
-            lines.append(fit_line(scores[view][use], y[use]))
-        sure = [_sigmoid(z * line[0] + line[1]) for z, line in zip(scores, lines)]
-        explained = [(y == 0) & (sure[1] <= 1 - CONFIDENT), (y == 0) & (sure[0] <= 1 - CONFIDENT)]
-        if len(pool_sets):
-            by_content = np.array([views[0].score(s) for s in pool_sets]) * lines[0][0] + lines[0][1]
-            by_meta = views[1].score(pool_meta) * lines[1][0] + lines[1][1]
-            by_content, by_meta = _sigmoid(by_content), _sigmoid(by_meta)
-            given = [_confident(by_meta, by_content), _confident(by_content, by_meta)]
-    return Model(views[0], views[1], *lines, prior=float(y.mean()))
-
-
-def _confident(p: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows one view is confident of, and their labels, unless the other is as confident of the opposite."""
+    explained = explained or [np.zeros(len(y), bool)] * 2  # for the content view, for the metadata view
+    views, scores = [], []
+    for view in (0, 1):
+        learn = own[~explained[view][own]]
+        if len(set(y[learn])) < 2:
+            learn = own
+        more_sets, more_meta, labels = given[view]
+        target = np.append(y[learn], labels)
+        weight = np.append(np.ones(len(learn)), np.full(len(labels), PSEUDO_WEIGHT))
+        if view == 0:
+            content = ContentView.fit([sets[i] for i in learn] + more_sets, target, weight)
+            views.append(content)
+            scores.append(np.array([content.score(s) for s in sets]))
+        else:
+            metadata = MetadataView.fit(np.vstack([meta[learn], more_meta]), target, weight)
+            views.append(metadata)
+            scores.append(metadata.score(meta))
+    lines = []
+    for view in (0, 1):
+        use = kept[~explained[view][kept]]
+        use = use if len(set(y[use])) == 2 else kept
+        lines.append(fit_line(scores[view][use], y[use]))
+    sure = [_sigmoid(z * line[0] + line[1]) for z, line in zip(scores, lines)]
+    explained = [(y == 0) & (sure[1] <= 1 - CONFIDENT), (y == 0) & (sure[0] <= 1 - CONFIDENT)]
+    return Model(views[0], views[1], *lines, prior=float(y.mean())), explained
+
+
+def _confident(p: np.ndarray, other: np.ndarray) -> list[int | None]:
+    """The label of rows one view is confident of, unless the other is as confident of the opposite."""
     good = (p >= CONFIDENT) & (other > 1 - CONFIDENT)
     bad = (p <= 1 - CONFIDENT) & (other < CONFIDENT)
-    rows = np.flatnonzero(good | bad)
-    return rows, good[rows].astype(float)
+    return [1 if g else 0 if b else None for g, b in zip(good, bad)]
 
 
 def _features(docs: DataFrame) -> DataFrame:
     def work(batch):
-        ids, texts, langs, sources = lists(batch, "doc_id", "text", "lang", "source")
+        ids, tags, texts, langs, sources = lists(batch, "doc_id", "tag", "text", "lang", "source")
         return {
-            "doc_id": ids, "words": [_hashes.array(list(content_words(t))).tobytes() for t in texts],
+            "doc_id": ids, "tag": tags, "words": [_hashes.array(list(content_words(t))).tobytes() for t in texts],
             "meta": [np.array(metadata_features(*x)).tobytes() for x in zip(texts, langs, sources)],
         }
 
-    return map_batches(_columns(docs), work, "doc_id long, words binary, meta binary")
+    return map_batches(_tagged(docs), work, "doc_id long, tag int, words binary, meta binary")
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -243,37 +245,81 @@ def _columns(docs: DataFrame) -> DataFrame:
                        F.col("source").cast("string").alias("source"))
 
 
+def _tagged(docs: DataFrame) -> DataFrame:
+    return _columns(docs).withColumn("tag", F.hash(F.col("text").cast("string")))
+
+
 def _drawn(ids: DataFrame, most: int) -> DataFrame:
     """At most ``most`` rows, by a hash of the id: each task keeps its first, then they are merged."""
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def newly_labelled(docs: DataFrame, known: DataFrame, model: Model, most: int, turn: int) -> DataFrame:
+    """doc_id, tag, words, meta, good, view: of all documents not in ``known``, at most ``most`` for each view to learn from."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batch):
+        ids, tags, texts, langs, sources = lists(batch, "doc_id", "tag", "text", "lang", "source")
+        meta = np.array([metadata_features(*x) for x in zip(texts, langs, sources)])
+        one, two, _ = shared.value.probabilities([_hashes.array(list(content_words(t))) for t in texts], meta)
+        return {"doc_id": ids, "tag": tags, "lang": langs, "source": sources,
+                "by_metadata": _confident(two, one), "by_content": _confident(one, two)}
+
+    sure = map_batches(_tagged(docs.where("doc_id is not null")), work,
+                       "doc_id long, tag int, lang string, source string, by_metadata int, by_content int")
+    # each view learns what the other has labelled
+    labels = F.array(*[F.struct(F.lit(v).alias("view"), F.col(c).alias("good")) for v, c in enumerate(("by_metadata", "by_content"))])
+    given = stage(sure.where("by_metadata is not null or by_content is not null").join(known, "doc_id", "left_anti").select(
+        "doc_id", "tag", "lang", "source", F.inline(labels)).where("good is not null"), "labelled")
+    draw = F.xxhash64("doc_id", "tag", F.lit(turn))
+    place = F.row_number().over(Window.partitionBy("view", "lang", "source").orderBy(draw, "doc_id", "tag"))
+    placed = given.withColumn("place", place).where(F.col("place") <= most)
+    chosen = [placed.where(F.col("view") == v).orderBy("place", draw, "doc_id", "tag").limit(most) for v in (0, 1)]
+    # bounded by ``most`` for each view
+    chosen = F.broadcast(stage(chosen[0].unionByName(chosen[1]).select("doc_id", "tag", "view", "good").distinct(), "drawn"))
+    drawn = docs.withColumn("__tag", F.hash(F.col("text").cast("string"))).join(
+        chosen.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__row")),
+        (F.col("doc_id") == F.col("__id")) & (F.col("__tag") == F.col("__row")), "left_semi").drop("__tag")
+    return _features(drawn).dropDuplicates(["doc_id", "tag"]).join(chosen, ["doc_id", "tag"])
+
+
+def _fitting(explained: list[np.ndarray] | None):
+    """A function that fits one round on the rows of the sample (view -1) and those newly labelled for each view."""
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["doc_id", "tag"])
+
+        def part(view):
+            rows = group[group["view"] == view]
+            meta = np.array([np.frombuffer(m) for m in rows["meta"]])
+            words = [np.sort(np.frombuffer(w, np.uint64)) for w in rows["words"]]
+            return words, meta.reshape(len(rows), len(metadata_features(None, None, None))), rows["good"].to_numpy(float)
+
+        held = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in group["doc_id"][group["view"] == -1]], bool)
+        return pd.DataFrame({"model": [pickle.dumps(co_train(*part(-1), held, [part(0), part(1)], explained))]})
+
+    return fit
+
+
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model:
-    """Fit the two views on a bounded sample; documents are the ones in ``docs``."""
+    """Fit the two views on bounded draws; documents are the ones in ``docs``, of which all not labelled get pseudo-labels."""
     good = F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(good)
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    sample = _drawn(ids.join(known, "doc_id"), labelled)
-    others = _drawn(ids.join(known, "doc_id", "left_anti"), pool).withColumn("good", F.lit(None).cast("int"))
-    # the drawn ids are bounded by the two parameters
-    chosen = F.broadcast(sample.unionByName(others))
-    sampled = _features(docs.join(chosen.select("doc_id"), "doc_id", "left_semi").dropDuplicates(
-        ["doc_id"])).join(chosen, "doc_id")
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc_id")
-        words = [np.sort(np.frombuffer(w, np.uint64)) for w in group["words"]]
-        meta = np.array([np.frombuffer(m) for m in group["meta"]])
-        own = np.flatnonzero(group["good"].notna())
-        free = np.flatnonzero(group["good"].isna())
-        held = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in group["doc_id"].to_numpy()[own]], bool)
-        model = co_train([words[i] for i in own], meta[own], group["good"].to_numpy(float)[own], held,
-                         [words[i] for i in free], meta[free], rounds)
-        return pd.DataFrame({"model": [pickle.dumps(model)]})
-
-    # the sample is bounded, so one task fits it; the driver only sees the weights
-    fitted = sampled.groupBy(F.lit("sample")).applyInPandas(fit, "model binary").first()
-    return pickle.loads(fitted.model) if fitted else Model()
+    # the drawn ids are bounded by the parameter
+    chosen = F.broadcast(_drawn(ids.join(known, "doc_id"), labelled))
+    sampled = stage(_features(docs.join(chosen.select("doc_id"), "doc_id", "left_semi").dropDuplicates(
+        ["doc_id"])).join(chosen, "doc_id").withColumn("view", F.lit(-1)), "sample")
+    learned, model, explained = sampled, Model(), None
+    for turn in range(1, rounds + 1):
+        # what is learned from is bounded, so one task fits it; the driver only sees the weights
+        fitted = learned.groupBy(F.lit("sample")).applyInPandas(_fitting(explained), "model binary").first()
+        if fitted is None:
+            return model
+        model, explained = pickle.loads(fitted.model)
+        if explained is None or turn == rounds:
+            return model
+        learned = sampled.unionByName(newly_labelled(docs, known, model, pool, turn))
+    return model
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
@@ -287,8 +333,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
         one, two, both = model.probabilities([_hashes.array(list(content_words(t))) for t in texts], meta)
         return {"doc_id": ids, "tag": tags, "content_score": one, "metadata_score": two, "score": both, "kept": both >= 0.5}
 
-    tagged = _columns(docs).withColumn("tag", F.hash(F.col("text").cast("string")))
-    return map_batches(tagged, work, "doc_id long, tag int, content_score double, metadata_score double, score double, kept boolean")
+    return map_batches(_tagged(docs), work, "doc_id long, tag int, content_score double, metadata_score double, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:

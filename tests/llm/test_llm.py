@@ -376,6 +376,16 @@ def test_classifier_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.count() == quality.classify(docs, model).where("kept").count()
 
 
+def test_classifier_learns_from_a_rare_language(spark):
+    rows, labels = labelled_rows(4, 1500)
+    docs = frame(spark, rows).unionByName(spark.createDataFrame(
+        [(9000 + i, " ".join(f"RARE!! W{j * (i + 3) % 300}!!" for j in range(50)), "xx", "s0", None) for i in range(8)],
+        SCHEMA))
+    model = quality.train(docs, spark.createDataFrame(labels[:500], "doc_id long, quality int, toxic int"), pool=40)
+    at = np.flatnonzero(model.content.words == quality._hashes[b"rare"])
+    assert len(at) == 1 and model.content.weights[at[0]] < 0
+
+
 def test_classifier_without_labels(spark):
     docs = frame(spark, AWKWARD)
     model = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
