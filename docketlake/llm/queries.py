@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docketlake.llm import (
-    decontamination, exact_dedup, lm_scoring, mixing, near_dedup, quality, sharding, substring_dedup, token_counts,
-    url_filter,
+    decontamination, exact_dedup, language_id, lm_scoring, mixing, near_dedup, quality, sharding, spelling,
+    substring_dedup, token_counts, url_filter, vector_codes,
 )
 from docketlake.llm.common import table
 
@@ -61,9 +61,24 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, folder, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, folder, "embeddings"))
+    return codes.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
+                        F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, folder, "documents"))
+
+
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.predict_languages(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_substring_dedup, op3_exact_dedup, op4_minhash_near_dedup, op5_token_counts,
-    op6_lm_scoring, op7_quality_classifier, op8_sharding, op9_source_mixing, op10_url_filter,
+    op6_lm_scoring, op7_quality_classifier, op8_sharding, op9_source_mixing, op10_url_filter, op11_vector_codes,
+    op12_spelling_variants, op13_language_id,
 )}
 
 LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -189,6 +204,73 @@ select page_id, host, path, rule, case when rule in ('com/', 'www.example.com/en
 from ruled
 """
 
+def codes_sql() -> str:
+    """Rounds of assignment and means written out, over one row for each component."""
+    rounds = []
+    for r in range(vector_codes.ROUNDS + 1):
+        rounds.append(f"""place{r} as materialized (
+    select vec_id, part, arg_min(entry, (d, entry)) entry, min(d) d from (
+        select vec_id, part, entry, sum((c.v - b.v) * (c.v - b.v)) d from component c join book{r} b using (part, pos) group by all)
+    group by all)""")
+        if r < vector_codes.ROUNDS:
+            rounds.append(f"""book{r + 1} as materialized (
+    select part, entry, pos, coalesce(m.v, b.v) v from book{r} b left join (
+        select part, entry, pos, (sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) v
+        from component join place{r} using (vec_id, part) group by all) m using (part, entry, pos))""")
+    last, parts = vector_codes.ROUNDS, vector_codes.PARTS
+    return f"""
+with kept as (select vec_id, label, embedding from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+component as materialized (
+    select vec_id, (i - 1) // width part, (i - 1) % width pos, cast(floor({vector_codes.SCALE} * cast(embedding[i] as double)) as bigint) v
+    from (select vec_id, embedding, len(embedding) // {parts} width, unnest(range(1, len(embedding) + 1)) i from kept)),
+book0 as materialized (select part, entry, pos, v from component join (
+    select vec_id, row_number() over (order by vec_id) - 1 entry from kept order by vec_id limit {vector_codes.ENTRIES}) using (vec_id)),
+{", ".join(rounds)},
+coded as (select vec_id, string_agg(lpad(printf('%x', entry), 2, '0'), '' order by part) code, cast(sum(d) as bigint) error
+    from place{last} group by 1)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error,
+    (select sha256(string_agg(cast(v as varchar), ',' order by part, entry, pos)) from book{last}) codebooks_sha256
+from coded join kept using (vec_id)
+"""
+
+
+def spelling_sql() -> str:
+    """CRC-32 as a fold over bytes; near words meet in what is left of them without one letter."""
+    step = "select n, n x from (select unnest(range(256)) n)"
+    for _ in range(8):
+        step = f"select n, if(x & 1 = 1, xor(x >> 1, 3988292384), x >> 1) x from ({step})"
+    return f"""
+with recursive crc_table as (select list(x order by n) t from ({step})),
+run as (select doc_id, run, count(*) n from (
+    select doc_id, unnest(regexp_extract_all({LOWERED}, '[a-z\u00C0-\u00FF]+')) run from documents where text is not null)
+    group by all),
+octets as (select *, list_transform(string_split(coalesce(cast(doc_id as varchar), '') || ':' || run, ''), lambda c:
+    if(ord(c) < 128, [ord(c)], [192 | (ord(c) >> 6), 128 | (ord(c) & 63)])) b from run),
+hashed as (select run, n, xor(4294967295, list_reduce(list_transform(flatten(b), lambda x: cast(x as bigint)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), cast(4294967295 as bigint))) h from octets, crc_table),
+word as materialized (select word, cast(sum(n) as bigint) n from (
+    select if(h % 97 = 0, substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2), run) word, n from hashed)
+    where length(word) >= 5 group by 1 having sum(n) >= 3),
+rest as materialized (
+    select word, i, substr(word, 1, i - 1) || substr(word, i + 1) left_over
+    from (select word, unnest(range(1, length(word) + 1)) i from word)),
+near as materialized (
+    select a.word, b.word other from rest a join rest b using (i, left_over) where a.word <> b.word
+    union select word, left_over from rest where left_over in (select word from word)
+    union select left_over, word from rest where left_over in (select word from word)),
+best as (select near.word, count(*) n_near, max(n) best_n, arg_min(other, (-n, other)) other
+    from near join word on word.word = other group by 1),
+judged as materialized (select word, n, coalesce(n_near, 0) n_near, if(best_n >= 2 * n, other, null) form,
+    if(best_n >= 2 * n, best_n, null) form_n from word left join best using (word)),
+follow(word, root) as (
+    select word, word from judged
+    union all select follow.word, form from follow join judged on judged.word = root where form is not null)
+select word, form, (select arg_max(root, n) from follow join word w on w.word = root where follow.word = judged.word) root,
+    n, n_near, form_n from judged
+"""
+
+
 CHECKS = {
     "op1_benchmark_decontamination": OP1_SQL,
     "op2_substring_dedup": OP2_SQL,
@@ -196,4 +278,6 @@ CHECKS = {
     "op4_minhash_near_dedup": OP4_SQL,
     "op9_source_mixing": mixing_sql(),
     "op10_url_filter": OP10_SQL,
+    "op11_vector_codes": codes_sql(),
+    "op12_spelling_variants": spelling_sql(),
 }
