@@ -67,8 +67,20 @@ def utf8(name: str = "text") -> Column:
 
 
 def row_tag(name: str = "text") -> Column:
-    """Tells rows that share a doc_id but not a text apart."""
-    return F.hash(F.col(name)).alias("tag")
+    """128 bits that tell rows apart that share a doc_id, or have none, but not a text; a null text has zeros."""
+    digest = F.substring(F.unhex(F.sha2(F.col(name).cast("binary"), 256)), 1, 16)
+    return F.coalesce(digest, F.lit(bytes(16))).alias("tag")
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The given names, lengthened until no column of ``df`` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def lists(batch: pa.RecordBatch, *names: str) -> list[list]:

@@ -1,7 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts of the cells (source, language, topic) are raked in turn to the
-target shares of sources, languages and topics until all three hold.  A cell's
+target shares of sources, languages and topics until all three hold to
+TOLERANCE.  Sweeps end early only where the targets contradict each other, for
+a cell missing from the corpus cannot be filled: when a sweep no longer brings
+them nearer, or after MOST_SWEEPS, a warning names what is missed.  A cell's
 raked weight over its tokens, times one factor for all, is the rate at which its
 documents are drawn, 1 at most.  The factor is the one at which SHARE of all
 tokens are expected to be drawn; cells too small for their weight are taken
@@ -20,13 +23,21 @@ nothing.  Repeated rows are drawn together; a null doc_id is hashed as ''.
 
 from __future__ import annotations
 
+import math
+import warnings
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from docketlake.llm.common import stage
+from docketlake.llm.common import spare, stage
 
 MARGINALS = ("source", "lang", "topic")
-# Sweeps over the marginals, and the part of all tokens that is drawn.
-SWEEPS, SHARE = 8, 0.5
+# The part of all tokens that is drawn.
+SHARE = 0.5
+# Token shares of a marginal may differ from their targets by so much in all; a sweep that takes off less than SLOW
+# of what is missed is no progress.
+TOLERANCE, MOST_SWEEPS, SLOW = 1e-10, 200, 1e-3
 # Cells that one task scales.
 CELLS_PER_TASK = 100_000
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -51,7 +62,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id, the three marginals and n_tokens of every row."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
-        "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"),
+        "doc_id", "source", "lang",
         topic_of(text).alias("topic"), F.regexp_count(text, F.lit(WORDS)).cast("long").alias("n_tokens"))
 
 
@@ -62,24 +73,43 @@ def default_target(cells: DataFrame, marginal: str) -> DataFrame:
     return each.select(marginal, (F.col("root") / F.lit(every)).alias("share"))
 
 
+def joined_by(left: DataFrame, right: DataFrame, names: dict[str, str], how: str = "left") -> DataFrame:
+    """Join on equal values, nulls included; ``names`` maps the columns of ``left`` to those of ``right``, which go."""
+    other = {name: f"{name}_of_right" for name in names.values()}
+    renamed = right.withColumnsRenamed(other)
+    same = reduce(and_, [left[one].eqNullSafe(renamed[other[two]]) for one, two in names.items()])
+    return left.join(renamed, same, how).drop(*other.values())
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     """Add ``weight`` to cells (source, lang, topic, tokens): token shares that meet the targets.
 
-    The shares are joined once; a scaling then is one window over the marginal.
-    Every sweep is written to a table, so plans and lineage stay short.
+    The shares are joined once; a scaling then is one window over the marginal, which also
+    shows how far the marginal was off.  Every sweep is written to a table, so plans and
+    lineage stay short.
     """
-    aims = [f"__share_{m}" for m in MARGINALS]
+    aims, gaps = [f"aim_{m}" for m in MARGINALS], [f"gap_{m}" for m in MARGINALS]
     for marginal, aim in zip(MARGINALS, aims):
-        cells = cells.join(targets[marginal].withColumnRenamed("share", aim), marginal, "left")
+        cells = joined_by(cells, targets[marginal].withColumnRenamed("share", aim), {marginal: marginal})
+        cells = cells.withColumn(aim, F.coalesce(aim, F.lit(0.0)))
     cells = stage(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
-    for _ in range(SWEEPS):
+    before = math.inf
+    for _ in range(MOST_SWEEPS):
         cells = together(cells)
-        for marginal, aim in zip(MARGINALS, aims):
+        for marginal, aim, gap in zip(MARGINALS, aims, gaps):
             held = F.sum("weight").over(Window.partitionBy(marginal))
-            cells = cells.withColumn("weight", F.when(
-                held > 0, F.col("weight") * F.coalesce(aim, F.lit(0.0)) / held).otherwise(0.0))
-        cells = stage(cells, "cells")
-    return cells.drop(*aims)
+            cells = cells.withColumn("held", held).withColumn(gap, F.abs(F.col("held") - F.col(aim))).withColumn(
+                "weight", F.when(F.col("held") > 0, F.col("weight") * F.col(aim) / F.col("held")).otherwise(0.0))
+        cells = stage(cells.drop("held"), "cells")
+        missed = cells.agg(*[F.max(g).alias(m) for m, g in zip(MARGINALS, gaps)]).first().asDict()
+        widest = max((v for v in missed.values() if v is not None), default=0.0)
+        if widest <= TOLERANCE:
+            break
+        if widest > before * (1 - SLOW):
+            warnings.warn(f"targets contradict each other or the corpus; largest misses {missed}", stacklevel=2)
+            break
+        before = widest
+    return cells.drop(*aims, *gaps)
 
 
 def together(cells: DataFrame) -> DataFrame:
@@ -119,7 +149,7 @@ def rates(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: in
     every = filled.agg(F.sum("tokens")).first()[0] or 0
     factor = factor_for(filled, share * every)
     rated = filled.select(*MARGINALS, "weight", F.least(F.lit(1.0), F.col("ratio") * F.lit(factor)).alias("rate"))
-    return rows.join(rated, [*MARGINALS], "left").select(
+    return joined_by(rows, rated, {m: m for m in MARGINALS}).select(
         "doc_id", *MARGINALS, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"),
         F.coalesce("rate", F.lit(1.0)).alias("rate"),
     ).withColumn("drawn", uniform(seed) < F.col("rate"))
@@ -127,11 +157,9 @@ def rates(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: in
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 0) -> DataFrame:
     """The rows of ``docs`` that are drawn, with all their columns."""
-    cell_rates = stage(rates(docs, targets, seed).groupBy(*MARGINALS).agg(F.max("rate").alias("__rate")), "rates")
-    named = cell_rates.withColumnsRenamed({m: f"__{m}" for m in MARGINALS})
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({
-        "__s": F.coalesce("source", F.lit("")), "__l": F.coalesce("lang", F.lit("")), "__t": topic_of(text)})
-    return keyed.join(
-        named, (F.col("__s") == F.col("__source")) & (F.col("__l") == F.col("__lang")) & (F.col("__t") == F.col("__topic")),
-    ).where(uniform(seed) < F.col("__rate")).select(*docs.columns)
+    cell_rates = stage(rates(docs, targets, seed).groupBy(*MARGINALS).agg(F.max("rate").alias("rate")), "rates")
+    topic, rate = spare(docs, "mix_topic", "mix_rate")
+    keyed = docs.withColumn(topic, topic_of(F.coalesce("text", F.lit(""))))
+    rated = cell_rates.withColumnRenamed("rate", rate)
+    return joined_by(keyed, rated, {"source": "source", "lang": "lang", topic: "topic"}, "inner").where(
+        uniform(seed) < F.col(rate)).select(*docs.columns)

@@ -152,9 +152,13 @@ from (select doc_id, min(other) component_id from reach group by 1) left join si
 """
 
 
+# Sweeps written out in SQL: more than raking needs to reach its tolerance on these tables.
+SQL_SWEEPS = 40
+
+
 def mixing_sql() -> str:
     """Raking written out, sweep by sweep."""
-    rows = f"""select doc_id, coalesce(source, '') source, coalesce(lang, '') lang, cast(len({WORDS.format("text")}) as bigint) n_tokens,
+    rows = f"""select doc_id, source, lang, cast(len({WORDS.format("text")}) as bigint) n_tokens,
         case when contains(text, ' | ') then 'listing' when contains(text, '!! ') then 'shouting'
             when contains(text, '$$$') or contains(text, '***') then 'symbols'
             when contains(text, 'licensed under') or contains(text, 'All rights reserved') then 'licensed'
@@ -162,14 +166,18 @@ def mixing_sql() -> str:
     target = "\n".join(
         f", target_{m} as (select {m}, sqrt(sum(tokens)) / sum(sqrt(sum(tokens))) over () share from cell group by 1)"
         for m in mixing.MARGINALS)
-    weights = "select source, lang, topic, tokens, cast(tokens as double) weight from cell where tokens > 0"
-    for _ in range(mixing.SWEEPS):
+    weights, sweeps = "cell_0", []
+    for n in range(SQL_SWEEPS):
         for m in mixing.MARGINALS:
-            weights = (f"select source, lang, topic, tokens, weight * share / sum(weight) over (partition by {m}) weight "
-                       f"from ({weights}) join target_{m} using ({m})")
+            name = f"swept_{n}_{m}"
+            sweeps.append(f"""{name} as materialized (
+    select w.source, w.lang, w.topic, tokens, weight * share / sum(weight) over (partition by w.{m}) weight
+    from {weights} w join target_{m} t on w.{m} is not distinct from t.{m})""")
+            weights = name
     return f"""
 with row_ as ({rows}), cell as (select source, lang, topic, sum(n_tokens) tokens from row_ group by all)
-{target}, raked as materialized ({weights}),
+{target}, cell_0 as (select source, lang, topic, tokens, cast(tokens as double) weight from cell where tokens > 0),
+{", ".join(sweeps)}, raked as (select * from {weights}),
 -- cells in falling order of weight over tokens: the first ones are taken whole, as few as the wanted tokens allow
 fill as (select *, weight / tokens ratio, {mixing.SHARE} * sum(tokens) over () wanted,
     coalesce(sum(tokens) over (order by weight / tokens desc, source, lang, topic rows between unbounded preceding and 1 preceding), 0) whole,
@@ -177,9 +185,10 @@ fill as (select *, weight / tokens ratio, {mixing.SHARE} * sum(tokens) over () w
     row_number() over (order by weight / tokens desc, source, lang, topic) place from raked),
 level as (select arg_min((wanted - whole) / rest, place) filter ((wanted - whole) / rest * ratio <= 1) factor from fill),
 rated as (select source, lang, topic, weight, least(1, ratio * factor) rate from fill, level)
-select doc_id, source, lang, topic, n_tokens, round(coalesce(weight, 0), 9) weight, round(coalesce(rate, 1), 6) rate,
+select doc_id, row_.source, row_.lang, row_.topic, n_tokens, round(coalesce(weight, 0), 9) weight, round(coalesce(rate, 1), 6) rate,
     cast(('0x' || substr(md5(doc_id || '/0'), 1, 12)) as bigint) / 281474976710656.0 < coalesce(rate, 1) drawn
-from row_ left join rated using (source, lang, topic)
+from row_ left join rated on row_.source is not distinct from rated.source
+    and row_.lang is not distinct from rated.lang and row_.topic = rated.topic
 """
 
 
