@@ -17,7 +17,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
-from docketlake.llm.common import lists, map_batches, row_tag, utf8
+from docketlake.llm.common import lists, map_batches, row_tag, spare, utf8
 
 # Bytes of item text in one automaton (about a hundred times that in memory).
 BLOCK_BYTES = 1 << 20
@@ -207,7 +207,7 @@ def scan_documents(docs: DataFrame, items: DataFrame, window: int = 13) -> DataF
                 out["items"].append(sorted(found))
             return out
 
-        return map_batches(source, work, "doc_id long, tag int, n_words long, spans array<long>, items array<string>")
+        return map_batches(source, work, "doc_id long, tag binary, n_words long, spans array<long>, items array<string>")
 
     found = pass_over(0)
     if blocks == 1:
@@ -226,7 +226,7 @@ def scan_documents(docs: DataFrame, items: DataFrame, window: int = 13) -> DataF
         return {"doc_id": ids, "tag": tags, "n_words": words, "spans": [merged_spans(s) for s in spans], "items": names}
 
     return map_batches(joined.drop("copies", "copy"), finish,
-                       "doc_id long, tag int, n_words long, spans array<long>, items array<string>")
+                       "doc_id long, tag binary, n_words long, spans array<long>, items array<string>")
 
 
 def judged(scanned: DataFrame, one_in: int = 20) -> DataFrame:
@@ -261,20 +261,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, one_in: i
         return {"doc_id": ids, "tag": tags, "spans": keep}
 
     verdict = judged(scan_documents(docs, items, window), one_in)
-    bad = verdict.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("tag").alias("bad_tag"))
-    tagged = docs.withColumn("__tag", F.hash("text"))
-    kept = tagged.join(
-        bad, tagged["doc_id"].eqNullSafe(bad["bad_id"]) & (tagged["__tag"] == bad["bad_tag"]), "left_anti")
+    tag, bad_id, bad_tag, cut_id, cut_tag, spans = spare(docs, "tag", "bad_id", "bad_tag", "cut_id", "cut_tag", "spans")
+    bad = verdict.where("contaminated").select("doc_id", "tag").toDF(bad_id, bad_tag)
+    tagged = docs.withColumn(tag, row_tag())
+    kept = tagged.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.col(tag) == F.col(bad_tag)), "left_anti")
     if longest is None:
-        return kept.drop("__tag")
+        return kept.drop(tag)
     cut = map_batches(verdict.where("not contaminated and size(spans) > 0").select("doc_id", "tag", "spans"), bounds,
-                      "doc_id long, tag int, spans array<long>").where("size(spans) > 0").dropDuplicates(
-        ["doc_id", "tag"]).withColumnsRenamed({"doc_id": "cut_id", "tag": "cut_tag", "spans": "__spans"})
+                      "doc_id long, tag binary, spans array<long>").where("size(spans) > 0").dropDuplicates(
+        ["doc_id", "tag"]).toDF(cut_id, cut_tag, spans)
 
     @F.udf("string")
     def cleaned(text, spans):
         return without_spans(text.encode(), spans).decode() if spans else text
 
     return kept.join(
-        cut, kept["doc_id"].eqNullSafe(cut["cut_id"]) & (kept["__tag"] == cut["cut_tag"]), "left",
-    ).withColumn("text", cleaned("text", "__spans")).select(*docs.columns)
+        cut, F.col("doc_id").eqNullSafe(F.col(cut_id)) & (F.col(tag) == F.col(cut_tag)), "left",
+    ).withColumn("text", cleaned("text", spans)).select(*docs.columns)

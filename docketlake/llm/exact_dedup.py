@@ -17,7 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docketlake.llm.common import stage
+from docketlake.llm.common import spare, stage
 
 # Number of salts a group of copies is spread over.
 SALTS = 32
@@ -71,11 +71,13 @@ def find_copies(docs: DataFrame, digest=sha256, salts: int = SALTS) -> DataFrame
 
 def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of repeated rows one."""
-    kept = find_copies(docs, salts=salts).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("digest").alias("__sha"), F.col("keep_points").alias("__size")).distinct()
+    digest, points, kept_id, kept_digest, kept_points = spare(
+        docs, "digest", "points", "kept_id", "kept_digest", "kept_points")
+    kept = find_copies(docs, salts=salts).where("kept").select("doc_id", "digest", "keep_points").distinct().toDF(
+        kept_id, kept_digest, kept_points)
     keyed = docs.withColumns({
-        "__digest": sha256(normalised(F.col("text"))), "__points": F.length(F.coalesce("text", F.lit("")))})
+        digest: sha256(normalised(F.col("text"))), points: F.length(F.coalesce("text", F.lit("")))})
     return keyed.join(
-        kept, keyed["doc_id"].eqNullSafe(kept["__id"]) & (F.col("__digest") == F.col("__sha"))
-        & (F.col("__points") == F.col("__size")), "left_semi",
-    ).dropDuplicates(["doc_id", "__digest"]).select(*docs.columns)
+        kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_digest))
+        & (F.col(points) == F.col(kept_points)), "left_semi",
+    ).dropDuplicates(["doc_id", digest]).select(*docs.columns)

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from docketlake.llm.common import (
-    WordHashes, gram_hashes, lists, map_batches, row_tag, signed, stage, u64, utf8, words_of,
+    WordHashes, gram_hashes, lists, map_batches, row_tag, signed, spare, stage, u64, utf8, words_of,
 )
 from docketlake.llm.components import components
 
@@ -95,7 +95,7 @@ def set_features(docs: DataFrame) -> DataFrame:
         }
 
     return map_batches(docs.select("doc_id", row_tag(), utf8()), work,
-                       "doc_id long, tag int, n_shingles long, digest binary, signature binary")
+                       "doc_id long, tag binary, n_shingles long, digest binary, signature binary")
 
 
 def candidates(sets: DataFrame, likely: float) -> DataFrame:
@@ -338,7 +338,7 @@ def _texts_of(docs: DataFrame, sets: DataFrame) -> DataFrame:
         ids, tags, texts = lists(batch, "doc_id", "tag", "text")
         return {"doc_id": ids, "tag": tags, "packed": [None if t is None else pack(t) for t in texts]}
 
-    packed = map_batches(docs.select("doc_id", row_tag(), utf8()), work, "doc_id long, tag int, packed binary")
+    packed = map_batches(docs.select("doc_id", row_tag(), utf8()), work, "doc_id long, tag binary, packed binary")
     wanted = sets.select("digest", F.col("source.doc_id").alias("at_id"), F.col("source.tag").alias("at_tag"))
     return wanted.join(packed, packed["doc_id"].eqNullSafe(wanted["at_id"]) & (packed["tag"] == wanted["at_tag"])).select(
         "digest", "packed").dropDuplicates(["digest"])
@@ -350,9 +350,9 @@ def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     Rows with a null doc_id stay; repeated rows of one doc_id and text leave one.
     """
     kept = near_groups(docs, percent).where("kept and doc_id is not null").select("doc_id", "tag").distinct()
-    named = kept.withColumnsRenamed({"doc_id": "__id", "tag": "__row"})
-    tagged = docs.withColumn("__tag", F.hash("text"))
+    tag, kept_id, kept_tag = spare(docs, "tag", "kept_id", "kept_tag")
+    tagged = docs.withColumn(tag, row_tag())
     stay = tagged.where("doc_id is not null").join(
-        named, (F.col("doc_id") == F.col("__id")) & (F.col("__tag") == F.col("__row")), "left_semi",
-    ).dropDuplicates(["doc_id", "__tag"])
-    return stay.unionByName(tagged.where("doc_id is null")).drop("__tag")
+        kept.toDF(kept_id, kept_tag), (F.col("doc_id") == F.col(kept_id)) & (F.col(tag) == F.col(kept_tag)), "left_semi",
+    ).dropDuplicates(["doc_id", tag])
+    return stay.unionByName(tagged.where("doc_id is null")).drop(tag)

@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, Window
 
-from docketlake.llm.common import WordHashes, lists, map_batches, stage
+from docketlake.llm.common import WordHashes, lists, map_batches, row_tag, spare, stage
 
 # Bounds of what is fitted on: labelled documents, newly labelled ones for each view and round; rounds.
 LABELLED, POOL, ROUNDS = 8000, 3000, 3
@@ -237,7 +237,7 @@ def _features(docs: DataFrame) -> DataFrame:
             "meta": [np.array(metadata_features(*x)).tobytes() for x in zip(texts, langs, sources)],
         }
 
-    return map_batches(_tagged(docs), work, "doc_id long, tag int, words binary, meta binary")
+    return map_batches(_tagged(docs), work, "doc_id long, tag binary, words binary, meta binary")
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
-    return _columns(docs).withColumn("tag", F.hash(F.col("text").cast("string")))
+    return _columns(docs).withColumn("tag", row_tag())
 
 
 def _drawn(ids: DataFrame, most: int) -> DataFrame:
@@ -266,7 +266,7 @@ def newly_labelled(docs: DataFrame, known: DataFrame, model: Model, most: int, t
                 "by_metadata": _confident(two, one), "by_content": _confident(one, two)}
 
     sure = map_batches(_tagged(docs.where("doc_id is not null")), work,
-                       "doc_id long, tag int, lang string, source string, by_metadata int, by_content int")
+                       "doc_id long, tag binary, lang string, source string, by_metadata int, by_content int")
     # each view learns what the other has labelled
     labels = F.array(*[F.struct(F.lit(v).alias("view"), F.col(c).alias("good")) for v, c in enumerate(("by_metadata", "by_content"))])
     given = stage(sure.where("by_metadata is not null or by_content is not null").join(known, "doc_id", "left_anti").select(
@@ -277,9 +277,7 @@ def newly_labelled(docs: DataFrame, known: DataFrame, model: Model, most: int, t
     chosen = [placed.where(F.col("view") == v).orderBy("place", draw, "doc_id", "tag").limit(most) for v in (0, 1)]
     # bounded by ``most`` for each view
     chosen = F.broadcast(stage(chosen[0].unionByName(chosen[1]).select("doc_id", "tag", "view", "good").distinct(), "drawn"))
-    drawn = docs.withColumn("__tag", F.hash(F.col("text").cast("string"))).join(
-        chosen.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__row")),
-        (F.col("doc_id") == F.col("__id")) & (F.col("__tag") == F.col("__row")), "left_semi").drop("__tag")
+    drawn = _tagged(docs).join(chosen.select("doc_id", "tag").distinct(), ["doc_id", "tag"], "left_semi")
     return _features(drawn).dropDuplicates(["doc_id", "tag"]).join(chosen, ["doc_id", "tag"])
 
 
@@ -333,14 +331,14 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
         one, two, both = model.probabilities([_hashes.array(list(content_words(t))) for t in texts], meta)
         return {"doc_id": ids, "tag": tags, "content_score": one, "metadata_score": two, "score": both, "kept": both >= 0.5}
 
-    return map_batches(_tagged(docs), work, "doc_id long, tag int, content_score double, metadata_score double, score double, kept boolean")
+    return map_batches(_tagged(docs), work, "doc_id long, tag binary, content_score double, metadata_score double, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
-    names = docs.columns
+    names, hidden = docs.columns, spare(docs, "text_bytes", "lang_name", "source_name")
 
     def run(source):
         import pyarrow as pa
@@ -348,12 +346,12 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         for batch in source:
             if batch.num_rows:
-                texts, langs, sources = lists(batch, "__text", "__lang", "__source")
+                texts, langs, sources = lists(batch, *hidden)
                 meta = np.array([metadata_features(*x) for x in zip(texts, langs, sources)])
                 good = model.probabilities([_hashes.array(list(content_words(t))) for t in texts], meta)[2] >= 0.5
                 yield batch.select(names).filter(pa.array(good))
 
     return docs.withColumns({
-        "__text": F.col("text").cast("binary"), "__lang": F.col("lang").cast("string"),
-        "__source": F.col("source").cast("string"),
+        hidden[0]: F.col("text").cast("binary"), hidden[1]: F.col("lang").cast("string"),
+        hidden[2]: F.col("source").cast("string"),
     }).mapInArrow(run, schema)

@@ -87,11 +87,11 @@ def path_rows(docs: DataFrame, length: int) -> DataFrame:
         owner = document[head]
         return {
             "anchor": signed(seed[head]), "path": signed(path), "doc_id": [ids[i] for i in owner],
-            "tag": np.array(tags, np.int32)[owner], "span": at[head] * 64 + tail - head,
+            "tag": [tags[i] for i in owner], "span": at[head] * 64 + tail - head,
         }
 
     return map_batches(docs.select("doc_id", row_tag(), utf8()), work,
-                       "anchor long, path long, doc_id long, tag int, span long")
+                       "anchor long, path long, doc_id long, tag binary, span long")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         ids, tags, texts = lists(batch, "doc_id", "tag", "text")
         return {"doc_id": ids, "tag": tags, "packed": [None if t is None else pack(t) for t in texts]}
 
-    return map_batches(docs.select("doc_id", row_tag(), utf8()), work, "doc_id long, tag int, packed binary")
+    return map_batches(docs.select("doc_id", row_tag(), utf8()), work, "doc_id long, tag binary, packed binary")
 
 
 def _unpacked(packed: list[bytes | None]) -> list[bytes | None]:
@@ -144,7 +144,7 @@ def opened_windows(docs: DataFrame, paths: DataFrame, length: int) -> DataFrame:
         return out
 
     return map_batches(_with_texts(docs, per_document, "inner"), work,
-                       "anchor long, word_hash long, doc_id long, tag int, at long, many int")
+                       "anchor long, word_hash long, doc_id long, tag binary, at long, many int")
 
 
 def repeated_spans(docs: DataFrame, length: int = 35) -> DataFrame:

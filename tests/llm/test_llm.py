@@ -437,7 +437,28 @@ def test_raking_meets_targets(spark):
     got = mixing.rake(table, aims).collect()
     for m in mixing.MARGINALS:
         for row in aims[m].collect():
-            assert math.isclose(sum(r.weight for r in got if r[m] == row[m]), row.share, rel_tol=1e-3)
+            assert math.isclose(sum(r.weight for r in got if r[m] == row[m]), row.share, rel_tol=1e-8)
+
+
+def test_raking_of_sparse_cells(spark):
+    """One language per source but for a bridge, a null source beside an empty one: the targets hold nevertheless."""
+    cells = [("a", "x", "p", 900), ("b", "x", "q", 3), ("b", "y", "p", 700), ("c", "y", "q", 2), (None, "x", "p", 50),
+             ("", "y", "q", 60), ("c", "x", "p", 4)]
+    table = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    shares = {"source": {"a": 0.2, "b": 0.3, "c": 0.2, None: 0.1, "": 0.2}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"p": 0.55, "q": 0.45}}
+    aims = {m: spark.createDataFrame(list(v.items()), f"{m} string, share double") for m, v in shares.items()}
+    got = mixing.rake(table, aims).collect()
+    for m, wanted in shares.items():
+        for value, share in wanted.items():
+            assert math.isclose(sum(r.weight for r in got if r[m] == value), share, rel_tol=1e-6)
+
+
+def test_contradicting_targets_are_reported(spark):
+    table = spark.createDataFrame([("a", "x", "p", 5), ("b", "y", "p", 5)], "source string, lang string, topic string, tokens long")
+    shares = {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.2, "y": 0.8}, "topic": {"p": 1.0}}
+    aims = {m: spark.createDataFrame(list(v.items()), f"{m} string, share double") for m, v in shares.items()}
+    with pytest.warns(UserWarning, match="contradict"):
+        assert len(mixing.rake(table, aims).collect()) == 2
 
 
 def test_mixture(spark, corpus):
@@ -516,13 +537,32 @@ def test_empty_tables(spark, job):
     assert EMPTY_JOBS[job](frame(spark, []), items).count() == 0
 
 
-@pytest.mark.parametrize("job", ["cut", "near", "mix"])
+@pytest.mark.parametrize("job", ["cut", "near", "mix", "exact", "quality"])
 def test_clashing_columns(spark, job):
     docs = frame(spark, AWKWARD).withColumns({n: F.lit(1) for n in (
-        "tag", "digest", "packed", "spans", "kept", "rate", "topic", "weight", "component_id", "shard", "__x")})
+        "tag", "Digest", "packed", "spans", "kept", "rate", "topic", "weight", "component_id", "shard", "__x", "points",
+        "bad_id", "kept_id", "kept_tag", "text_bytes", "lang_name", "mix_source", "mix_rate")})
     items = spark.createDataFrame([(1, "one")], "item_id long, text string")
-    kept = EMPTY_JOBS[job](docs, items)
+    jobs = EMPTY_JOBS | {"exact": lambda d, b: exact_dedup.exact_dedup(d), "quality": lambda d, b: quality.keep_good(d, quality.Model())}
+    kept = jobs[job](docs, items)
     assert kept.columns == docs.columns and kept.count() <= len(AWKWARD)
+    assert kept.select([c for c in docs.columns if c not in SCHEMA]).distinct().collect() in ([], [(1,) * (len(docs.columns) - 5)])
+
+
+def test_rows_without_id_are_told_apart(spark, monkeypatch):
+    """Two rows without id whose texts share a 32-bit hash: one repeats a passage, the other is innocent."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    numbers = spark.range(150_000).select(F.col("id").cast("string").alias("n"))
+    one = numbers.select(F.concat(F.lit(passage + " x"), "n").alias("bad"))
+    two = numbers.select(F.concat(F.lit(passage.replace("p", "c") + " y"), "n").alias("clean"))
+    pair = one.join(two, F.hash("bad") == F.hash("clean")).orderBy("bad").first()
+    docs = frame(spark, [(None, pair.bad), (None, pair.clean), (1, passage)])
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    removed = {r.kept_text for r in substring_dedup.remove_repeats(docs).collect()}
+    assert pair.clean.encode() in removed and pair.bad.split()[-1].encode() in removed
+    for block in (decontamination.BLOCK_BYTES, 50):
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+        assert [r.text for r in decontamination.decontaminate(docs, items).collect()] == [pair.clean]
 
 
 def test_pipeline(spark, tmp_path):
