@@ -213,9 +213,9 @@ def rolling_event_counts(d):
     return out.select("client", F.unix_micros("seen_at").alias("seen_us"), "n", "trailing_count")
 
 
-@query("sliding_rate_violations", """
-with recursive numbered as (select request_id, bucket, client, epoch_us(seen_at) as us, case bucket when 'auth' then 10 else 30 end as lim,
- row_number() over (partition by bucket, client order by seen_at, request_id) as rn from requests),
+# Every request with its decision, client by client in order of time and id.
+WALK = """with recursive numbered as (select request_id, bucket, coalesce(client, 'unknown') as client, epoch_us(seen_at) as us, case bucket when 'auth' then 10 else 30 end as lim,
+ row_number() over (partition by bucket, coalesce(client, 'unknown') order by seen_at, request_id) as rn from requests),
 walk as (
  select request_id, bucket, client, us, rn, false as refused, [us] as kept from numbered where rn = 1
  union all
@@ -223,7 +223,10 @@ walk as (
   len(list_filter(w.kept, lambda t: n.us - t < 60000000)) >= n.lim as refused,
   case when len(list_filter(w.kept, lambda t: n.us - t < 60000000)) >= n.lim then list_filter(w.kept, lambda t: n.us - t < 60000000)
    else list_append(list_filter(w.kept, lambda t: n.us - t < 60000000), n.us) end as kept
- from walk w join numbered n on n.bucket = w.bucket and n.client = w.client and n.rn = w.rn + 1)
+ from walk w join numbered n on n.bucket = w.bucket and n.client = w.client and n.rn = w.rn + 1)"""
+
+
+@query("sliding_rate_violations", f"""{WALK}
 select request_id, bucket, client, us as seen_us from walk where refused""")
 def sliding_rate_violations(d):
     out = rates.sliding_rate_violations(d.requests)

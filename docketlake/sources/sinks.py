@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docketlake.functions.naming import clean_filename, tracking_id
@@ -56,23 +59,80 @@ def result_location(doc_id: Column, filename: Column) -> Column:
     return F.concat_ws("/", F.lit("results"), doc_id.cast("string"), name)
 
 
+class Manifest:
+    """What has been published below a folder, in the order in which it was completed.
+
+    One small file per publication, named by its version; a file is never changed.
+    A version belongs to whoever creates its file first, so versions of several
+    streams follow each other and none is given twice.
+    """
+
+    SCHEMA = "version long, stream string, batch_id long"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.folder = spark, f"{path.rstrip('/')}/_manifest"
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def entries(self) -> DataFrame:
+        """version, stream, batch_id of every publication."""
+        return self.spark.read.schema(self.SCHEMA).json(self.folder).where("version is not null")
+
+    def _last(self) -> int:
+        root = self._path(self.folder)
+        names = [f.getPath().getName() for f in self._files.listStatus(root)] if self._files.exists(root) else []
+        return max((int(n.split(".")[0]) for n in names if n.endswith(".json")), default=0)
+
+    def append(self, stream: str, batch_id: int) -> None:
+        """Enter a publication as the newest version, unless it has been entered before."""
+        version = self._last() + 1
+        known = F.col("stream").eqNullSafe(stream) & (F.col("batch_id") == batch_id)
+        if version > 1 and not self.entries().where(known).isEmpty():
+            return
+        while True:
+            try:
+                out = self._files.create(self._path(f"{self.folder}/{version:020d}.json"), False)
+                break
+            except Py4JJavaError as taken:
+                if "FileAlreadyExists" not in str(taken.java_exception):
+                    raise
+                version += 1
+        out.write(json.dumps({"version": version, "stream": stream, "batch_id": batch_id}).encode())
+        out.close()
+
+
 def publish_results(results: DataFrame, path: str, batch_id: int, stream: str = "batch") -> None:
-    """Publish one batch of a stream.
+    """Publish one batch of a stream as the newest version.
 
-    A stream's batch owns its folder, so repeating it after a failure replaces what
-    it wrote before and touches nothing else.  Streams that publish into one place,
-    and a stream that starts again without its checkpoint, need names of their own.
+    A stream's batch owns its folder and enters the manifest when it is written, so
+    repeating it after a failure replaces what it wrote before, keeps its place
+    among the versions, and touches nothing else.  Rows with an ``error`` are
+    published as failed ones.  Streams that publish into one place need names of their own.
     """
+    failed = F.col("error").isNotNull().cast("int") if "error" in results.columns else F.lit(0)
     located = results.withColumn("location", result_location(F.col("doc_id"), F.col("new_filename")))
-    located.write.mode("overwrite").parquet(f"{path}/stream={stream}/batch_id={batch_id}")
+    located.withColumn("failed", failed).write.mode("overwrite").partitionBy("failed").parquet(
+        f"{path}/stream={stream}/batch_id={batch_id}")
+    Manifest(results.sparkSession, path).append(stream, batch_id)
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    """Published rows with the version of their batch; what is not in the manifest is not published."""
+    rows = spark.read.option("mergeSchema", "true").parquet(path)
+    return rows.join(Manifest(spark, path).entries(), ["stream", "batch_id"])
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """The version is chosen on the keys alone; only the chosen rows carry their text."""
+    last = rows.groupBy("doc_id").agg(F.max("version").alias("version"))
+    return rows.join(last, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id"])
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
-    """Latest published row per document: the highest batch, then the last stream by name.
+    """Latest published row per document; a document that failed later keeps its earlier result."""
+    return _latest(_versions(spark, path).where("failed = 0")).drop("failed")
 
-    The version is chosen on the keys alone; only the chosen rows carry their text.
-    """
-    rows = spark.read.parquet(path)
-    latest = rows.groupBy("doc_id").agg(F.max(F.struct("batch_id", "stream")).alias("last")).select(
-        "doc_id", "last.batch_id", "last.stream")
-    return rows.join(latest, ["doc_id", "batch_id", "stream"], "left_semi").dropDuplicates(["doc_id"])
+
+def read_failed(spark: SparkSession, path: str) -> DataFrame:
+    """Documents whose latest version has failed, with the reason."""
+    return _latest(_versions(spark, path)).where("failed = 1").drop("failed")
