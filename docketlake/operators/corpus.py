@@ -10,7 +10,7 @@ from docketlake.functions.replies import training_target, truncate_prompt
 from docketlake.functions.text import first_filled, strip
 from docketlake.functions.vendors import vendor_from_filename, vendor_from_folder
 from docketlake.operators.ordered import rank_in_groups
-from docketlake.session import cut
+from docketlake.session import staged
 
 
 def pseudo_labels(
@@ -59,8 +59,10 @@ def training_pairs(labels: DataFrame) -> DataFrame:
 
 def train_eval_split(examples: DataFrame, order: str = "doc_id", eval_ratio: float = 0.1) -> DataFrame:
     """Add ``split``: the leading share is for training, fewer than ten rows all are."""
-    examples = cut(examples)
-    total = examples.count()
+    rows = staged(examples.withColumn("_row", F.monotonically_increasing_id()), "examples")
+    total = rows.count()
     last = total if total < 10 else max(1, int(total * (1 - eval_ratio)))
-    ranked = rank_in_groups(examples, [], [order], "_rank")
-    return ranked.withColumn("split", F.when(F.col("_rank") <= last, "train").otherwise("eval")).drop("_rank")
+    # only (order, row) is ranked; the texts join their rank by number
+    ranked = rank_in_groups(rows.select(F.col(order).alias("_at"), "_row"), [], ["_at", "_row"], "_rank")
+    split = F.when(F.col("_rank") <= last, "train").otherwise("eval").alias("split")
+    return rows.join(ranked.select("_row", split), "_row").drop("_row")

@@ -7,12 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docketlake.functions.naming import enhanced_filename, route_folder, simple_filename
 from docketlake.functions.text import file_extension, without_extension
 from docketlake.operators.ordered import rank_in_groups, running_total
-from docketlake.session import cut
+from docketlake.session import staged
+
+_VENDOR_TYPE = ["clean_vendor", "document_type"]
 
 
 def assign_sequence_ids(df: DataFrame, order: str = "path") -> DataFrame:
     """Running number per vendor and type, in ``order``; safe for very large vendors."""
-    return rank_in_groups(df, ["clean_vendor", "document_type"], [order], "sequence_id")
+    return rank_in_groups(df, _VENDOR_TYPE, [order], "sequence_id")
 
 
 def _numbered(target: Column, suffix: str, number: Column) -> Column:
@@ -34,6 +36,40 @@ def _reserved_numbers(names: DataFrame, target: str, suffix: str) -> DataFrame:
     return found.where(canonical).select(target, "_number").distinct()
 
 
+def _given_paths(
+    asked: DataFrame, target: str, order: str, existing: DataFrame | None, suffix: str, out: str,
+) -> DataFrame:
+    """``_row`` and the path of its own of every row of ``asked`` (``_row``, target, order).
+
+    The first row that asks for a free path keeps it; the next ones get the lowest
+    numbers no existing or requested path holds.  The k-th free number is k plus the
+    taken numbers below it, found with one running total over requests and taken
+    numbers together.  Only these narrow rows are ranked.
+    """
+    order = [order, "_row"]
+    ranked = rank_in_groups(asked, [target], order, "_rank").withColumn("_copy", F.col("_rank") - 1)
+    numbered = F.col("_copy")
+    names = asked.select(target)
+    if existing is not None:
+        held = existing.select(F.col(existing.columns[0]).alias(target)).distinct()
+        names = names.union(held)
+        ranked = ranked.join(held.withColumn("_held", F.lit(1)), target, "left").withColumn(
+            "_copy", F.col("_copy") + F.coalesce("_held", F.lit(0))).drop("_held")
+    reserved = staged(_reserved_numbers(names, target, suffix), "reserved")
+    if not reserved.isEmpty():
+        taken = rank_in_groups(reserved, [target], ["_number"], "_place")
+        # several taken numbers can share one position; they only add up
+        blocks = taken.groupBy(target, (F.col("_number") - F.col("_place")).alias("_copy")).agg(
+            F.count(F.lit(1)).alias("_add")).withColumn("_kind", F.lit(1))
+        requests = ranked.select("_row", target, "_copy", F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_add"))
+        ranked = running_total(
+            requests.unionByName(blocks, allowMissingColumns=True), [target], ["_copy", "_kind", "_row"], F.col("_add"), "_skip",
+        ).where("_kind = 0")
+        numbered = F.col("_copy") + F.col("_skip")
+    return ranked.select("_row", F.when(F.col("_copy") == 0, F.col(target)).otherwise(
+        _numbered(F.col(target), suffix, numbered)).alias(out))
+
+
 def resolve_conflicts(
     df: DataFrame,
     target: str = "target_path",
@@ -42,53 +78,14 @@ def resolve_conflicts(
     suffix: str = "_conflict",
     out: str = "resolved_path",
 ) -> DataFrame:
-    """Give every row a path of its own.
+    """Give every row a path of its own; rows ask in ``order``.
 
-    The first row (in ``order``, which must be unique) that asks for a free path
-    keeps it; the next ones get the lowest numbers no existing or requested path
-    holds.  The k-th free number is k plus the taken numbers below it, found with
-    one running total over requests and taken numbers together.
+    The rows are written once; ranks are found on (target, order) alone and join
+    their rows again by number.
     """
-    ranked = rank_in_groups(df, [target], [order], "_rank")
-    names = df.select(target).distinct()
-    if existing is None:
-        ranked = ranked.withColumn("_copy", F.col("_rank") - 1)
-    else:
-        held = existing.select(F.col(existing.columns[0]).alias(target)).distinct()
-        names = names.union(held).distinct()
-        ranked = ranked.join(held.withColumn("_held", F.lit(1)), target, "left").withColumn(
-            "_copy", F.col("_rank") - 1 + F.coalesce("_held", F.lit(0))
-        ).drop("_held")
-    ranked = cut(ranked.drop("_rank"))
-    taken = rank_in_groups(cut(_reserved_numbers(names, target, suffix)), [target], ["_number"], "_rank")
-    payload = F.struct(*[c for c in ranked.columns if c != target])
-    requests = ranked.where("_copy > 0").select(
-        target, F.col("_copy").alias("_at"), F.lit(0).alias("_kind"), F.col(order).alias("_tie"),
-        payload.alias("_row"),
-    )
-    blocks = taken.select(
-        target, (F.col("_number") - F.col("_rank")).alias("_at"), F.lit(1).alias("_kind"),
-        F.lit(None).cast(ranked.schema[order].dataType).alias("_tie"),
-        F.lit(None).cast(requests.schema["_row"].dataType).alias("_row"),
-    )
-    if taken.isEmpty():
-        skipped = requests.withColumn("_skip", F.lit(0).cast("long"))
-    else:
-        skipped = _with_skips(cut(requests.unionByName(blocks)), target)
-    numbered = skipped.select(
-        target, "_row.*", _numbered(F.col(target), suffix, F.col("_at") + F.col("_skip")).alias(out)
-    )
-    kept = ranked.where("_copy = 0").withColumn(out, F.col(target))
-    return kept.unionByName(numbered).drop("_copy")
-
-
-def _with_skips(merged: DataFrame, target: str) -> DataFrame:
-    """Requests with the count of taken numbers they have to step over."""
-    # several taken numbers can share one position; they only add up
-    blocks = merged.where("_kind = 1").groupBy(target, "_at", "_kind").agg(F.count(F.lit(1)).alias("_add"))
-    requests = merged.where("_kind = 0").withColumn("_add", F.lit(0).cast("long"))
-    both = requests.unionByName(blocks, allowMissingColumns=True)
-    return running_total(both, [target], ["_at", "_kind", "_tie"], F.col("_add"), "_skip").where("_kind = 0")
+    rows = staged(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    given = _given_paths(rows.select("_row", target, order), target, order, existing, suffix, out)
+    return rows.join(given, "_row").drop("_row")
 
 
 def unique_names(df: DataFrame, target: str = "target_path", order: str = "path",
@@ -106,7 +103,9 @@ def naming_plan(
     ``docs``: path, folder, original_name, clean_vendor, document_type,
     execution_status, date_str.
     """
-    numbered = assign_sequence_ids(docs)
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    numbers = rank_in_groups(rows.select("_row", *_VENDOR_TYPE, "path"), _VENDOR_TYPE, ["path", "_row"], "sequence_id").select(
+        "_row", "sequence_id")
     if naming == "enhanced":
         name = enhanced_filename(
             F.col("clean_vendor"), F.col("document_type"), F.col("original_name"), F.col("sequence_id")
@@ -115,7 +114,9 @@ def naming_plan(
         name = simple_filename(F.col("clean_vendor"), F.col("original_name"), F.col("date_str"))
     base = F.col("folder")
     place = F.concat_ws("/", base, route_folder(base, F.col("execution_status"))) if subfolders else base
-    planned = numbered.withColumn("new_filename", name).withColumn(
+    planned = rows.join(numbers, "_row").withColumn("new_filename", name).withColumn(
         "target_path", F.concat_ws("/", place, F.col("new_filename"))
     )
-    return resolve_conflicts(cut(planned), existing=existing)
+    planned = staged(planned, "planned")
+    given = _given_paths(planned.select("_row", "target_path", "path"), "target_path", "path", existing, "_conflict", "resolved_path")
+    return planned.join(given, "_row").drop("_row")

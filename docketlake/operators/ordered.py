@@ -1,57 +1,61 @@
 """Ranks and running totals inside groups of any size.
 
-A plain window sends a whole group to one task.  Here groups are cut into slices
-of their sort order, so a group that holds a third of all rows is spread over
-many tasks: slice totals (one small aggregate) give every slice its start value,
-and a window inside (group, slice) does the rest.  There is one plan for every
-size; a small table merely has one slice.
-
-The slice borders come from a row sample.  They only decide how even the slices
-are: every row is kept, and any borders give the same, exact result.
+A plain window sends a whole group to one task.  Here rows are dealt to range
+partitions of their keys and their whole order and written with the number of
+their partition, the slice.  A group that holds a third of all rows, or all of
+them, then lies in many slices, as do rows that only differ in the last column
+of the order.  A window inside (keys, slice) does most of the work.  Only the
+first group of a slice can have begun before it, so one number for each slice
+brings its rows up to the whole total.  There is one plan for every size.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-SLICE_ROWS = 500_000  # rows of one slice, on average
-SAMPLES_PER_SLICE = 32
+from docketlake.session import staged
+
+# Number of slices; None leaves it to spark.sql.shuffle.partitions and the sizes Spark measures.
+SLICES: int | None = None
 
 
-def slice_count(df: DataFrame) -> int:
-    """Slices for a table, by its rows."""
-    return df.count() // SLICE_ROWS + 1
+def in_slices(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``_slice``: slices follow each other by ``keys``, then ``order``, nulls first.
 
+    Borders differ from run to run, so the rows are written once with their slice.
+    Callers pass few columns: the rows travel once more when they are ranked.
+    """
+    columns = [F.col(c) for c in (*keys, *order)]
+    ranged = df.repartitionByRange(*([SLICES] if SLICES else []), *columns)
+    return staged(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
 
-def slice_borders(df: DataFrame, key: Column, slices: int) -> list:
-    """At most ``slices - 1`` increasing borders of ``key``, from a sample of some SAMPLES_PER_SLICE rows a slice."""
-    if slices <= 1:
-        return []
-    keys = df.select(key.alias("k")).where("k is not null")
-    part = min(1.0, SAMPLES_PER_SLICE / SLICE_ROWS)
-    sample = sorted(keys.sample(part, seed=42).toArrow().column("k").to_pylist())
-    step = max(1, len(sample) // slices)
-    return sorted(set(sample[step::step]))
 
+def _key(keys: list[str]) -> Column:
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
 
-def slice_of(key: Column, borders: list) -> Column:
-    """How many borders are not above ``key``: a two-step look-up in literals."""
-    if not borders:
-        return F.lit(0)
-    width = max(1, int(len(borders) ** 0.5))
-    blocks = [borders[i:i + width] for i in range(0, len(borders), width)]
 
-    def passed(values: Column) -> Column:
-        return F.size(F.filter(values, lambda b: b <= key))
+def _bounds(sliced: DataFrame, keys: list[str]) -> DataFrame:
+    """First and last group of every slice: one row for each."""
+    return sliced.groupBy("_slice").agg(F.min(_key(keys)).alias("_first"), F.max(_key(keys)).alias("_last"))
 
-    block = passed(F.array(*[F.lit(b[0]) for b in blocks]))
-    inside = F.element_at(
-        F.array(*[F.array(*[F.lit(v) for v in b]) for b in blocks]), F.greatest(block, F.lit(1))
-    )
-    number = F.when(block == 0, 0).otherwise((block - 1) * width + passed(inside))
-    return F.coalesce(number, F.lit(-1))
+
+def total_in_slices(sliced: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """``running_total`` of rows that are in slices of ``keys`` and ``order`` already."""
+    rows = sliced.withColumn("_value", value)
+    bounds = _bounds(sliced, keys)
+    # what a slice adds to its last group, and the requests of slices for what their first group has before them
+    tails = rows.join(F.broadcast(bounds), "_slice").where(_key(keys).eqNullSafe(F.col("_last"))).groupBy("_slice").agg(
+        F.first("_last").alias("_group"), F.sum("_value").alias("_add"))
+    asked = bounds.select(F.col("_slice"), F.col("_first").alias("_group"), F.lit(None).alias("_add"))
+    both = tails.withColumn("_asks", F.lit(0)).unionByName(asked.withColumn("_asks", F.lit(1)))
+    before = W.partitionBy("_group").orderBy("_slice", F.col("_asks").desc()).rowsBetween(W.unboundedPreceding, -1)
+    starts = both.withColumn("_start", F.sum("_add").over(before)).where("_asks = 1 and _start is not null").select(
+        F.col("_slice").alias("_of_slice"), F.col("_group").alias("_of_group"), "_start")
+    inside = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    # one row for each slice at most
+    return rows.withColumn("_inside", F.sum("_value").over(inside)).join(
+        F.broadcast(starts), (F.col("_slice") == F.col("_of_slice")) & _key(keys).eqNullSafe(F.col("_of_group")), "left",
+    ).withColumn(out, F.col("_inside") + F.coalesce("_start", F.lit(0))).select(*sliced.columns, out)
 
 
 def running_total(
@@ -62,20 +66,7 @@ def running_total(
     Null keys form a group of their own.  Rows equal in the whole order share no
     fixed sequence, so ``order`` should end in a unique column.
     """
-    first = F.col(order[0])
-    sliced = df.withColumn("_slice", slice_of(first, slice_borders(df, first, slice_count(df)))).withColumn("_value", value)
-    totals = sliced.groupBy(*keys, "_slice").agg(F.sum("_value").alias("_total"))
-    before = W.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("_slice").rowsBetween(
-        W.unboundedPreceding, -1)
-    starts = totals.select(
-        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_slice").alias("_of_slice"),
-        F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"),
-    )
-    inside = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    summed = sliced.withColumn("_inside", F.sum("_value").over(inside))
-    same = reduce(lambda a, b: a & b, [summed[k].eqNullSafe(starts[f"_of_{k}"]) for k in keys],
-                  F.col("_slice").eqNullSafe(F.col("_of_slice")))
-    return summed.join(starts, same).withColumn(out, F.col("_start") + F.col("_inside")).select(*df.columns, out)
+    return total_in_slices(in_slices(df, keys, order), keys, order, value, out).drop("_slice")
 
 
 def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
@@ -83,6 +74,22 @@ def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], out: str) -
     return running_total(df, keys, order, F.lit(1).cast("long"), out)
 
 
+def previous_in_groups(sliced: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``lag(value) over (partition by keys order by order)`` of rows in slices of ``keys`` and ``order``.
+
+    ``value`` is the first column of ``order``, so the last row of a slice has its largest.
+    """
+    ends = sliced.groupBy("_slice").agg(
+        F.min(_key(keys)).alias("_first"), F.max(F.struct(_key(keys).alias("group"), F.col(value).alias("value"))).alias("_end"))
+    neighbours = ends.withColumn("_left", F.lag("_end").over(W.partitionBy(F.lit(0)).orderBy("_slice"))).where(
+        F.col("_left.group").eqNullSafe(F.col("_first"))).select(
+        F.col("_slice").alias("_of_slice"), F.col("_first").alias("_of_group"), F.col("_left.value").alias("_before"))
+    inside = W.partitionBy(*keys, "_slice").orderBy(*order)
+    return sliced.withColumn("_inside", F.lag(value).over(inside)).join(
+        F.broadcast(neighbours), (F.col("_slice") == F.col("_of_slice")) & _key(keys).eqNullSafe(F.col("_of_group")), "left",
+    ).withColumn(out, F.coalesce("_inside", "_before")).select(*sliced.columns, out)
+
+
 def newest(df: DataFrame, time: str, key: str) -> DataFrame:
     return df.orderBy(F.col(time).desc(), F.col(key).desc())
 

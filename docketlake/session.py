@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,3 +64,29 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+_staged: list[str] = []
+
+
+def staged(df: DataFrame, name: str = "staged") -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back.
+
+    For frames that are read several times: the work before runs once, each reader
+    takes only its columns, and lost executors cost the tasks that read.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what ``staged`` has written in this process so far; frames that read it end with this call."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    count = len(_staged)
+    while _staged:
+        path = hadoop(_staged.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return count

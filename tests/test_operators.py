@@ -91,7 +91,7 @@ def request_rows():
 @pytest.mark.parametrize("force_slices", [False, True])
 def test_sliding_limiter(spark, monkeypatch, force_slices):
     if force_slices:
-        monkeypatch.setattr(ordered, "SLICE_ROWS", 5)
+        monkeypatch.setattr(ordered, "SLICES", 25)
     rows = request_rows()
     limits = {"auth": 3, "upload": 5}
     df = spark.createDataFrame(rows, "request_id long, bucket string, client string, seen_at timestamp")
@@ -100,6 +100,22 @@ def test_sliding_limiter(spark, monkeypatch, force_slices):
     assert got == want and 50 < len(want) < 850
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 6])
+@pytest.mark.parametrize("lull", [0, 50])
+def test_limiter_of_one_hot_client(spark, monkeypatch, rounds, lull):
+    """All requests are of one client and one run: steady pressure, and pressure that lets up now and then."""
+    monkeypatch.setattr(ordered, "SLICES", 12)
+    monkeypatch.setattr(rates, "ROUNDS", rounds)
+    rnd, base, at, rows = random.Random(7), datetime(2024, 1, 1), 0.0, []
+    for i in range(700):
+        at += lull if lull and i % 60 == 0 else rnd.choice([0, 1, 2, 7])
+        rows.append((i, "auth", None, base + timedelta(seconds=at)))
+    df = spark.createDataFrame(rows, "request_id long, bucket string, client string, seen_at timestamp").repartition(5)
+    got = rates.sliding_rate_violations(df, {"auth": 6}).collect()
+    assert {r["request_id"] for r in got} == brute_limiter([(*r[:2], "x", r[3]) for r in rows], {"auth": 6}, 60)
+    assert len(got) == len({r["request_id"] for r in got})
+
+
 def test_refused_requests_do_not_count(spark):
     """A plain trailing count would refuse the last request as well."""
     base = datetime(2024, 1, 1)
@@ -157,7 +173,7 @@ def test_nearest_rank(spark, n):
 @pytest.mark.parametrize("force_slices", [False, True])
 def test_max_concurrency(spark, monkeypatch, force_slices):
     if force_slices:
-        monkeypatch.setattr(ordered, "SLICE_ROWS", 5)
+        monkeypatch.setattr(ordered, "SLICES", 25)
     rnd = random.Random(8)
     base = datetime(2024, 1, 1)
     rows = []

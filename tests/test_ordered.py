@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from docketlake import session
 from docketlake.operators import ordered
 from docketlake.operators import naming as names
 
@@ -12,7 +13,7 @@ from docketlake.operators import naming as names
 @pytest.fixture
 def sliced(monkeypatch):
     """Make every group too large for a task."""
-    monkeypatch.setattr(ordered, "SLICE_ROWS", 5)
+    monkeypatch.setattr(ordered, "SLICES", 40)
 
 
 def hot_rows(n=600):
@@ -33,7 +34,7 @@ def expected(rows):
 def test_rank_and_total_of_hot_group(spark, sliced):
     rows = hot_rows()
     df = spark.createDataFrame(rows, "k string, p string, v int").repartition(5)
-    assert len(ordered.slice_borders(df, F.col("p"), 8)) > 3
+    assert ordered.in_slices(df, ["k"], ["p"]).where("k = 'hot'").select("_slice").distinct().count() > 10
     ranked = ordered.rank_in_groups(df, ["k"], ["p"], "rank")
     both = ordered.running_total(ranked, ["k"], ["p"], F.col("v"), "total")
     assert {r["p"]: (r["rank"], r["total"]) for r in both.collect()} == expected(rows)
@@ -45,20 +46,47 @@ def test_without_keys(spark, sliced):
     assert ranked.where("rank <> id + 1").count() == 0 and ranked.count() == 1000
 
 
-def test_any_borders_give_the_same(spark, sliced, monkeypatch):
-    rows = hot_rows(200)
-    df = spark.createDataFrame(rows, "k string, p string, v int")
-    for borders in ([], ["p0000000"], ["p05", "p051", "p0512", "p9"], [f"p{i:02d}" for i in range(0, 99, 3)]):
-        monkeypatch.setattr(ordered, "slice_borders", lambda *_, b=borders: b)
-        got = ordered.running_total(df, ["k"], ["p"], F.col("v"), "total").collect()
-        assert {r["p"]: r["total"] for r in got} == {p: t for p, (_, t) in expected(rows).items()}
+@pytest.mark.parametrize("slices", [1, 2, 7, 300])
+def test_any_number_of_slices_gives_the_same(spark, monkeypatch, slices):
+    monkeypatch.setattr(ordered, "SLICES", slices)
+    df = spark.createDataFrame(hot_rows(200), "k string, p string, v int")
+    got = ordered.running_total(df, ["k"], ["p"], F.col("v"), "total").collect()
+    assert {r["p"]: r["total"] for r in got} == {p: t for p, (_, t) in expected(hot_rows(200)).items()}
+
+
+def test_ties_and_null_times_are_split_by_the_last_column(spark, sliced):
+    """One key and three times, one of them null: slices follow the ids."""
+    rows = [("a" if i % 50 else None, None if i % 3 == 0 else i % 3, i) for i in range(600)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, at int, id int")
+    parts = ordered.in_slices(df, ["k"], ["at", "id"])
+    assert parts.where("k = 'a' and at is null").select("_slice").distinct().count() > 5
+    got = {r["id"]: r["rank"] for r in ordered.rank_in_groups(df, ["k"], ["at", "id"], "rank").collect()}
+    want, seen = {}, {}
+    for k, at, i in sorted(rows, key=lambda r: (r[0] or "", r[1] or 0, r[2])):
+        want[i] = seen[k] = seen.get(k, 0) + 1
+    assert got == want
+
+
+def test_previous_row_across_slices(spark, sliced):
+    rows = [(random.Random(i).choice("ab"), i // 3, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, at int, id int")
+    got = ordered.previous_in_groups(ordered.in_slices(df, ["k"], ["at", "id"]), ["k"], ["at", "id"], "at", "before")
+    want, last = {}, {}
+    for k, at, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[i], last[k] = last.get(k), at
+    assert {r["id"]: r["before"] for r in got.collect()} == want
+
+
+def test_rows_of_one_path_are_all_kept(spark):
+    df = spark.createDataFrame([("p", "x/a.txt")] * 3 + [(None, "x/a.txt")], "path string, target_path string")
+    got = sorted(r["resolved_path"] for r in names.resolve_conflicts(df).collect())
+    assert got == ["x/a.txt", "x/a_conflict01.txt", "x/a_conflict02.txt", "x/a_conflict03.txt"]
 
 
-def test_slices_are_monotone(spark):
-    borders = list(range(0, 1000, 7))
-    df = spark.range(-20, 1100).select("id", ordered.slice_of(F.col("id"), borders).alias("s"))
-    for row in df.collect():
-        assert row["s"] == sum(b <= row["id"] for b in borders)
+def test_staged_folders_are_released(spark):
+    session.staged(spark.range(5))
+    assert session.release(spark) >= 1 and session.release(spark) == 0
 
 
 def test_first_rows_limits_before_the_shuffle(spark):
@@ -96,7 +124,7 @@ def brute_conflicts(asked, existing, suffix):
 @pytest.mark.parametrize("force_slices", [False, True])
 def test_conflicts_against_brute_force(spark, monkeypatch, suffix, force_slices):
     if force_slices:
-        monkeypatch.setattr(ordered, "SLICE_ROWS", 5)
+        monkeypatch.setattr(ordered, "SLICES", 25)
     rnd = random.Random(11)
     targets = ["d/a.pdf", "d/a.pdf", "d/a.pdf", "d/b.pdf", f"d/a{suffix}01.pdf", f"d/a{suffix}03.pdf", "d/noext",
                f"d/a{suffix}001.pdf", f"d/b{suffix}02.pdf"]
