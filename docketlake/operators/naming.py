@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docketlake.functions.naming import enhanced_filename, route_folder, simple_filename
 from docketlake.functions.text import file_extension, without_extension
-from docketlake.operators.ordered import rank_in_groups, running_total
+from docketlake.operators.ordered import in_slices, rank_in_groups, running_total, total_in_slices
 from docketlake.session import staged
 
 _VENDOR_TYPE = ["clean_vendor", "document_type"]
+# What names and places are made of; other columns of a document are only carried along.
+_NAMED = ("path", "folder", "original_name", *_VENDOR_TYPE, "execution_status", "date_str")
 
 
 def assign_sequence_ids(df: DataFrame, order: str = "path") -> DataFrame:
@@ -25,6 +27,7 @@ def _numbered(target: Column, suffix: str, number: Column) -> Column:
 
 def _reserved_numbers(names: DataFrame, target: str, suffix: str) -> DataFrame:
     """Numbers that names in use already take, per name without its number."""
+    names = names.where(F.col(target).contains(suffix))  # plain text before the pattern
     stem = without_extension(F.col(target))
     pattern = rf"^(.+){suffix}(\d{{2,9}})$"
     digits = F.regexp_extract(stem, pattern, 2)
@@ -39,7 +42,7 @@ def _reserved_numbers(names: DataFrame, target: str, suffix: str) -> DataFrame:
 def _given_paths(
     asked: DataFrame, target: str, order: str, existing: DataFrame | None, suffix: str, out: str,
 ) -> DataFrame:
-    """``_row`` and the path of its own of every row of ``asked`` (``_row``, target, order).
+    """``asked`` (``_row``, target, order and perhaps more) with a path of its own for every row.
 
     The first row that asks for a free path keeps it; the next ones get the lowest
     numbers no existing or requested path holds.  The k-th free number is k plus the
@@ -47,9 +50,11 @@ def _given_paths(
     numbers together.  Only these narrow rows are ranked.
     """
     order = [order, "_row"]
-    ranked = rank_in_groups(asked, [target], order, "_rank").withColumn("_copy", F.col("_rank") - 1)
+    sliced = in_slices(asked, [target], order)
+    ranked = total_in_slices(sliced, [target], order, F.lit(1).cast("long"), "_rank").drop("_slice").withColumn(
+        "_copy", F.col("_rank") - 1)
     numbered = F.col("_copy")
-    names = asked.select(target)
+    names = sliced.select(target)
     if existing is not None:
         held = existing.select(F.col(existing.columns[0]).alias(target)).distinct()
         names = names.union(held)
@@ -61,13 +66,13 @@ def _given_paths(
         # several taken numbers can share one position; they only add up
         blocks = taken.groupBy(target, (F.col("_number") - F.col("_place")).alias("_copy")).agg(
             F.count(F.lit(1)).alias("_add")).withColumn("_kind", F.lit(1))
-        requests = ranked.select("_row", target, "_copy", F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_add"))
+        requests = ranked.withColumns({"_kind": F.lit(0), "_add": F.lit(0).cast("long")})
         ranked = running_total(
             requests.unionByName(blocks, allowMissingColumns=True), [target], ["_copy", "_kind", "_row"], F.col("_add"), "_skip",
         ).where("_kind = 0")
         numbered = F.col("_copy") + F.col("_skip")
-    return ranked.select("_row", F.when(F.col("_copy") == 0, F.col(target)).otherwise(
-        _numbered(F.col(target), suffix, numbered)).alias(out))
+    return ranked.withColumn(out, F.when(F.col("_copy") == 0, F.col(target)).otherwise(
+        _numbered(F.col(target), suffix, numbered))).select(*asked.columns, out)
 
 
 def resolve_conflicts(
@@ -85,7 +90,7 @@ def resolve_conflicts(
     """
     rows = staged(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
     given = _given_paths(rows.select("_row", target, order), target, order, existing, suffix, out)
-    return rows.join(given, "_row").drop("_row")
+    return rows.join(given.select("_row", out), "_row").drop("_row")
 
 
 def unique_names(df: DataFrame, target: str = "target_path", order: str = "path",
@@ -104,8 +109,8 @@ def naming_plan(
     execution_status, date_str.
     """
     rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    numbers = rank_in_groups(rows.select("_row", *_VENDOR_TYPE, "path"), _VENDOR_TYPE, ["path", "_row"], "sequence_id").select(
-        "_row", "sequence_id")
+    read = [c for c in _NAMED if c in docs.columns]
+    numbered = rank_in_groups(rows.select("_row", *read), _VENDOR_TYPE, ["path", "_row"], "sequence_id")
     if naming == "enhanced":
         name = enhanced_filename(
             F.col("clean_vendor"), F.col("document_type"), F.col("original_name"), F.col("sequence_id")
@@ -114,9 +119,8 @@ def naming_plan(
         name = simple_filename(F.col("clean_vendor"), F.col("original_name"), F.col("date_str"))
     base = F.col("folder")
     place = F.concat_ws("/", base, route_folder(base, F.col("execution_status"))) if subfolders else base
-    planned = rows.join(numbers, "_row").withColumn("new_filename", name).withColumn(
+    asked = numbered.withColumn("new_filename", name).withColumn(
         "target_path", F.concat_ws("/", place, F.col("new_filename"))
-    )
-    planned = staged(planned, "planned")
-    given = _given_paths(planned.select("_row", "target_path", "path"), "target_path", "path", existing, "_conflict", "resolved_path")
-    return planned.join(given, "_row").drop("_row")
+    ).select("_row", "path", "sequence_id", "new_filename", "target_path")
+    given = _given_paths(staged(asked, "asked"), "target_path", "path", existing, "_conflict", "resolved_path")
+    return rows.join(given.drop("path"), "_row").drop("_row")

@@ -90,7 +90,7 @@ SEQUENCED = f"{DOCS}, {NUMBERED}"
 
 @query("assign_sequence_ids", f"with {SEQUENCED} select doc_id, clean_vendor, document_type, sequence_id from sequenced")
 def assign_sequence_ids(d):
-    return plans.assign_sequence_ids(_docs(d)).select("doc_id", "clean_vendor", "document_type", "sequence_id")
+    return plans.assign_sequence_ids(_docs(d).select("doc_id", "path", "clean_vendor", "document_type")).drop("path")
 
 
 def _conflicts(suffix: str) -> str:
@@ -142,7 +142,8 @@ PLANNED = f"{DOCS}, {NAMED}"
 @query("naming_plan", f"""with {PLANNED}
 select path, new_filename, folder || '/' || folder || '_' || execution_status || '/' || new_filename as resolved_path from planned""")
 def naming_plan(d):
-    return plans.naming_plan(_docs(d)).select("path", "new_filename", "resolved_path")
+    docs = _docs(d).select("path", "folder", "original_name", "clean_vendor", "document_type", "execution_status", "date_str")
+    return plans.naming_plan(docs).select("path", "new_filename", "resolved_path")
 
 
 FAILED = f"""failed as (select *, '_errors/' || original_name as target_path, row_number() over (partition by original_name order by path) - 1 as copy
