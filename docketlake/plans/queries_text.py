@@ -391,6 +391,18 @@ def match_vendors(d):
     return vendor_jobs.match_vendors(docs, d.vendor_master).select("doc_id", "matched_vendor", "match_score")
 
 
+@query("match_vendors_edited", f"""
+with {EXACT}, sized as (select {_normal('master_vendor')} as norm, min(pos) as pos from vendor_master group by 1)
+select pos, exact_vendor as matched_vendor, round(200.0 * length(norm) / (2 * length(norm) + 2), 6) as match_score
+from sized join exact on vendor_key = norm""")
+def match_vendors_edited(d):
+    """Every master with two letters added that no name has: its length alone fixes the ratio of the best match."""
+    first = d.vendor_master.groupBy(vendors.normalize_vendor(F.col("master_vendor")).alias("norm")).agg(F.min("pos").alias("pos"))
+    docs = first.select("pos", F.concat(F.col("norm"), F.lit("ßñ")).alias("vendor"))
+    return vendor_jobs.match_vendors(docs, d.vendor_master).select(
+        "pos", "matched_vendor", F.round("match_score", 6).alias("match_score"))
+
+
 @query("vendor_dimension", f"""
 with named as (select coalesce({FOLDER}, {FILENAME}, '') as vendor, count(*) as n from contracts group by 1),
 {EXACT}, matched as (select coalesce(exact_vendor, vendor) as vendor, n from named left join exact on vendor_key = {_normal('vendor')} and vendor <> '')
