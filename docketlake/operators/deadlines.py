@@ -15,20 +15,16 @@ _KINDS = ("expiration", "renewal", "review", "termination")
 def deadlines(df: DataFrame, as_of: date, days: int = 90) -> DataFrame:
     """Deadlines up to ``days`` ahead, overdue ones included.
 
-    Each comes with the public fields of its document.  The four date columns are unfolded per row; the latest allowed day is checked
-    on the unfolded rows and, as a plain filter, already on the scan.
+    Each comes with the public fields of its document.  Only dates that are due become
+    rows; the latest allowed day is checked, as a plain filter, already on the scan.
     """
     days = max(1, min(days, 3650))
     today = F.lit(as_of)
     last = F.date_add(today, days)
     any_due = reduce(lambda a, b: a | b, [F.col(f"{k}_date") <= last for k in _KINDS])
-    shown = view_columns(df)
-    long = (
-        df.where(any_due)
-        .select(*shown.values(), *[F.col(f"{k}_date").alias(k) for k in _KINDS])
-        .unpivot(list(shown), list(_KINDS), "kind", "due_date")
-        .where(F.col("due_date") <= last)
-    )
+    dates = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_date").alias("due_date")) for k in _KINDS])
+    due = F.filter(dates, lambda d: d["due_date"] <= last)
+    long = df.where(any_due).select(*view_columns(df).values(), F.inline(due))
     left = F.datediff(F.col("due_date"), today)
     return long.withColumns({
         "days_remaining": left,

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from docketlake import fixed
 from docketlake.functions.doctype import failure_code
 from docketlake.operators.ordered import running_total
-from docketlake.session import cut
+from docketlake.session import Rounds, cut
 
 
 _ATTEMPT = ("attempt_number", "status", "started_at", "finished_at", "duration_ms", "retryable", "error_code")
@@ -185,38 +185,40 @@ def job_lineage(jobs: DataFrame, job_id: int | None = None) -> DataFrame:
     """First job (root) of every job's redrive chain and the distance to it.
 
     Pointer doubling: in each round a job takes over the pointer of the job it
-    points to, so a chain of n jobs needs about log2(n) joins.  Jobs that know
-    their root drop out of the join and never pile up on a popular root; each
-    round is written out, so lost executors cost one round at most.  Jobs in a
-    cycle have no root: they stay with a null root.
+    points to, so a chain of n jobs needs about log2(n) joins.  A job whose pointer
+    is its root is settled: it is written once and only read from then on, and each
+    round writes the open jobs alone.  Jobs in a cycle have no root: they stay with
+    a null root.
     """
     ids = jobs.select("job_id", "parent_job_id")
     parents = ids.select(F.col("job_id").alias("parent_job_id"), F.lit(True).alias("_exists"))
-    linked = ids.join(parents, "parent_job_id", "left")
-    state = cut(linked.select(
-        "job_id",
-        F.when(F.col("_exists"), F.col("parent_job_id")).otherwise(F.col("job_id")).alias("pointer"),
+    table = Rounds(jobs.sparkSession, "lineage", "job_id long, pointer long, depth long, done boolean")
+    part = ids.join(parents, "parent_job_id", "left").select(
+        F.col("job_id").cast("long").alias("job_id"),
+        F.when(F.col("_exists"), F.col("parent_job_id")).otherwise(F.col("job_id")).cast("long").alias("pointer"),
         F.when(F.col("_exists"), 1).otherwise(0).cast("long").alias("depth"),
         F.col("_exists").isNull().alias("done"),
-    ))
-    slices = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = state.where("not done").count()
-    rounds = max(1, left.bit_length()) + 1
-    while left and rounds:
-        open_jobs = state.where("not done")
-        target = state.select(
+    )
+    rounds = None
+    while True:
+        seen = Observation()
+        table.add(part.observe(seen, F.count_if(~F.col("done")).alias("left")))
+        left = seen.get["left"]
+        known = table.read()
+        current = F.col("done") | (F.col("round") == table.last)
+        # as many rounds as the longest possible chain needs; what is open then lies in a cycle
+        rounds = max(1, left.bit_length()) + 1 if rounds is None else rounds - 1
+        if not left or not rounds:
+            break
+        target = known.where(current).select(
             F.col("job_id").alias("pointer"), F.col("pointer").alias("_next"),
             F.col("depth").alias("_more"), F.col("done").alias("_root_known"),
         )
-        moved = open_jobs.join(target, "pointer").select(
+        part = known.where(~F.col("done") & (F.col("round") == table.last)).join(target, "pointer").select(
             "job_id", F.col("_next").alias("pointer"), (F.col("depth") + F.col("_more")).alias("depth"),
             F.col("_root_known").alias("done"),
         )
-        # the union adds up partitions; without this their number grew every round
-        state = cut(state.where("done").unionByName(moved).coalesce(slices))
-        left = state.where("not done").count()
-        rounds -= 1
-    result = state.select(
+    result = known.where(current).select(
         "job_id",
         F.when(F.col("done"), F.col("pointer")).alias("root_job_id"),
         F.when(F.col("done"), F.col("depth")).alias("depth"),

@@ -197,15 +197,15 @@ def route_review(d):
 
 # --- dates --------------------------------------------------------------------------------
 
-FORMATS = "['%B %-d %Y', '%b %-d %Y', '%-d %B %Y', '%-d %b %Y', '%-m/%-d/%Y', '%Y/%-m/%-d']"
-
-
 def _parse(sql: str) -> str:
-    plain = f"replace({sql}, '-', '/')"
-    for pattern, left in dates.PLAIN:
-        plain = f"regexp_replace({plain}, {_lit(pattern)}, '{chr(92) + str(left) if isinstance(left, int) else left}', 'g')"
-    return (f"cast(case when regexp_matches({plain}, '^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2}}$') "
-            f"then try_strptime({plain}, '%-m/%-d/%y') else try_strptime({plain}, {FORMATS}) end as date)")
+    numbers = f"regexp_extract_all({sql}, '[0-9]+')"
+    month = f"lower(regexp_extract({sql}, '(?i){'|'.join(dates.MONTHS)}'))"
+    year = f"(case when length({numbers}[3]) = 4 then {numbers}[3] when {numbers}[3] >= '69' then '19' || {numbers}[3] else '20' || {numbers}[3] end)"
+    named = (f"list_filter({numbers}, lambda n: length(n) = 4)[1] || '-' || cast(list_position({list(dates.MONTHS)}, {month}) as varchar) || '-' || "
+             f"coalesce(list_filter({numbers}, lambda n: length(n) < 4)[1], '1')")
+    return (f"cast(try_strptime(case when {month} <> '' then {named} when length({numbers}[1]) = 4 then array_to_string({numbers}, '-') "
+            f"when cast({numbers}[1] as int) > 12 then {year} || '-' || {numbers}[2] || '-' || {numbers}[1] "
+            f"else {year} || '-' || {numbers}[1] || '-' || {numbers}[2] end, '%Y-%-m-%-d') as date)")
 
 
 ONE_DATE = _lit(f"(?i)(?:^|[^A-Za-z0-9])({dates.DATE_TEXT})")

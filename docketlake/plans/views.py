@@ -147,7 +147,10 @@ select o_orderkey as doc_id,
   || case o_orderkey % 13 when 0 then 'Expiration date: ' || {form_day} || 'th day of March, ' || {form_year} || chr(10)
    when 1 then 'Renewal date: ' || {form_day} || ' June ' || {form_year} || chr(10) when 2 then 'The termination date is Sept ' || {form_day} || ', ' || {form_year} || chr(10)
    when 3 then 'Effective date: October ' || {form_day} || 'rd, ' || {form_year} || chr(10) when 4 then 'The termination date is 12/' || {form_day} || '/' || substr({form_year}, 3, 2) || chr(10)
-   when 5 then 'Renewal date: ' || {form_day} || ' Sept ' || {form_year} || chr(10) when 6 then 'Effective date: Feb. ' || {form_day} || ' ' || {form_year} || chr(10) else '' end
+   when 5 then 'Renewal date: ' || {form_day} || ' Sept ' || {form_year} || chr(10) when 6 then 'Effective date: Feb. ' || {form_day} || ' ' || {form_year} || chr(10)
+   when 7 then 'Expiration date: March ' || {form_year} || chr(10) when 8 then 'Signed 5.' || {form_day} || '.' || {form_year} || chr(10)
+   when 9 then 'Signed ' || {form_year} || '.03.' || {form_day} || chr(10) when 10 then 'Renewal date: Mar-' || {form_day} || '-' || {form_year} || chr(10)
+   when 11 then 'The termination date is ' || {form_day} || '-Mar-' || {form_year} || chr(10) when 12 then 'Signed ' || {form_day} || '/3/' || {form_year} || chr(10) else '' end
   || case o_orderkey % 4 when 0 then 'Digitally signed by Jane Doe' when 1 then 'DocuSign Envelope ID: 12345' when 2 then 'By: ________ Date: ________' else 'Draft for discussion' end
   || case o_orderkey % 10 when 0 then chr(10) || 'Witnessed by: John Roe' || chr(10) || 'Notary Public' when 1 then chr(10) || 'In witness whereof the parties have executed this agreement' when 2 then chr(10) || 'Name: Ann Poe Title: Director Date: May 1 ' else '' end
  end as text

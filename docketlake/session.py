@@ -90,3 +90,20 @@ def release(spark: SparkSession) -> int:
         path = hadoop(_staged.pop())
         path.getFileSystem(conf).delete(path, True)
     return count
+
+
+class Rounds:
+    """A table that grows by one part in every round of an iteration; no part is written twice."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: str):
+        self.spark, self.schema, self.last = spark, schema, -1
+        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _staged.append(self.path)
+
+    def add(self, part: DataFrame) -> None:
+        self.last += 1
+        part.write.parquet(f"{self.path}/round={self.last}")
+
+    def read(self) -> DataFrame:
+        """All parts, with the number of their ``round``, as one scan."""
+        return self.spark.read.schema(f"{self.schema}, round int").parquet(self.path)

@@ -147,6 +147,11 @@ def test_latest_date(one):
         ("March 5th, 2021", None, "20210305"), ("12/31/99", None, "19991231"), ("1-2-34", None, "20340102"),
         ("this 5th day of March, 2021", None, "20210305"), ("1st of Sept., 2020", None, "20200901"),
         ("the 22ND DAY OF SEPTEMBER 2019", None, "20190922"), ("Oct. 3 2018", None, "20181003"), ("12/31/199", None, None),
+        ("signed March 2021", None, "20210301"), ("in Dec of 2020", None, "20201201"), ("2021.03.05", None, "20210305"),
+        ("5.3.2021", None, "20210503"), ("Mar-05-2021", None, "20210305"), ("05-Mar-2021", None, "20210305"),
+        ("2021-Mar-05", None, "20210305"), ("25/3/2021", None, "20210325"), ("25.3.2021", None, "20210325"),
+        ("March 5,2021", None, "20210305"), ("section 5.3.21", None, None), ("March 05, then", None, None), ("13.13.2021", None, None),
+        ("May 32, 2021", None, None), ("June 20215", None, None),
         ("30 Feb 2020", None, None), ("2/30/20", None, None), ("2/29/96", None, "19960229"), ("112/31/99", None, None), ("no dates here", "", None), (None, None, None),
         ("1/2/2020 and 2019-05-06", "Acme_2021-03-04.pdf", "20210304"), ("in 2036: 2036-01-01", "", None),
         ("Feb 3 1999, 12-31-1998", "", "19990203"), ("2024-02-30", "", None),
