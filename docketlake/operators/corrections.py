@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docketlake import fixed
 from docketlake.functions.text import strip
+from docketlake.session import staged
 
 _DOMAINS = {
     "document_type": (F.upper, fixed.DOCUMENT_TYPES),
@@ -21,6 +22,11 @@ _DOMAINS = {
     "retention_category": (F.lower, fixed.RETENTION_CATEGORIES),
 }
 _DATES = ("effective_date", "expiration_date", "renewal_date", "review_date", "termination_date")
+_FIELDS = (*_DOMAINS, "vendor", "review_notes", *_DATES)
+_SEQUENCE = ("seq", "reviewer_id", "_order")
+_DATE_ORDER = "expiration_date cannot be before effective_date"
+# Corrections of one document that are folded as one list, at most.
+FOLD = 200
 _ISO = r"^\d{4}-\d{1,2}-\d{1,2}$"
 
 
@@ -74,18 +80,63 @@ def checked_corrections(docs: DataFrame, patches: DataFrame) -> DataFrame:
     Each correction is checked against the state that the accepted ones before it
     have left; ``applied`` numbers the accepted ones of a document.  What a
     correction says is checked in expressions; only the order of dates needs the
-    state, which passes through a task document by document, one row in memory.
+    state.  It is found by a fold over the few columns that matter of a document's
+    corrections; the other fields follow from windows.  A document with more than
+    FOLD corrections passes through a task in order instead, one row in memory.
     """
-    fields = (*_DOMAINS, "vendor", "review_notes", *_DATES)
-    known = docs.select("doc_id", "tenant_id", *fields, "review_status").withColumn("_known", F.lit(True))
+    known = docs.select("doc_id", "tenant_id", *_FIELDS, "review_status").withColumn("_known", F.lit(True))
     patches = patches.withColumn("fields", F.coalesce("fields", F.create_map().cast("map<string,string>")))
     joined = patches.join(known, "doc_id", "left").withColumns({
         "error": F.when(F.col("_known").isNull(), "Document not found").otherwise(_first_error()),
         "applied": F.lit(None).cast("long"), "_marked": _marked(), "_order": F.to_json("fields"),
         **{f"_new_{name}": value for name, value in _new_values().items()},
-        **{f"_has_{name}": _has(name) for name in fields},
+        **{f"_has_{name}": _has(name) for name in _FIELDS},
     }).drop("_known")
-    state_names = (*fields, "review_status")
+    hidden = [name for name in joined.columns if name.startswith("_")]
+    crowded = patches.groupBy("doc_id").count().where(F.col("count") > FOLD).select("doc_id")
+    if crowded.isEmpty():
+        return _folded(joined).drop(*hidden)
+    crowded = staged(crowded, "crowded")
+    return _folded(joined.join(crowded, "doc_id", "left_anti")).unionByName(
+        _in_order(joined.join(crowded, "doc_id", "left_semi"))).drop(*hidden)
+
+
+def _folded(joined: DataFrame) -> DataFrame:
+    """Corrections with error, applied and the state before them; everything stays in the JVM and on one key."""
+    placed = joined.withColumn("_place", F.row_number().over(W.partitionBy("doc_id").orderBy(*_SEQUENCE)))
+    dates = {"start": "effective_date", "end": "expiration_date"}
+    change = F.struct("_place", F.col("error").isNull().alias("sound"), *[
+        F.col(f"_{part}_{name}").alias(f"{part}_{k}") for k, name in dates.items() for part in ("has", "new")])
+
+    def step(state: Column, c: Column) -> Column:
+        after = {k: F.when(c[f"has_{k}"], c[f"new_{k}"]).otherwise(state[k]) for k in dates}
+        good = c["sound"] & ~F.coalesce(after["end"] < after["start"], F.lit(False))
+        return F.struct(*[F.when(good, after[k]).otherwise(state[k]).alias(k) for k in dates],
+                        F.concat(state["good"], F.array(good)).alias("good"))
+
+    begin = F.struct(*[F.col(k) for k in dates], F.array().cast("array<boolean>").alias("good"))
+    verdicts = placed.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(change)).alias("changes"), *[F.first(name).alias(k) for k, name in dates.items()],
+    ).select("doc_id", F.aggregate("changes", begin, step, lambda state: state["good"]).alias("_good"))
+    judged = placed.join(verdicts, "doc_id", "left").withColumn(
+        "_good", F.coalesce(F.get("_good", F.col("_place") - 1), F.lit(False)))
+    before = W.partitionBy("doc_id").orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
+    state = {}
+    for name in _FIELDS:
+        last = F.last(F.when(F.col("_good") & F.col(f"_has_{name}"), F.struct(F.col(f"_new_{name}").alias("value"))), True).over(before)
+        state[name] = F.when(last.isNotNull(), last["value"]).otherwise(F.col(name))
+    reviewed = F.coalesce(F.max(F.col("_good") & F.col("_marked")).over(before), F.lit(False))
+    state["review_status"] = F.when(reviewed, "reviewed").otherwise(F.col("review_status"))
+    number = F.count_if("_good").over(W.partitionBy("doc_id").orderBy("_place").rowsBetween(W.unboundedPreceding, 0))
+    return judged.withColumns({
+        **state, "applied": F.when(F.col("_good"), number),
+        "error": F.when(F.col("error").isNull() & ~F.col("_good"), _DATE_ORDER).otherwise(F.col("error")),
+    }).select(*joined.columns)
+
+
+def _in_order(joined: DataFrame) -> DataFrame:
+    """The same for documents of any number of corrections: in order, one row in memory."""
+    state_names = (*_FIELDS, "review_status")
 
     def in_order(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         document, state, applied = object(), {}, 0
@@ -100,10 +151,10 @@ def checked_corrections(docs: DataFrame, patches: DataFrame) -> DataFrame:
                     out[name][i] = state[name]
                 if out["error"][i] is not None:
                     continue
-                after = {n: read[f"_new_{n}"][i] if read[f"_has_{n}"][i] else state[n] for n in fields}
+                after = {n: read[f"_new_{n}"][i] if read[f"_has_{n}"][i] else state[n] for n in _FIELDS}
                 start, end = after["effective_date"], after["expiration_date"]
                 if start is not None and end is not None and end < start:
-                    out["error"][i] = "expiration_date cannot be before effective_date"
+                    out["error"][i] = _DATE_ORDER
                     continue
                 after["review_status"] = "reviewed" if read["_marked"][i] else state["review_status"]
                 applied += 1
@@ -112,9 +163,8 @@ def checked_corrections(docs: DataFrame, patches: DataFrame) -> DataFrame:
                 [pa.array(out[f.name], f.type) if f.name in out else batch.column(f.name) for f in batch.schema],
                 names=batch.schema.names)
 
-    ordered = joined.repartition("doc_id").sortWithinPartitions("doc_id", "seq", "reviewer_id", "_order")
-    hidden = [name for name in joined.columns if name.startswith("_")]
-    return ordered.mapInArrow(in_order, joined.schema).drop(*hidden)
+    ordered = joined.repartition("doc_id").sortWithinPartitions("doc_id", *_SEQUENCE)
+    return ordered.mapInArrow(in_order, joined.schema)
 
 
 def rejected_corrections(checked: DataFrame) -> DataFrame:

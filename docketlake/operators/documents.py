@@ -9,7 +9,7 @@ from docketlake.functions.text import iso_date, iso_timestamp
 from docketlake.operators.ordered import newest
 
 _DATES = ("effective_date", "expiration_date", "renewal_date", "review_date", "termination_date")
-_VIEW = (
+VIEW_FIELDS = (
     "doc_id", "tenant_id", "uploaded_by_id", "reviewed_by_id", "original_name", "status",
     "document_type", "vendor", "execution_status", *_DATES, "retention_category",
     "generated_filename", "processed_folder", "storage_backend", "source_storage_key",
@@ -42,19 +42,19 @@ def _shown(name: str) -> Column:
 
 def view_columns(df: DataFrame) -> dict[str, Column]:
     """The public fields that ``df`` has, as they are shown."""
-    return {c: _shown(c) for c in _VIEW if c in df.columns}
+    return {c: _shown(c) for c in VIEW_FIELDS if c in df.columns}
 
 
 def document_view(df: DataFrame) -> DataFrame:
     """The 31 public fields, dates and times as ISO text."""
-    return df.select(*[_shown(c) for c in _VIEW])
+    return df.select(*[_shown(c) for c in VIEW_FIELDS])
 
 
 def document_detail(df: DataFrame, doc_id: int) -> DataFrame:
     """Public fields, text and the metadata struct of one document."""
     one = df.where(F.col("doc_id") == doc_id)
     meta = F.to_json(F.struct("document_type", "execution_status", "vendor", "retention_category"))
-    return one.select(*[_shown(c) for c in _VIEW], meta.alias("metadata_json"),
+    return one.select(*[_shown(c) for c in VIEW_FIELDS], meta.alias("metadata_json"),
                       F.col("text").alias("extracted_text"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from docketlake import fixed
+from docketlake.operators.documents import view_columns
 
 
 def related_documents(edges: DataFrame, docs: DataFrame, doc_id: int | None = None) -> DataFrame:
@@ -12,11 +13,14 @@ def related_documents(edges: DataFrame, docs: DataFrame, doc_id: int | None = No
 
     Two equi-joins instead of one on "either end".  A document that very many
     links point to is a skewed key of the link side only, which adaptive execution
-    splits; documents are unique on the other side.
+    splits; documents are unique on the other side.  For one document
+    (``doc_id``) each related one comes with all its public fields, as the struct
+    ``related_document``.
     """
+    full = [F.struct(*view_columns(docs).values()).alias("related_document")] if doc_id is not None else []
     docs = docs.select(
         F.col("doc_id").alias("related_id"), F.col("tenant_id").alias("related_tenant"),
-        "original_name", "document_type", "status",
+        "original_name", "document_type", "status", *full,
     )
     seen = []
     for own, other, direction in (
@@ -27,7 +31,7 @@ def related_documents(edges: DataFrame, docs: DataFrame, doc_id: int | None = No
         if direction == "incoming":
             side = side.where(F.col(own) != F.col(other))
         seen.append(side.select(
-            "relationship_id", "relationship_type", "tenant_id", "created_at",
+            "relationship_id", "relationship_type", "tenant_id", "created_at", "created_by_id",
             F.lit(direction).alias("direction"),
             F.col(own).alias("document_id"), F.col(other).alias("related_id"),
         ))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from docketlake import fixed
 from docketlake.functions.text import iso_date, iso_timestamp
 from docketlake.operators import audit, backfill, corrections, deadlines, documents, registry, relationships
+from docketlake.operators import jobs as job_queries
 from docketlake.plans.catalog import AS_OF, AS_OF_TIME, Data, iso, iso_days, number, query, scratch
 from docketlake.sources import files, sinks, tables
 
@@ -305,7 +308,7 @@ def write_registry(d):
 
 RELATED = """
 select l.relationship_id, l.relationship_type, l.tenant_id, strftime(l.created_at, '%Y-%m-%dT%H:%M:%S') as created_at, l.direction,
- l.document_id, l.related_id, c.original_name, c.document_type, c.status
+ l.document_id, l.related_id, l.created_by_id, c.original_name, c.document_type, c.status
 from (select *, 'outgoing' as direction, source_document_id as document_id, target_document_id as related_id from edges union all
  select *, 'incoming', target_document_id, source_document_id from edges where source_document_id <> target_document_id) l
 join contracts c on c.doc_id = l.related_id and c.tenant_id is not distinct from l.tenant_id"""
@@ -320,9 +323,19 @@ def related_documents(d):
     return _iso_created(relationships.related_documents(d.edges, d.contracts))
 
 
-@query("related_documents_of", RELATED + " where l.document_id = 30")
+# A document that many links lead to at every scale.
+LINKED = "(select target_document_id from edges e join contracts c on c.doc_id = e.target_document_id and c.tenant_id is not distinct from e.tenant_id group by 1 order by count(*) desc, 1 limit 1)"
+
+
+@query("related_documents_of", f"""
+select r.*, {', '.join(f'v.{c} as related_{c}' for c in documents.VIEW_FIELDS)}
+from ({RELATED} where l.document_id = {LINKED}) r join (select {VIEW} from contracts) v on v.doc_id = r.related_id""")
 def related_documents_of(d):
-    return _iso_created(relationships.related_documents(d.edges, d.contracts, 30))
+    tenants = d.contracts.select(F.col("tenant_id").alias("owner"), F.col("doc_id").alias("target_document_id"))
+    seen = d.edges.join(tenants, "target_document_id").where(F.col("tenant_id").eqNullSafe(F.col("owner")))
+    most = seen.groupBy("target_document_id").count().orderBy(F.col("count").desc(), "target_document_id").first()
+    found = _iso_created(relationships.related_documents(d.edges, d.contracts, most["target_document_id"]))
+    return found.select("*", *[F.col(f"related_document.{c}").alias(f"related_{c}") for c in documents.VIEW_FIELDS]).drop("related_document")
 
 
 KINDS = ", ".join(f"'{k}'" for k in fixed.RELATIONSHIP_TYPES)
@@ -446,14 +459,32 @@ def apply_corrections(d):
     )
 
 
-@query("audit_rows", CHECKED + """
-select tenant_id, reviewer_id as user_id, doc_id as document_id, 'document.update' as action from checked where error is null
-union all select tenant_id, null, document_id, 'document.processed' from jobs where status = 'completed'""")
+AUDITED_AT = datetime(1998, 1, 1)
+
+
+@query("audit_rows", CHECKED + """,
+told as (
+select tenant_id, reviewer_id as user_id, doc_id as document_id, 'document.update' as action, null as details from checked where error is null
+union all select tenant_id, null, document_id, 'document.processed', printf('{"job_id":%d,"attempt":%d}', job_id, attempts) from jobs where status = 'completed'
+union all select tenant_id, null, document_id, 'job.recovered', printf('{"job_id":%d,"outcome":"%s","reason":"worker_lost"}', job_id,
+ case when attempts >= max_attempts then 'failed' else 'pending' end) from jobs
+ where status = 'processing' and (heartbeat_at is null or heartbeat_at < timestamp '1998-01-01 00:00:00' - interval 90 seconds)
+union all select tenant_id, null, document_id, 'job.redrive', printf('{"parent_job_id":%d,"job_id":%d}', parent_job_id, job_id) from jobs where parent_job_id is not null
+union all select tenant_id, created_by_id, source_document_id, 'document.relationship.create',
+ printf('{"relationship_id":%d,"target_document_id":%d,"relationship_type":"%s"}', relationship_id, target_document_id, relationship_type) from edges
+union all select tenant_id, 3, target_document_id, 'document.relationship.delete', printf('{"relationship_id":%d}', relationship_id) from edges where relationship_type = 'copy')
+select tenant_id, cast(user_id as bigint) as user_id, document_id, action, details from told""")
 def audit_rows(d):
     log = corrections.change_log(corrections.checked_corrections(d.contracts, patches(d)), AS_OF_TIME)
-    return audit.audit_rows(log, d.jobs.where("status = 'completed'")).select(
-        "tenant_id", "user_id", "document_id", "action"
-    )
+    lost = job_queries.stale_leases(d.jobs, d.attempts, AUDITED_AT).withColumn("recovered_at", F.lit(AUDITED_AT))
+    gone = d.edges.where("relationship_type = 'copy'").select(
+        "relationship_id", "tenant_id", F.col("target_document_id").alias("document_id"), F.lit(3).alias("user_id"),
+        F.lit(AUDITED_AT).alias("deleted_at"))
+    told = audit.audit_rows(
+        log, d.jobs.where("status = 'completed'"), lost, d.jobs.where("parent_job_id is not null"), d.edges, gone)
+    # what a correction changes is compared by correction_changes
+    details = F.when(F.col("action") != "document.update", F.col("details"))
+    return told.select("tenant_id", "user_id", "document_id", "action", details.alias("details"))
 
 
 def _rule(message, broken):

@@ -196,12 +196,12 @@ def _edges(d) -> str:
 select o_orderkey as relationship_id, o_custkey % 5 as tenant_id, o_orderkey as source_document_id,
  case when o_orderkey % 17 = 0 then o_orderkey when o_orderkey % 19 = 0 then -1 else o_orderkey - 1 - (o_orderkey % 3) end as target_document_id,
  case when o_orderkey % 23 = 0 then 'copy' else case o_orderkey % 6 when 0 then 'amends' when 1 then 'statement_of_work' when 2 then 'exhibit' when 3 then 'renewal' when 4 then 'supersedes' else 'related' end end as relationship_type,
- cast(o_orderdate as timestamp) as created_at
+ cast(o_orderdate as timestamp) as created_at, case when o_orderkey % 4 <> 0 then o_custkey % 20 end as created_by_id
 from orders
 union all
 select 1000000000000 + l_partkey as relationship_id, 1 as tenant_id, min(l_orderkey) as source_document_id,
  min(l_orderkey) - 1 - (min(l_orderkey) % 3) as target_document_id, 'related' as relationship_type,
- cast(min(l_shipdate) as timestamp) as created_at
+ cast(min(l_shipdate) as timestamp) as created_at, 7 as created_by_id
 from lineitem group by l_partkey"""
 
 

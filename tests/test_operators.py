@@ -1,7 +1,7 @@
 """Operators against brute force on small, awkward inputs."""
 
 import random
-from collections import deque
+from collections import Counter, deque
 from datetime import date, datetime, timedelta
 from difflib import SequenceMatcher
 
@@ -363,3 +363,34 @@ def test_split(spark, n, train):
     df = spark.range(n).select(F.col("id").alias("doc_id"))
     got = corpus.train_eval_split(df).collect()
     assert sorted(r["doc_id"] for r in got if r["split"] == "train") == list(range(train)) and len(got) == n
+
+
+def test_folded_corrections_equal_those_in_order(spark, monkeypatch):
+    """Random corrections of a few documents, some with many, by the fold and one after the other."""
+    rnd = random.Random(12)
+    days = [None, "2024-01-01", "2024-06-01", "2024-12-31", "soon", ""]
+    schema = (
+        "doc_id long, tenant_id long, document_type string, execution_status string, retention_category string, vendor string, "
+        "review_notes string, effective_date date, expiration_date date, renewal_date date, review_date date, "
+        "termination_date date, review_status string, reviewed_by_id long, reviewed_at timestamp"
+    )
+    docs = spark.createDataFrame([
+        (i, 1, "MSA", "final", None, "Acme", None, date(2024, 5, 1), date(2024, 4, 1) if i % 3 == 0 else None, None, None, None,
+         "needs_review", None, None) for i in range(12)], schema)
+    rows = []
+    for n in range(300):
+        fields = {k: v for k in ("effective_date", "expiration_date") if (v := rnd.choice(days)) is not None and rnd.random() < 0.5}
+        fields |= {"vendor": rnd.choice(["A", "", " B "])} if rnd.random() < 0.4 else {}
+        fields |= {"document_type": rnd.choice(["nda", "bad", ""])} if rnd.random() < 0.3 else {}
+        fields |= {"mark_reviewed": "true"} if rnd.random() < 0.1 else {}
+        rows.append((rnd.choice([0, 0, 0, *range(14), None]), n // 4, rnd.randint(1, 3), fields or None))
+    patches = spark.createDataFrame(rows, "doc_id long, seq int, reviewer_id long, fields map<string,string>")
+    found = []
+    for fold in (0, 20, 200):
+        monkeypatch.setattr(corrections, "FOLD", fold)
+        checked = corrections.checked_corrections(docs, patches)
+        if fold == 200:
+            plan = checked._jdf.queryExecution().executedPlan().toString()
+            assert "MapInArrow" not in plan
+        found.append(Counter(tuple(r) for r in checked.withColumn("fields", F.to_json("fields")).collect()))
+    assert found[0] == found[1] == found[2] and sum(found[0].values()) == 300
