@@ -8,9 +8,11 @@ at a lower weight, in the next round.  The draw takes languages and sources in
 turn, so that small ones are in it, and is another one in each round.  A
 labelled document that one view rejects with confidence is explained: the other
 view need not find a reason in it and leaves it out, and no view learns a
-pseudo-label it is confident is wrong.  In the end both scores are calibrated on
-labelled documents that neither has learned from; a document's score is the
-probability that neither view has reason to reject it.
+pseudo-label it is confident is wrong.  Both scores are calibrated on labelled
+documents that neither has learned from; a document's score is the probability
+that neither view has reason to reject it.  Of the rounds, the one counts that has
+the least error on those documents, bad ones kept and good ones lost weighing alike
+whatever their numbers.
 
 Fitting uses at most ``labelled`` labelled documents, drawn by a hash, and for
 each view at most ``pool`` newly labelled ones; giving pseudo-labels and scoring
@@ -41,6 +43,9 @@ from docketlake.llm.common import WordHashes, lists, map_batches, row_tag, spare
 LABELLED, POOL, ROUNDS = 8000, 3000, 3
 # A pseudo-label is given where the calibrated probability is this near to 0 or 1.
 CONFIDENT = 0.98
+# Parts of a language and source in the draw of pseudo-labels, and the rows that may come from each; Spark applies
+# limits of up to 1,000 before the shuffle.
+SALTS, PART_ROWS = 8, 1000
 # What a pseudo-label weighs, a label being 1.
 PSEUDO_WEIGHT = 0.1
 # Words in fewer sampled documents than this say nothing.
@@ -183,14 +188,15 @@ Given = tuple[list[np.ndarray], np.ndarray, np.ndarray]
 
 
 def co_train(sets: list[np.ndarray], meta: np.ndarray, y: np.ndarray, held: np.ndarray, given: list[Given],
-             explained: list[np.ndarray] | None = None) -> tuple[Model, list[np.ndarray] | None]:
+             explained: list[np.ndarray] | None = None) -> tuple[Model, list[np.ndarray] | None, float]:
     """One round; ``held`` marks the labelled rows kept for calibration.
 
     ``given`` has words, metadata and pseudo-labels that the content and the metadata view learn from;
-    ``explained`` is what the round before has returned.
+    ``explained`` is what the round before has returned.  The last value is the error on the rows kept:
+    the share of bad ones that pass plus the share of good ones that do not.
     """
     if not len(y) or y.min() == y.max():
-        return Model(prior=float(y.mean()) if len(y) else 1.0), None
+        return Model(prior=float(y.mean()) if len(y) else 1.0), None, 0.0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.arange(len(y)) % 2 == 0 if len(set(y[::2])) == len(set(y[1::2])) == 2 else np.ones(len(y), bool)
     own = np.flatnonzero(~held) if not held.all() else np.arange(len(y))
@@ -219,7 +225,9 @@ def co_train(sets: list[np.ndarray], meta: np.ndarray, y: np.ndarray, held: np.n
         lines.append(fit_line(scores[view][use], y[use]))
     sure = [_sigmoid(z * line[0] + line[1]) for z, line in zip(scores, lines)]
     explained = [(y == 0) & (sure[1] <= 1 - CONFIDENT), (y == 0) & (sure[0] <= 1 - CONFIDENT)]
-    return Model(views[0], views[1], *lines, prior=float(y.mean())), explained
+    keeps = sure[0] * sure[1] >= 0.5
+    error = sum(float((keeps[kept] != y[kept])[y[kept] == kind].mean()) for kind in (0, 1) if (y[kept] == kind).any())
+    return Model(views[0], views[1], *lines, prior=float(y.mean())), explained, error
 
 
 def _confident(p: np.ndarray, other: np.ndarray) -> list[int | None]:
@@ -250,8 +258,42 @@ def _tagged(docs: DataFrame) -> DataFrame:
 
 
 def _drawn(ids: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` rows, by a hash of the id: each task keeps its first, then they are merged."""
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    """At most ``most`` rows, by a hash of the id.
+
+    The hash alone lets about twice as many pass, so that the task that puts them in
+    order sees a bounded number whatever the table.
+    """
+    ids = stage(ids, "ids")
+    share = min(1.0, 2 * most / max(1, ids.count()))
+    hashed = F.xxhash64("doc_id")
+    return ids.where(F.pmod(hashed, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).orderBy(
+        F.pmod(hashed, F.lit(1 << 30)), "doc_id").limit(most)
+
+
+def _in_turn(given: DataFrame, most: int, turn: int) -> DataFrame:
+    """At most ``most`` rows of each view, languages and sources in turn, by a hash that differs from turn to turn.
+
+    Ranks are first found in SALTS parts of a language and source, where a limit of
+    PART_ROWS acts before the shuffle; then among the few rows left; and only as many
+    ranks go into the last order as are needed.
+    """
+    hashed, group = F.xxhash64("doc_id", "tag", F.lit(turn)), ["view", "lang", "source"]
+    cut = given.withColumn("draw", hashed).withColumn("salt", F.pmod(F.xxhash64("tag", "doc_id"), F.lit(SALTS)))
+    order = ["draw", "doc_id", "tag"]
+    inside = F.row_number().over(Window.partitionBy(*group, "salt").orderBy(*order))
+    first = cut.withColumn("inside", inside).where(F.col("inside") <= min(most, PART_ROWS)).drop("inside", "salt")
+    placed = stage(first.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).select(
+        "doc_id", "tag", "view", "good", "place", "draw"), "placed")
+    chosen = []
+    for view in (0, 1):
+        mine, total, last = placed.where(F.col("view") == view), 0, 0
+        # as many rows as there are ranks
+        for row in mine.groupBy("place").count().orderBy("place").limit(most).collect():
+            total, last = total + row["count"], row["place"]
+            if total >= most:
+                break
+        chosen.append(mine.where(F.col("place") <= last).orderBy("place", *order).limit(most))
+    return chosen[0].unionByName(chosen[1]).select("doc_id", "tag", "view", "good").distinct()
 
 
 def newly_labelled(docs: DataFrame, known: DataFrame, model: Model, most: int, turn: int) -> DataFrame:
@@ -271,12 +313,8 @@ def newly_labelled(docs: DataFrame, known: DataFrame, model: Model, most: int, t
     labels = F.array(*[F.struct(F.lit(v).alias("view"), F.col(c).alias("good")) for v, c in enumerate(("by_metadata", "by_content"))])
     given = stage(sure.where("by_metadata is not null or by_content is not null").join(known, "doc_id", "left_anti").select(
         "doc_id", "tag", "lang", "source", F.inline(labels)).where("good is not null"), "labelled")
-    draw = F.xxhash64("doc_id", "tag", F.lit(turn))
-    place = F.row_number().over(Window.partitionBy("view", "lang", "source").orderBy(draw, "doc_id", "tag"))
-    placed = given.withColumn("place", place).where(F.col("place") <= most)
-    chosen = [placed.where(F.col("view") == v).orderBy("place", draw, "doc_id", "tag").limit(most) for v in (0, 1)]
     # bounded by ``most`` for each view
-    chosen = F.broadcast(stage(chosen[0].unionByName(chosen[1]).select("doc_id", "tag", "view", "good").distinct(), "drawn"))
+    chosen = F.broadcast(stage(_in_turn(given, most, turn), "drawn"))
     drawn = _tagged(docs).join(chosen.select("doc_id", "tag").distinct(), ["doc_id", "tag"], "left_semi")
     return _features(drawn).dropDuplicates(["doc_id", "tag"]).join(chosen, ["doc_id", "tag"])
 
@@ -307,17 +345,20 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     chosen = F.broadcast(_drawn(ids.join(known, "doc_id"), labelled))
     sampled = stage(_features(docs.join(chosen.select("doc_id"), "doc_id", "left_semi").dropDuplicates(
         ["doc_id"])).join(chosen, "doc_id").withColumn("view", F.lit(-1)), "sample")
-    learned, model, explained = sampled, Model(), None
+    learned, model, explained, best = sampled, Model(), None, None
     for turn in range(1, rounds + 1):
         # what is learned from is bounded, so one task fits it; the driver only sees the weights
         fitted = learned.groupBy(F.lit("sample")).applyInPandas(_fitting(explained), "model binary").first()
         if fitted is None:
             return model
-        model, explained = pickle.loads(fitted.model)
+        model, explained, error = pickle.loads(fitted.model)
+        # a round counts only where it does not make things worse on labels that nothing was learned from
+        if best is None or error <= best[0]:
+            best = error, model
         if explained is None or turn == rounds:
-            return model
+            return best[1]
         learned = sampled.unionByName(newly_labelled(docs, known, model, pool, turn))
-    return model
+    return best[1]
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
