@@ -10,34 +10,91 @@ Pre-tokens are the white-space words of the text, each led by the word mark.  A
 character that no piece covers counts as its UTF-8 bytes.  Of equally good cuts
 the one with fewer tokens counts.
 
+A piece's score is its log probability.  The vocabulary's own numbers are the order
+of its merges and no probabilities; these are estimated from all documents: every
+task cuts its words with the tokenizer as it is and counts the pieces, and only
+these counts, one for each piece, are added up.  Vocabulary and tokenizer stay as
+they are.
+
 Rows: a null or wordless text has no tokens.  Repeated rows are counted alike;
 a word of any length is one pre-token.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from os.path import commonprefix
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from docketlake.llm.common import lists, map_batches, utf8, words_of
+from docketlake.llm.common import arrow_schema, lists, map_batches, utf8, words_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 # Counts a worker remembers between batches.
 REMEMBERED = 300_000
+# What every piece counts beyond its occurrences, so that unseen ones have a probability.
+SMOOTHING = 0.5
+
+
+def read_model(path: str = VOCABULARY) -> bytes:
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path).serialized_model_proto()
 
 
-def read_pieces(path: str = VOCABULARY) -> dict[str, float]:
-    """Piece to score; control, unknown and byte pieces are left out."""
+def _tokenizer(model: bytes):
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return {
-        model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size())
-        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
-    }
+    return sentencepiece.SentencePieceProcessor(model_proto=model)
+
+
+def piece_counts(docs: DataFrame, model: bytes) -> dict[int, int]:
+    """How often the tokenizer's own cuts of all words in ``docs`` have a piece, by its number."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(shared.value)
+        total, words = np.zeros(tokenizer.get_piece_size(), np.int64), Counter()
+
+        def add() -> None:
+            cuts = tokenizer.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
+            sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
+            ids = np.fromiter((i for cut in cuts for i in cut), np.int64, int(sizes.sum()))
+            times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), sizes)
+            np.add.at(total, ids, times)
+            words.clear()
+
+        for batch in batches:
+            for text in lists(batch, "text")[0]:
+                words.update(words_of(text))
+                if len(words) > REMEMBERED:
+                    add()
+        add()
+        found = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], schema=schema)
+
+    ddl = "piece int, n long"
+    schema = arrow_schema(ddl)
+    counted = docs.select(utf8()).mapInArrow(work, T.StructType.fromDDL(ddl)).groupBy("piece").agg(F.sum("n").alias("n"))
+    return {r["piece"]: r["n"] for r in counted.collect()}  # a row for each piece of the vocabulary at most
+
+
+def piece_scores(model: bytes, counts: dict[int, int]) -> tuple[dict[str, float], float]:
+    """Log probability of every piece, and of one byte of a character that no piece covers."""
+    tokenizer = _tokenizer(model)
+    every = range(tokenizer.get_piece_size())
+    in_bytes = [i for i in every if tokenizer.is_byte(i)]
+    plain = [i for i in every if not (
+        tokenizer.is_control(i) or tokenizer.is_unknown(i) or tokenizer.is_byte(i) or tokenizer.is_unused(i))]
+    total = math.log(sum(counts.get(i, 0) + SMOOTHING for i in (*plain, *in_bytes)))
+    scores = {tokenizer.id_to_piece(i): math.log(counts.get(i, 0) + SMOOTHING) - total for i in plain}
+    byte = sum(counts.get(i, 0) + SMOOTHING for i in in_bytes) / max(1, len(in_bytes)) or SMOOTHING
+    return scores, math.log(byte) - total
 
 
 class PieceTrie:
@@ -77,17 +134,18 @@ class PieceTrie:
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_words, n_tokens, score (sum of the best cuts' scores) of every row.
+    """doc_id, n_words, n_tokens, score (log probability of the best cuts) of every row.
 
     The vocabulary is read on the driver; its pieces, some ten thousand, go to
-    the tasks.
+    the tasks with their scores, which are learned from ``docs``.
     """
-    pieces = docs.sparkSession.sparkContext.broadcast(read_pieces(vocabulary))
+    model = read_model(vocabulary)
+    pieces = docs.sparkSession.sparkContext.broadcast(piece_scores(model, piece_counts(docs, model)))
     state: dict = {}
 
     def work(batch):
         if not state:
-            state.update(trie=PieceTrie(pieces.value), known={})
+            state.update(trie=PieceTrie(*pieces.value), known={})
         known = state["known"]
         ids, texts = lists(batch, "doc_id", "text")
         words = [words_of(t) for t in texts]

@@ -295,15 +295,48 @@ def test_forward_scores():
     assert trie.counts(words) == {w: brute_cut(w, pieces, -6.0) for w in words}
 
 
+def plain_cut(word, pieces, byte_score):
+    """Best cut of one word, without sharing anything: (tokens, score)."""
+    best = [(0.0, 0)]
+    for end in range(1, len(word) + 1):
+        ways = [(best[start][0] + pieces[word[start:end]], best[start][1] - 1)
+                for start in range(max(0, end - 48), end) if word[start:end] in pieces]
+        if word[end - 1] not in pieces:
+            size = len(word[end - 1].encode())
+            ways.append((best[end - 1][0] + size * byte_score, best[end - 1][1] - size))
+        best.append(max(ways))
+    return -best[-1][1], best[-1][0]
+
+
 def test_token_counts(spark, corpus):
-    pieces = token_counts.read_pieces()
-    trie = token_counts.PieceTrie(pieces)
-    got = Counter((r.doc_id, r.n_words, r.n_tokens) for r in token_counts.count_tokens(frame(spark, corpus)).collect())
-    want = Counter()
+    import sentencepiece
+
+    tokenizer = sentencepiece.SentencePieceProcessor(model_file=token_counts.VOCABULARY)
+    words, counts = Counter(w for _, t in corpus for w in split_words(t)), Counter()
+    for word, n in words.items():
+        for piece in tokenizer.encode(word):
+            counts[piece] += n
+    model = token_counts.read_model()
+    docs = frame(spark, corpus).repartition(5)
+    assert token_counts.piece_counts(docs, model) == dict(counts)
+    plain = [i for i in range(32_000) if not tokenizer.is_control(i) and not tokenizer.is_unknown(i)]
+    total = sum(counts[i] + 0.5 for i in plain)
+    pieces = {tokenizer.id_to_piece(i): math.log((counts[i] + 0.5) / total) for i in plain if not tokenizer.is_byte(i)}
+    in_bytes = [i for i in plain if tokenizer.is_byte(i)]
+    byte_score = math.log(sum(counts[i] + 0.5 for i in in_bytes) / len(in_bytes) / total)
+    scores = token_counts.piece_scores(model, dict(counts))
+    assert scores[0].keys() == pieces.keys() and math.isclose(scores[1], byte_score)
+    assert all(math.isclose(scores[0][k], v) for k, v in pieces.items())
+    assert math.isclose(sum(math.exp(s) for s in scores[0].values()) + len(in_bytes) * math.exp(scores[1]), 1)
+    cut = {w: plain_cut(token_counts.MARK + w, *scores) for w in words}
+    got = defaultdict(list)
+    for r in token_counts.count_tokens(docs).collect():
+        got[r.doc_id].append((r.n_words, r.n_tokens, round(r.score, 4)))
+    want = defaultdict(list)
     for doc_id, text in corpus:
-        words = split_words(text)
-        want[doc_id, len(words), sum(trie.counts([token_counts.MARK + w])[token_counts.MARK + w][0] for w in words)] += 1
-    assert got == want
+        found = [cut[w] for w in split_words(text)]
+        want[doc_id].append((len(found), sum(n for n, _ in found), round(sum(s for _, s in found), 4)))
+    assert {d: sorted(v) for d, v in got.items()} == {d: sorted(v) for d, v in want.items()}
 
 
 # 6 -----------------------------------------------------------------------------------------------
