@@ -295,7 +295,10 @@ def _search(cell: pa.Table) -> pa.Table:
 
 def near_words(words: DataFrame) -> DataFrame:
     """word, n_near, best (struct of n and word) of every word in ``words`` (word, n) that has near words."""
-    cells = routed(words, planes(words)).groupBy("length", "cell").applyInArrow(
+    trees = planes(words)
+    # little to read and much to search: tasks of a few cells, whatever their bytes
+    tasks = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(t.count for t in trees.values()) // 2)
+    cells = routed(words, trees).repartition(tasks, "length", "cell").groupBy("length", "cell").applyInArrow(
         _search, "word binary, n_near long, best_n long, best binary")
     return cells.groupBy("word").agg(
         F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("word"))).alias("best"))
