@@ -15,9 +15,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar shingle sets, the one with the smallest doc_id."""
+    """Of documents linked by shingle sets of a similarity of 0.8 or more, the one with the smallest doc_id."""
     prepare(spark)
-    return near_dedup.near_dedup(docs)
+    return near_dedup.near_dedup(docs, percent=80)
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
