@@ -23,6 +23,7 @@ a word of any length is one pre-token.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from os.path import commonprefix
@@ -35,8 +36,10 @@ from docketlake.llm.common import arrow_schema, lists, map_batches, utf8, words_
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-# Counts a worker remembers between batches.
-REMEMBERED = 300_000
+# Words a worker counts before it cuts them, and counts it remembers between batches and tasks.
+HELD, REMEMBERED = 300_000, 800_000
+# What a worker process remembers of the job it works for.
+_workers: dict = {}
 # What every piece counts beyond its occurrences, so that unseen ones have a probability.
 SMOOTHING = 0.5
 
@@ -72,7 +75,7 @@ def piece_counts(docs: DataFrame, model: bytes) -> dict[int, int]:
         for batch in batches:
             for text in lists(batch, "text")[0]:
                 words.update(words_of(text))
-                if len(words) > REMEMBERED:
+                if len(words) > HELD:
                     add()
         add()
         found = np.flatnonzero(total)
@@ -102,7 +105,10 @@ class PieceTrie:
 
     def __init__(self, pieces: dict[str, float], byte_score: float | None = None):
         self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
+        # the longest piece that ends with a character
+        self.longest: dict[str, int] = {}
+        for piece in pieces:
+            self.longest[piece[-1:]] = max(self.longest.get(piece[-1:], 0), len(piece))
         self.byte_score = min(pieces.values(), default=0.0) - 10 if byte_score is None else byte_score
 
     def counts(self, words: Iterable[str]) -> dict[str, tuple[int, float]]:
@@ -115,7 +121,7 @@ class PieceTrie:
             del scores[shared + 1:], tokens[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
                 best = fewest = None
-                for start in range(max(0, end - longest), end):
+                for start in range(max(0, end - longest.get(word[end - 1], 0)), end):
                     value = pieces.get(word[start:end])
                     if value is not None:
                         value += scores[start]
@@ -141,19 +147,20 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
     model = read_model(vocabulary)
     pieces = docs.sparkSession.sparkContext.broadcast(piece_scores(model, piece_counts(docs, model)))
-    state: dict = {}
+    key = uuid.uuid4().hex
 
     def work(batch):
-        if not state:
-            state.update(trie=PieceTrie(*pieces.value), known={})
-        known = state["known"]
+        if key not in _workers:
+            _workers.clear()
+            _workers[key] = PieceTrie(*pieces.value), {}
+        trie, known = _workers[key]
         ids, texts = lists(batch, "doc_id", "text")
         words = [words_of(t) for t in texts]
         if len(known) > REMEMBERED:
             known.clear()
         new = set().union(*words) - known.keys()
         names = {MARK + w.decode("utf-8", "replace"): w for w in new}
-        found = state["trie"].counts(names)
+        found = trie.counts(names)
         known.update((names[n], c) for n, c in found.items())
         for w in new - known.keys():  # bytes that decode alike
             known[w] = found[MARK + w.decode("utf-8", "replace")]
