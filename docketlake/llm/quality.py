@@ -343,8 +343,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
     # the drawn ids are bounded by the parameter
     chosen = F.broadcast(_drawn(ids.join(known, "doc_id"), labelled))
-    sampled = stage(_features(docs.join(chosen.select("doc_id"), "doc_id", "left_semi").dropDuplicates(
-        ["doc_id"])).join(chosen, "doc_id").withColumn("view", F.lit(-1)), "sample")
+    # of different texts under one doc_id the one with the smallest digest counts
+    found = _features(docs.join(chosen.select("doc_id"), "doc_id", "left_semi"))
+    one = found.groupBy("doc_id").agg(F.min(F.struct("tag", "words", "meta")).alias("row")).select("doc_id", "row.*")
+    sampled = stage(one.join(chosen, "doc_id").withColumn("view", F.lit(-1)), "sample")
     learned, model, explained, best = sampled, Model(), None, None
     for turn in range(1, rounds + 1):
         # what is learned from is bounded, so one task fits it; the driver only sees the weights
