@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from datetime import datetime
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from docketlake import fixed
 from docketlake.functions.text import iso_date, iso_timestamp
-from docketlake.operators import audit, backfill, corrections, deadlines, documents, registry, relationships
+from docketlake.operators import (
+    audit, backfill, corrections, deadlines, documents, registry, relationships, search_index as searching,
+)
 from docketlake.operators import jobs as job_queries
 from docketlake.plans.catalog import AS_OF, AS_OF_TIME, Data, iso, iso_days, number, query, scratch
 from docketlake.sources import files, sinks, tables
@@ -109,6 +112,31 @@ def search_texts(d):
     return documents.search_documents(raw, "license").select("doc_id", "lang", "source")
 
 
+# One common word, one wildcard, a phrase, a pattern whose pieces stand apart, and one too short for a trigram.
+SEARCHES = ("license", "l_cense", "of the", "copy%right", "zq")
+
+
+@query("search_index", f"""
+select {SHORT} from contracts where original_name ilike '%work_between%' or vendor ilike '%work_between%' or text ilike '%work_between%'""")
+def search_index(d):
+    path = scratch(d.spark, "search")
+    kept = d.contracts.select("doc_id", "original_name", "status", "vendor", "created_at", "text")
+    searching.write_index(kept, path)
+    return _short(searching.search_index(d.spark, path, "work_between"))
+
+
+@query("search_index_texts", " union all ".join(
+    f"select '{q}' as query, doc_id, lang, source from documents where source ilike '%{q}%' or lang ilike '%{q}%' or text ilike '%{q}%'"
+    for q in SEARCHES))
+def search_index_texts(d):
+    """Several searches over one index of all documents."""
+    path = scratch(d.spark, "search")
+    searching.write_index(d.table("documents").select(
+        "doc_id", "lang", "source", "text", F.col("source").alias("original_name"), F.col("lang").alias("vendor")), path)
+    found = [searching.search_index(d.spark, path, q).select(F.lit(q).alias("query"), "doc_id", "lang", "source") for q in SEARCHES]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 @query("list_documents", f"select {SHORT} from (select * from contracts where document_type = 'MSA' {NEWEST} limit 20 offset 20) x")
 def list_documents(d):
     return _short(documents.list_documents(documents.filter_documents(d.contracts, document_type="MSA"), page=2))
