@@ -53,6 +53,8 @@ BUCKETS, BUCKET_ROWS = 1 << 20, 256
 SETS_PER_TASK = 5_000
 # Sets of one shingle that the exact join compares at a time.
 BLOCK = 500
+# Blocks of one shingle that a task compares with all its others.
+TASK_BLOCKS = 8
 _hashes = WordHashes()
 # Odd multipliers, one for each minimum hash.
 _factors = [
@@ -265,9 +267,15 @@ def crowded_pairs(crowd: DataFrame, percent: int) -> DataFrame:
             F.pmod(slot, F.expr(f"others div {BLOCK} + 1"))).alias("block"),
     ).agg(F.collect_list("entry").alias("entries"), F.max("leads").alias("leads"))
     blocks = stage(blocks, "blocks")
-    one = blocks.where("leads").select("token", F.col("only").alias("one_only"), F.col("entries").alias("one"))
-    two = blocks.select("token", F.col("only").alias("two_only"), F.col("entries").alias("two"))
-    both = one.join(two, "token").where(
+    # the blocks of a frequent shingle meet in several tasks: each goes to one, its partners to all
+    hot = blocks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(f"n > {TASK_BLOCKS}").select(
+        "token", F.expr(f"n div {TASK_BLOCKS} + 1").alias("ways"))
+    dealt, ways = blocks.join(hot, "token", "left"), F.coalesce("ways", F.lit(1).cast("long"))
+    one = dealt.where("leads").select("token", F.pmod(F.xxhash64("only", "block"), ways).alias("way"),
+                                      F.col("only").alias("one_only"), F.col("entries").alias("one"))
+    two = dealt.select("token", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1)).alias("way"),
+                       F.col("only").alias("two_only"), F.col("entries").alias("two"))
+    both = one.join(two, ["token", "way"]).where(
         "one_only is null or two_only is null or one_only <> two_only").select("one", "two")
 
     def work(batch):

@@ -235,7 +235,8 @@ def test_near_dedup_leaves_one(spark, corpus):
     assert ids.count(None) == 2
 
 
-def test_near_copies_in_a_template_crowd(spark):
+@pytest.mark.parametrize("block, task_blocks", [(near_dedup.BLOCK, near_dedup.TASK_BLOCKS), (30, 3)])
+def test_near_copies_in_a_template_crowd(spark, monkeypatch, block, task_blocks):
     """Hundreds of sets just below the limit among themselves, and pairs of them above it."""
     template = [f"c{i}" for i in range(204)]
     rows = []
@@ -244,6 +245,8 @@ def test_near_copies_in_a_template_crowd(spark):
         pair = i // 2 if i < 160 else -i
         own = [f"p{pair}_{j}" for j in range(12)] + [f"o{i}_{j}" for j in range(10)]
         rows.append((i, " ".join(template + own)))
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "TASK_BLOCKS", task_blocks)
     found = near_dedup.near_groups(frame(spark, rows)).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == brute_near(rows)
     assert sum(not r.kept for r in found) == 80
