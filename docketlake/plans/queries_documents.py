@@ -29,14 +29,22 @@ SHORT = f"doc_id, original_name, status, vendor, {iso('created_at')}"
 # --- projections, filters, search -------------------------------------------
 
 
-@query("load_tables", """
-select 'audit_events' as table_name, count(*) as n from audit union all
-select 'document_job_attempts', count(*) from attempts union all
-select 'document_jobs', count(*) from jobs union all
-select 'document_relationships', count(*) from edges union all
-select 'documents', count(*) from contracts union all
-select 'tenants', count(*) from nation union all
-select 'users', count(*) from customer""")
+# view, key, a text and a further column of every stored table
+LOADED = {
+    "audit_events": ("audit", "audit_id", "action", "document_id"),
+    "document_job_attempts": ("attempts", "attempt_number", "status", "started_at"),
+    "document_jobs": ("jobs", "job_id", "queue_id", "heartbeat_at"),
+    "document_relationships": ("edges", "relationship_id", "relationship_type", "target_document_id"),
+    "documents": ("contracts", "doc_id", "text", "created_at"),
+    "tenants": ("nation", "n_nationkey", "n_name", "n_name"),
+    "users": ("customer", "c_custkey", "c_name", "c_name"),
+}
+
+
+@query("load_tables", " union all ".join(
+    f"select '{name}' as table_name, count(*) as n, cast(sum({key}) as bigint) as keys,"
+    f" cast(sum(length({text})) as bigint) as letters, count(distinct {other}) as others from {view}"
+    for name, (view, key, text, other) in LOADED.items()))
 def load_tables(d: Data):
     path = scratch(d.spark, "tables")
     sources = {
@@ -51,14 +59,14 @@ def load_tables(d: Data):
             f"{path}/{name}"
         )
     loaded = tables.load_tables(d.spark, path)
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
-        for name, df in sorted(loaded.items())
-    ]
-    out = counts[0]
-    for other in counts[1:]:
-        out = out.unionByName(other)
-    return out
+    given = {"n_nationkey": "tenant_id", "n_name": "name", "c_custkey": "user_id", "c_name": "name"}
+    sums = []
+    for name, (_, *columns) in LOADED.items():
+        key, text, other = (given.get(c, c) for c in columns)
+        sums.append(loaded[name].agg(
+            F.count(F.lit(1)).alias("n"), F.sum(key).alias("keys"), F.sum(F.length(text)).alias("letters"),
+            F.count_distinct(other).alias("others")).select(F.lit(name).alias("table_name"), "*"))
+    return functools.reduce(DataFrame.unionByName, sums)
 
 
 @query("tenant_scope", f"select {SHORT} from contracts where tenant_id = 3")

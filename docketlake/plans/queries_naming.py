@@ -227,12 +227,19 @@ def file_inventory(d):
     return files.file_inventory(d.files).drop("size_formatted", "scan_message")
 
 
-@query("read_text_documents", "select distinct 'source=' || source as folder from documents")
+# Files of up to a hundred documents each, in order; what is read back is the start of each.
+@query("read_text_documents", f"""
+select 'source=' || source as folder, doc_id // 100 as part,
+ md5(left(replace(string_agg(coalesce(text, '') || chr(10), '' order by doc_id, text), chr(65533), ''), {fixed.PLAIN_TEXT_LIMIT})) as text_md5
+from documents group by source, doc_id // 100""")
 def read_text_documents(d):
     """Texts written as files below one folder per source, and read back."""
     path = scratch(d.spark, "texts")
-    d.table("documents").select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
-    return file_sources.read_text_documents(d.spark, path).where(F.length("text") > 0).select("folder").distinct()
+    texts = d.table("documents").select("source", F.expr("doc_id div 100").alias("part"), "doc_id", F.col("text").alias("value"))
+    texts.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id", "value").select(
+        "source", "part", "value").write.partitionBy("source", "part").text(path)
+    part = F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part")
+    return file_sources.read_text_documents(d.spark, path).select("folder", part, F.md5("text").alias("text_md5"))
 
 
 @query("read_document_files", "select 'source=' || source as folder, cast(sum(octet_length(encode(text)) + 1) as bigint) as bytes from documents group by 1")

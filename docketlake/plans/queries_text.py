@@ -490,14 +490,17 @@ def analysed(d: Data, **options):
     return intake.analyze_documents(d.wide.contracts.select("doc_id", "path", "folder", "original_name", "text"), **options)
 
 
-@query("analyze_documents", f"""with {_signature_check("contracts")}, {ALL_LABELS},
+ANALYSED = f"""with {_signature_check("contracts")}, {ALL_LABELS},
 expiry as (select doc_id, {_lifecycle('effective_date')}, {_lifecycle('expiration_date')} from contracts)
-select c.doc_id, l.vendor, {_clean('l.vendor')} as clean_vendor, l.doc_type as document_type,
+select c.doc_id, c.original_name, l.vendor, {_clean('l.vendor')} as clean_vendor, l.doc_type as document_type,
  case when len(f.strings) > 0 then 'final' else 'supporting' end as execution_status, e.effective_date, e.expiration_date,
  cast(len(f.strings) as bigint) as signature_count,
  case when l.doc_type in ('MSA', 'CONTRACT') then case when e.expiration_date is not null then 'long_term' else 'indefinite' end
  when l.doc_type in ('NDA', 'LICENSE') then 'indefinite' when l.doc_type = 'PO' then 'short_term' when l.doc_type = 'AMD' then 'tied_to_parent' else 'contracts' end as retention_category
-from contracts c join labels_made l on l.doc_id = c.doc_id join found f on f.doc_id = c.doc_id join expiry e on e.doc_id = c.doc_id""")
+from contracts c join labels_made l on l.doc_id = c.doc_id join found f on f.doc_id = c.doc_id join expiry e on e.doc_id = c.doc_id"""
+
+
+@query("analyze_documents", f"select * exclude (original_name) from ({ANALYSED}) x")
 def analyze_documents(d):
     return analysed(d).select(
         "doc_id", "vendor", "clean_vendor", "document_type", "execution_status",
@@ -534,15 +537,16 @@ def analyze_paged_documents(d):
     )
 
 
-@query("write_metadata", f"""with {ALL_LABELS}
-select {_clean('vendor')} as clean_vendor, doc_type as document_type, count(*) as documents from labels_made group by 1, 2""")
+@query("write_metadata", f"select * exclude (doc_id) from ({ANALYSED}) x")
 def write_metadata(d):
+    """Every stored metadata text, with the analysis it tells."""
     path = scratch(d.spark, "metadata")
     sinks.write_metadata(analysed(d), path)
-    told = [F.get_json_object("value", f"$.{k}").alias(k) for k in ("clean_vendor", "document_type")]
-    return d.spark.read.text(path).select(*told).groupBy("clean_vendor", "document_type").agg(
-        F.count(F.lit(1)).alias("documents")
-    )
+    told = {name: F.get_json_object("value", f"$.{name}") for name in (
+        "original_name", "vendor", "clean_vendor", "document_type", "execution_status", "retention_category")}
+    told |= {name: F.get_json_object("value", f"$.date_metadata.{name}") for name in ("effective_date", "expiration_date")}
+    told["signature_count"] = F.get_json_object("value", "$.signature_analysis.signature_count").cast("long")
+    return d.spark.read.text(path).select(*[c.alias(name) for name, c in told.items()])
 
 
 @query("score_documents", f"select doc_id, '{fixed.MODEL_TYPES[0]}' as doc_type, 'Acme' as vendor from contracts where text <> '' union all select doc_id, '', '' from contracts where text = ''")
