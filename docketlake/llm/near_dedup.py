@@ -9,8 +9,11 @@ Orders are dealt by range, so a region of any size is spread over many tasks.
 
 Candidates whose compared hashes make the wanted similarity impossible (by over
 eight standard deviations) are left out; all others are confirmed on full sets.
-First each set confirms its likeliest candidate, then all candidates that are
-not yet in one component.  Equal sets are one node from the start.
+The orders are walked twice.  First each set names the likeliest candidate of
+each order and confirms the likeliest of them.  Sets that had candidates are
+then ordered again, now with their components, and all candidates between
+different components are confirmed; those inside one are never written.  Equal
+sets are one node from the start.
 
 A set is crowded in an order if sets beyond its NEIGHBOURS share its first value
 there, or if the border of a range hides whether they do.  Pairs of sets that
@@ -84,39 +87,48 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def set_features(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, n_shingles, digest of the set, signature; digest and signature are null for empty sets."""
+    """doc_id, tag, n_shingles, digest of the set, signature, sketch; the last three are null for empty sets.
+
+    The sketch has one byte of every minimum hash, to judge a pair by all of them.
+    """
     def work(batch):
         ids, tags, texts = lists(batch, "doc_id", "tag", "text")
         sets = [shingle_set(t) for t in texts]
         full = [s for s in sets if len(s)]
-        rows = iter(signatures(full).astype(">u4")) if full else iter(())
+        rows = signatures(full).astype(">u4") if full else np.zeros((0, TREES * DEPTH), ">u4")
+        sketches = iter((rows & 255).astype(np.uint8))
+        rows = iter(rows)
         return {
             "doc_id": ids, "tag": tags, "n_shingles": [len(s) for s in sets],
             "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
             "signature": [next(rows).tobytes() if len(s) else None for s in sets],
+            "sketch": [next(sketches).tobytes() if len(s) else None for s in sets],
         }
 
     return map_batches(docs.select("doc_id", row_tag(), utf8()), work,
-                       "doc_id long, tag binary, n_shingles long, digest binary, signature binary")
+                       "doc_id long, tag binary, n_shingles long, digest binary, signature binary, sketch binary")
 
 
-def candidates(sets: DataFrame, likely: float) -> DataFrame:
-    """a, b (digests, a < b) and alike: neighbours in at least one of the orders.
+def candidates(sets: DataFrame, likely: float, nearest: bool) -> DataFrame:
+    """a, b (digests, a < b) and alike: neighbours of different ``root`` in at least one of the orders.
 
-    A row without b says that the set a is crowded in ``alike`` orders.
+    With ``nearest``, only the likeliest neighbour before each set in each order.
+    A row without b says that the set a has candidates, or is crowded in ``alike`` orders.
     """
     count = sets.count() * TREES
     width = DEPTH * 4
-    # one byte of every minimum hash, to judge a pair by all of them
     label = F.expr(f"substring(signature, tree * {width} + 1, {width})")
-    ordered = sets.select("digest", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
-        "tree", label.alias("label"), "digest", "signature")
-    ordered = map_batches(ordered, _sketched, "tree int, label binary, digest binary, sketch binary")
-    ordered = ordered.repartitionByRange(int(count // ROWS_PER_RANGE) + 1, "tree", "label", "digest")
+    ordered = sets.select(
+        "digest", "root", "sketch", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"),
+    ).select("tree", label.alias("label"), "digest", "root", "sketch").repartitionByRange(
+        int(count // ROWS_PER_RANGE) + 1, "tree", "label", "digest")
+
+    def rows(a: np.ndarray, b: list, alike: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(list(a), pa.binary()), pa.array(b, pa.binary()), pa.array(alike, pa.float64())],
+                               names=["a", "b", "alike"])
 
-    def crowd(digests: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(digests.tolist(), pa.binary()), pa.nulls(len(digests), pa.binary()),
-                                pa.array(np.ones(len(digests)))], names=["a", "b", "alike"])
+    def alone(digests: np.ndarray, orders: float) -> pa.RecordBatch:
+        return rows(digests, [None] * len(digests), np.full(len(digests), orders))
 
     def neighbours(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows that the next ones may still show to be crowded are kept back, with what is known of them
@@ -124,31 +136,37 @@ def candidates(sets: DataFrame, likely: float) -> DataFrame:
         for batch in source:
             if not batch.num_rows:
                 continue
-            tree, labels, digests, sketches = lists(batch, "tree", "label", "digest", "sketch")
+            tree, labels, digests, roots, sketches = lists(batch, "tree", "label", "digest", "root", "sketch")
             now = (np.array(tree), np.frombuffer(b"".join(labels), ">u4").reshape(-1, DEPTH)[:, 0],
-                   np.array(digests, object), np.frombuffer(b"".join(sketches), np.uint8).reshape(len(tree), -1))
+                   np.array(digests, object), np.array(roots, object),
+                   np.frombuffer(b"".join(sketches), np.uint8).reshape(len(tree), -1))
             old = 0 if last is None else len(last[0])
-            tree, value, digest, sketch = now if last is None else [np.concatenate(x) for x in zip(last, now)]
+            tree, value, digest, root, sketch = now if last is None else [np.concatenate(x) for x in zip(last, now)]
             full = np.concatenate([told, np.zeros(len(now[0]), bool)])
             if last is None:  # what stands before the first row is not seen
                 full[:beyond] = (tree[:beyond] == tree[0]) & (value[:beyond] == value[0])
             far = (tree[beyond:] == tree[:-beyond]) & (value[beyond:] == value[:-beyond])
             full[beyond:] |= far
             full[:-beyond] |= far
+            found = []
             for step in range(1, NEIGHBOURS + 1):
                 at = np.arange(max(old, step), len(tree))
-                at = at[(tree[at] == tree[at - step]) & (value[at] == value[at - step])]
+                at = at[(tree[at] == tree[at - step]) & (value[at] == value[at - step]) & (root[at] != root[at - step])]
                 alike = (sketch[at] == sketch[at - step]).mean(axis=1) if len(at) else np.zeros(0)
-                at, alike = at[alike >= likely], alike[alike >= likely]
-                if len(at):
-                    ends = [(min(p), max(p)) for p in zip(digest[at], digest[at - step])]
-                    yield pa.record_batch([pa.array([x for x, _ in ends], pa.binary()),
-                                           pa.array([y for _, y in ends], pa.binary()),
-                                           pa.array(alike)], names=["a", "b", "alike"])
-            yield crowd(digest[:-beyond][full[:-beyond]])
-            last, told = tuple(x[-beyond:] for x in (tree, value, digest, sketch)), full[-beyond:]
+                found.append((at[alike >= likely], at[alike >= likely] - step, alike[alike >= likely]))
+            at, to, alike = (np.concatenate(x) for x in zip(*found))
+            if nearest and len(at):
+                yield alone(digest[np.union1d(at, to)], 0.0)
+                likeliest = np.lexsort((-alike, at))
+                likeliest = likeliest[np.unique(at[likeliest], return_index=True)[1]]
+                at, to, alike = at[likeliest], to[likeliest], alike[likeliest]
+            if len(at):
+                ends = [(min(p), max(p)) for p in zip(digest[at], digest[to])]
+                yield rows([x for x, _ in ends], [y for _, y in ends], alike)
+            yield alone(digest[:-beyond][full[:-beyond]], 1.0)
+            last, told = tuple(x[-beyond:] for x in (tree, value, digest, root, sketch)), full[-beyond:]
         if last is not None:  # nor what follows the last
-            yield crowd(last[2][told | (last[0] == last[0][-1]) & (last[1] == last[1][-1])])
+            yield alone(last[2][told | (last[0] == last[0][-1]) & (last[1] == last[1][-1])], 1.0)
 
     found = ordered.sortWithinPartitions("tree", "label", "digest").mapInArrow(
         neighbours, T.StructType.fromDDL("a binary, b binary, alike double"))
@@ -156,11 +174,6 @@ def candidates(sets: DataFrame, likely: float) -> DataFrame:
         F.when(F.col("b").isNull(), F.sum("alike")).otherwise(F.max("alike")).alias("alike"))
 
 
-def _sketched(batch: pa.RecordBatch) -> dict:
-    tree, label, digest, signature = lists(batch, "tree", "label", "digest", "signature")
-    return {"tree": tree, "label": label, "digest": digest, "sketch": [s[3::4] for s in signature]}
-
-
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
     left = texts.withColumnsRenamed({"digest": "a", "packed": "packed_a"})
@@ -299,22 +312,25 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     likely = percent / 100 - 8 * (percent / 100 * (1 - percent / 100) / (TREES * DEPTH)) ** 0.5
     features = stage(set_features(docs), "features")
     sets = stage(features.where("digest is not null").groupBy("digest").agg(
-        F.first("signature").alias("signature"), F.min("doc_id").alias("least"),
+        F.first("signature").alias("signature"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"),
         F.min(F.struct("doc_id", "tag")).alias("source")), "sets")
-    found = stage(candidates(sets, likely), "candidates")
-    pairs, crowded = found.where("b is not null"), found.where(f"b is null and alike > {SPARE}").select("a")
-    ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).unionByName(
-        crowded.select(F.col("a").alias("digest"))).distinct()
+    nearest = stage(candidates(sets.withColumn("root", F.col("digest")), likely, True), "nearest")
+    pairs, ends = nearest.where("b is not null"), nearest.where("b is null").select(F.col("a").alias("digest"))
     texts = stage(_texts_of(docs, sets.join(ends, "digest", "left_semi")), "texts")
     best = pairs.groupBy("a").agg(F.max(F.struct("alike", "b")).alias("best")).select("a", "best.b").unionByName(
         pairs.groupBy("b").agg(F.max(F.struct("alike", "a")).alias("best")).select("best.a", "b")).distinct()
     of_set = _rooted(sets.select("digest", "least", F.col("digest").alias("root")),
                      stage(confirmed(best, texts, percent), "links"))
-    apart = _apart(pairs.join(best, ["a", "b"], "left_anti"), of_set)
-    of_set = _rooted(of_set, stage(confirmed(apart, texts, percent), "links"))
+    # a set without an end row shares no first value with a set it can be linked with
+    walked = stage(sets.select("digest", "signature", "sketch").join(ends, "digest", "left_semi").join(
+        of_set.select("digest", "root"), "digest"), "walked")
+    found = stage(candidates(walked, likely, False), "candidates")
+    pairs, crowded = found.where("b is not null"), found.where(f"b is null and alike > {SPARE}").select("a")
+    of_set = _rooted(of_set, stage(confirmed(pairs.join(best, ["a", "b"], "left_anti"), texts, percent), "links"))
     crowd = stage(texts.join(crowded, texts["digest"] == crowded["a"], "left_semi").join(of_set, "digest").select(
         "digest", "packed", F.xxhash64("root").alias("root")), "crowd")
-    apart = crowded_pairs(crowd, percent).join(pairs, ["a", "b"], "left_anti")
+    tried = pairs.select("a", "b").unionByName(best)
+    apart = crowded_pairs(crowd, percent).join(tried, ["a", "b"], "left_anti")
     of_set = _rooted(of_set, stage(confirmed(apart, texts, percent), "links"))
     smallest = of_set.groupBy("root").agg(F.min("least").alias("component"))
     component = of_set.join(smallest, "root").select("digest", "component")
@@ -333,12 +349,6 @@ def _rooted(of_set: DataFrame, links: DataFrame) -> DataFrame:
         "digest", "least", F.coalesce("new_root", "root").alias("root")), "roots")
 
 
-def _apart(pairs: DataFrame, of_set: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component."""
-    root = {end: of_set.select(F.col("digest").alias(end), F.col("root").alias(f"root_{end}")) for end in "ab"}
-    return pairs.join(root["a"], "a").join(root["b"], "b").where("root_a <> root_b")
-
-
 def _texts_of(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """digest and compressed text of the document that stands for each set."""
     def work(batch):
