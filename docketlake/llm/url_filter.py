@@ -5,6 +5,8 @@ rule is filed under the token of its literals that the fewest URLs hold.  A URL
 fetches the rules filed under its own tokens, and only those run their regular
 expression.  Of the rules that fit, the longest named rule wins; without one, the longest
 pattern (ties: block, then the name); a URL without a fitting rule is allowed.
+A pass holds a bounded number of rules; further rules take further passes over
+the URLs, each of which keeps the better of its own rule and the one before.
 
 Rows: a null URL or one without "://" has an empty host and path.  Repeated rows
 are judged one by one; a null id is kept.  Host letters A-Z are lower-cased.
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from docketlake.llm.common import lists, map_batches
+from docketlake.llm.common import lists, map_batches, stage
 
 TOKEN = re.compile(r"[a-z0-9]+")
 SPLIT = re.compile(r"[^a-z0-9]+")
@@ -97,6 +99,11 @@ def token_counts(urls: DataFrame, rules: list[Rule]) -> dict[str, int]:
     return {r.token: r.n for r in counted.collect()}
 
 
+def rank(rule: Rule) -> tuple:
+    """Named rules come first; among them, and among patterns, the longest name wins."""
+    return rule.contract, len(rule.name), rule.verdict == "block", rule.name
+
+
 class RuleIndex:
     """Rules filed under their rarest token; rules without any token are tried on every URL."""
 
@@ -112,33 +119,32 @@ class RuleIndex:
         where = host + path
         tokens = {*SPLIT.split(lower(where))}
         candidates = [e for t in tokens for e in self.by_token.get(t, ())] + self.always
-        fitting = [rule for pattern, rule in candidates if pattern.fullmatch(where)]
-        # named rules come first; among them, and among patterns, the longest name wins
-        return max(fitting, key=lambda r: (r.contract, len(r.name), r.verdict == "block", r.name), default=None)
+        return max((rule for pattern, rule in candidates if pattern.fullmatch(where)), key=rank, default=None)
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, pattern of every row of ``pages`` (page_id, url, ...).
+JUDGED = "page_id long, host string, path string, rule string, verdict string, pattern string"
 
-    ``rule`` is the named host rule that decided, else null; ``pattern`` the
-    method's own rule that decided, else null.  Named rules come before patterns.
-    """
-    rules = CONTRACT_RULES + HOST_PATTERNS if rules is None else rules
-    if len(rules) > RULES_PER_PASS:
-        raise ValueError(f"more than {RULES_PER_PASS} rules: judge in several passes and keep the longest fit")
-    urls = pages.select("page_id", "url")
-    counts = token_counts(urls, rules)
 
+def _judge(urls: DataFrame, rules: list[Rule], counts: dict[str, int]) -> DataFrame:
+    """One pass with ``rules``, over URLs or over what an earlier pass with other rules has judged."""
     built: list[RuleIndex] = []
+    first = "url" in urls.columns
 
     def work(batch):
         if not built:
             built.append(RuleIndex(rules, counts))
-        ids, texts = lists(batch, "page_id", "url")
+        if first:
+            ids, texts = lists(batch, "page_id", "url")
+            parts, held = [url_parts(t) for t in texts], [None] * len(texts)
+        else:
+            ids, hosts, paths, named, verdicts, patterns = lists(
+                batch, "page_id", "host", "path", "rule", "verdict", "pattern")
+            parts = list(zip(hosts, paths))
+            held = [None if n is None and p is None else Rule(p if n is None else n, v, "", "", n is not None)
+                    for n, v, p in zip(named, verdicts, patterns)]
         out = {"page_id": ids, "host": [], "path": [], "rule": [], "verdict": [], "pattern": []}
-        for text in texts:
-            host, path = url_parts(text)
-            rule = built[0].best(host, path)
+        for (host, path), before in zip(parts, held):
+            rule = max((r for r in (before, built[0].best(host, path)) if r), key=rank, default=None)
             out["host"].append(host)
             out["path"].append(path)
             out["rule"].append(rule.name if rule and rule.contract else None)
@@ -146,4 +152,20 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
             out["verdict"].append(rule.verdict if rule else "allow")
         return out
 
-    return map_batches(urls, work, "page_id long, host string, path string, rule string, verdict string, pattern string")
+    return map_batches(urls, work, JUDGED)
+
+
+def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, per_pass: int = RULES_PER_PASS) -> DataFrame:
+    """page_id, host, path, rule, verdict, pattern of every row of ``pages`` (page_id, url, ...).
+
+    ``rule`` is the named host rule that decided, else null; ``pattern`` the
+    method's own rule that decided, else null.  Named rules come before patterns.
+    """
+    rules = CONTRACT_RULES + HOST_PATTERNS if rules is None else rules
+    urls = pages.select("page_id", "url")
+    counts = token_counts(urls, rules)
+    judged = _judge(urls, rules[:per_pass], counts)
+    for start in range(per_pass, len(rules), per_pass):
+        # written between passes, so that a worker never holds the rules of two
+        judged = _judge(stage(judged, "judged"), rules[start:start + per_pass], counts)
+    return judged

@@ -549,6 +549,19 @@ def test_urls(spark):
     assert got[URLS.index("http://my-casino.org/")].verdict == "block"
 
 
+@pytest.mark.parametrize("reverse", [False, True])
+def test_urls_in_several_passes(spark, reverse):
+    """The rule that decides does not depend on the pass that holds it; equal names go to block."""
+    prepare(spark)
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    rules = url_filter.CONTRACT_RULES + url_filter.HOST_PATTERNS + [
+        url_filter.host_rule("block", "com", "/"), url_filter.host_rule("allow", "net", "/es/")]
+    whole = {tuple(r) for r in url_filter.judge_urls(pages, rules).collect()}
+    parts = url_filter.judge_urls(pages, rules[::-1] if reverse else rules, per_pass=2)
+    assert {tuple(r) for r in parts.collect()} == whole
+    assert {r[4] for r in whole if r[3] in ("com/", "net/es/")} == {"block"}
+
+
 def test_only_candidates_run():
     rules = [url_filter.host_rule("block", f"site{i}.org", "/") for i in range(50)]
     index = url_filter.RuleIndex(rules, Counter({"org": 1000}))
