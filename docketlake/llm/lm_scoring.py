@@ -14,7 +14,8 @@ chunks; a chunk sends its distinct n-gram keys (64-bit hashes), delta-coded, to
 the bucket of each key range; the bucket sums the counts and answers every chunk
 in the order of its keys.  So an n-gram costs a few bytes however often it
 occurs in a chunk, no table of n-grams reaches the driver or is broadcast, and
-what travels grows with the corpus.  Chunks are formed twice, from the same scan;
+what travels grows with the corpus.  A chunk has the same size in every corpus; the
+larger the corpus, the fewer keys are in a block.  Chunks are formed twice, from the same scan;
 if the two disagree (an input that is not the same at each reading) the job stops.
 
 Rows: a null text is empty and has one token, the end.  A null doc_id belongs to
@@ -38,8 +39,6 @@ from docketlake.llm.common import WordHashes, lists, mixed, stage, u64, utf8
 
 # Tokens in a chunk, and bytes of text whose keys one bucket of an order holds.
 CHUNK_TOKENS, BUCKET_BYTES = 1_500_000, 24 << 20
-# Key blocks should hold some hundred keys: chunks grow with the number of buckets.
-KEYS_PER_BLOCK = 64
 FOLDS = 10
 TEST, TUNING, TRAIN = 0, 1, 2
 # Probabilities are counted in tenths of a decade for the estimation.
@@ -150,7 +149,11 @@ def _key_blocks(source: DataFrame, buckets: int, chunk_tokens: int) -> DataFrame
 
 
 def _answers(blocks: DataFrame, buckets: int) -> DataFrame:
-    """chunk, bucket, role, total and tuning counts in the order of the chunk's keys; a row with chunk -1 holds sums."""
+    """chunk, bucket, role, total and tuning counts in the order of the chunk's keys.
+
+    A row with chunk -1 holds how many tokens of the bucket are in training documents
+    and in tuning documents, and how many distinct ones are known.
+    """
     def run(group: pd.DataFrame) -> pd.DataFrame:
         bucket = int(group["bucket"].iloc[0])
         keys = [unpacked_keys(b) for b in group["keys"]]
@@ -164,13 +167,13 @@ def _answers(blocks: DataFrame, buckets: int) -> DataFrame:
             part = at[start:start + len(own)]
             start += len(own)
             rows.append((chunk, bucket, role, packed_counts(total[part]),
-                         packed_counts(tuning[part]) if role == TUNING else None))
+                         packed_counts(tuning[part]) if role == TUNING else None, 0, 0, 0))
         if bucket < buckets:
-            sums = np.array([total.sum(), (total > 0).sum(), tuning.sum()], np.int64)
-            rows.append((-1, bucket, TRAIN, sums.tobytes(), None))
-        return pd.DataFrame(rows, columns=["chunk", "bucket", "role", "total", "tuning"])
+            rows.append((-1, bucket, TRAIN, None, None, total.sum(), (total > 0).sum(), tuning.sum()))
+        return pd.DataFrame(rows, columns=["chunk", "bucket", "role", "total", "tuning", "tokens", "known", "tuned"])
 
-    return blocks.groupBy("bucket").applyInPandas(run, "chunk long, bucket int, role int, total binary, tuning binary")
+    return blocks.groupBy("bucket").applyInPandas(
+        run, "chunk long, bucket int, role int, total binary, tuning binary, tokens long, known long, tuned long")
 
 
 def _chunk_texts(source: DataFrame, chunk_tokens: int) -> DataFrame:
@@ -258,10 +261,9 @@ def score_documents(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_by
         "text", F.coalesce("text", F.lit(b"")))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(int(size // bucket_bytes) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    tokens = max(chunk_tokens, KEYS_PER_BLOCK * buckets)
-    answers = stage(_answers(_key_blocks(source, buckets, tokens), buckets), "answers")
-    sums = [np.frombuffer(r.total, np.int64) for r in answers.where("chunk = -1").select("total").collect()]
-    n, v, n_tuning = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0, 0)
+    answers = stage(_answers(_key_blocks(source, buckets, chunk_tokens), buckets), "answers")
+    n, v, n_tuning = (x or 0 for x in answers.where("chunk = -1").agg(
+        F.sum("tokens"), F.sum("known"), F.sum("tuned")).first())
     answers = answers.where("chunk >= 0")
 
     def evidence_of(group: pd.DataFrame) -> pd.DataFrame:
@@ -276,7 +278,7 @@ def score_documents(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_by
     kinds = "bucket long, pair long, word long, n long"
     # at most BUCKETS times the levels of two probabilities: bounded whatever the corpus
     evidence = _with_counts(
-        _chunk_texts(source, tokens).where(F.col("role") == TUNING), answers.where(F.col("role") == TUNING),
+        _chunk_texts(source, chunk_tokens).where(F.col("role") == TUNING), answers.where(F.col("role") == TUNING),
     ).applyInPandas(evidence_of, kinds).groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).collect()
     weights = learned_weights(np.array([tuple(r) for r in evidence], np.int64).reshape(-1, 4), 1 / (v + 1))
 
@@ -294,6 +296,6 @@ def score_documents(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_by
             "score": np.add.reduceat(np.log10(p), starts),
         })
 
-    return _with_counts(_chunk_texts(source, tokens), answers).applyInPandas(
+    return _with_counts(_chunk_texts(source, chunk_tokens), answers).applyInPandas(
         scores_of, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                    "base_score double, score double")
