@@ -252,6 +252,25 @@ def test_near_copies_in_a_template_crowd(spark, monkeypatch, block, task_blocks)
     assert sum(not r.kept for r in found) == 80
 
 
+def test_candidates_between_components_only(spark):
+    """Sets of one root make no pair; the first walk names at most one set before each in each order."""
+    rows = [(i, " ".join([f"w{j}" for j in range(150)] + [f"own{i}"])) for i in range(60)]
+    sets = near_dedup.stage(near_dedup.set_features(frame(spark, rows)), "sets")
+    one = near_dedup.candidates(sets.withColumn("root", F.lit(b"x")), 0.5, False).where("b is not null")
+    assert one.count() == 0
+    apart = sets.withColumn("root", F.col("digest"))
+    every = {(r.a, r.b) for r in near_dedup.candidates(apart, 0.5, False).where("b is not null").collect()}
+    near = near_dedup.candidates(apart, 0.5, True).collect()
+    named = {(r.a, r.b) for r in near if r.b is not None}
+    assert named <= every and 0 < len(named) <= near_dedup.TREES * len(rows)
+    # every set has candidates here, so the second walk reads them all
+    assert len({r.a for r in near if r.b is None}) == len(rows)
+    two = sets.withColumn("root", F.when(F.col("doc_id") % 2 == 0, F.lit(b"x")).otherwise(F.lit(b"y")))
+    odd = {r.digest: r.doc_id % 2 for r in sets.collect()}
+    across = {(r.a, r.b) for r in near_dedup.candidates(two, 0.5, False).where("b is not null").collect()}
+    assert across == {(a, b) for a, b in every if odd[a] != odd[b]}
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [
