@@ -9,32 +9,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docketlake import fixed
-from docketlake.operators.ordered import in_slices, previous_in_groups, total_in_slices
+from docketlake.operators.ordered import in_slices, previous_in_groups, running_total, total_in_slices
 from docketlake.session import staged
 
-_SPAN = 300  # seconds per time slice
-
-
 def rolling_event_counts(events: DataFrame, seconds: int = fixed.RATE_WINDOW_SECONDS) -> DataFrame:
     """Events of a client in the ``seconds`` up to and including each event time.
 
-    Equal times are counted together first.  Windows are cut along time: each
-    slice also gets the rows of the last ``seconds`` before it, so even one very
-    busy client is spread over many tasks.
+    Equal times are counted together first.  A count enters at its time and leaves
+    ``seconds`` later, so what counts at a time is one running total of both, however
+    many events lie in a window; even one very busy client is spread over many tasks.
     """
-    span = max(_SPAN, seconds)
-    counted = events.groupBy("client", "seen_at").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "_us", F.unix_micros("seen_at")
-    )
-    own = F.floor(F.col("_us") / (span * 1000000))
-    reaches_next = F.col("_us") >= (F.col("_own") + 1) * span * 1000000 - seconds * 1000000
-    slices = F.when(reaches_next, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))
-    placed = counted.withColumn("_own", own).withColumn("_slice", F.explode(slices))
-    trailing = W.partitionBy("client", "_slice").orderBy("_us").rangeBetween(-(seconds * 1000000 - 1), 0)
-    return (
-        placed.withColumn("trailing_count", F.sum("n").over(trailing))
-        .where("_slice = _own").select("client", "seen_at", "n", "trailing_count")
-    )
+    counted = events.where("seen_at is not null").groupBy("client", "seen_at").agg(F.count(F.lit(1)).alias("n"))
+    at = F.unix_micros("seen_at")
+    moves = F.array(  # at one time, what leaves goes before what enters
+        F.struct((at + seconds * 1000000).alias("_at"), F.lit(0).alias("_enters"), (-F.col("n")).alias("_step")),
+        F.struct(at.alias("_at"), F.lit(1).alias("_enters"), F.col("n").alias("_step")))
+    moved = counted.select("client", "seen_at", "n", F.inline(moves))
+    total = running_total(moved, ["client"], ["_at", "_enters"], F.col("_step"), "trailing_count")
+    return total.where("_enters = 1").select("client", "seen_at", "n", "trailing_count")
 
 
 def quiet_islands(
