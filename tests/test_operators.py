@@ -52,6 +52,26 @@ def test_fuzzy_match_equals_brute_force(spark, monkeypatch, step):
     assert sum(1 for n in names if 0 < want[n][1] < 100) > 30
 
 
+@pytest.mark.parametrize("listed, group", [(1500, 4), (40, 4), (40, 2), (0, 4)])
+def test_names_that_are_nearly_alike(spark, monkeypatch, listed, group):
+    """Numbers in one phrase: near masters are found, and those that are far off are not met where parts can be listed."""
+    monkeypatch.setattr(fuzzy, "LISTED", listed)
+    monkeypatch.setattr(fuzzy, "TOGETHER", group)
+    rnd = random.Random(4)
+    masters = [f"customer {rnd.randrange(30000):09d}" for _ in range(150)]
+    names = [f"ucstomer {m[9:]} llu" for m in masters[:12]] + [m + "ßñ" for m in masters[:12]] + [
+        f"customer {rnd.randrange(30000):09d}" for _ in range(12)] + ["customer", "é"]
+    master = spark.createDataFrame(list(enumerate(masters)), "pos long, master_vendor string")
+    df = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "vendor string")
+    got = {r["vendor"]: (r["matched_vendor"], r["match_score"]) for r in vendors.match_vendors(df, master).collect()}
+    normal = {n: n for n in names + masters}
+    assert got == {n: (v[0], pytest.approx(v[1])) for n in names for v in [brute_match(n, masters, normal)]}
+    if listed == 1500:
+        edited = spark.createDataFrame([(m + "ßñ",) for m in set(masters)], "norm string")
+        targets = spark.createDataFrame([(m, i) for i, m in enumerate(set(masters))], "norm string, pos long")
+        assert fuzzy.candidates(edited, targets, 90.0, [20], [18]).count() == len(set(masters))
+
+
 def test_empty_master(spark):
     master = spark.createDataFrame([], "pos long, master_vendor string")
     df = spark.createDataFrame([("Acme",)], "vendor string")
