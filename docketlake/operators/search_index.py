@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from docketlake.operators.documents import search_documents
 
 FIELDS = ("original_name", "vendor", "text")
-SLICE_ROWS, MOST_SLICES = 1000, 100_000  # rows of a slice, until there are that many slices
+SLICE_ROWS, MOST_SLICES = 10_000, 100_000  # rows of a slice, until there are that many slices
 RAREST = 4  # lists read for one search; those left out can only be less selective
-FLUSH = 4_000_000  # trigrams held by a task before it writes posting lists
+FLUSH = 1_000_000  # trigrams held by a task before it writes posting lists
 SLICE_BITS = 33  # a row's key is its slice followed by its place in it
 POSTINGS = "gram long, n int, keys array<long>"
 
@@ -40,7 +40,9 @@ def _lists(keys: list[int], grams: list[np.ndarray]) -> pa.RecordBatch:
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, grams, held = [], [], 0
     for batch in batches:
-        for key, *fields in zip(*(column.to_pylist() for column in batch.columns)):
+        # a batch may hold thousands of long texts, so its rows become Python's one by one
+        for at in range(batch.num_rows):
+            key, *fields = (column[at].as_py() for column in batch.columns)
             found = np.unique(np.concatenate([grams_of(f.decode("utf-8", "replace")) for f in fields if f] or [
                 np.array([], np.int64)]))
             keys.append(key)
