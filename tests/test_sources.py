@@ -154,3 +154,41 @@ def test_metadata_json(spark, tmp_path):
     told = json.loads(spark.read.text(str(tmp_path / "m")).first()["value"])
     assert told["document_type"] == "PO" and told["retention_category"] == "short_term"
     assert told["date_metadata"]["expiration_date"] == "2030-01-02" and told["tracking_id"].startswith("acme corp_PO_")
+
+
+def test_spread_deals_rows_not_partitions(spark, tmp_path, monkeypatch):
+    """A scan with many partitions, all rows in one of them, as of a file with one row group."""
+    from docketlake.sources import tables
+
+    monkeypatch.setattr(tables, "SPREAD_ROWS", 1000)
+    spark.range(20_000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    settings = {"spark.sql.files.maxPartitionBytes": "4000", "spark.sql.files.openCostInBytes": "1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        scan = spark.read.parquet(str(tmp_path / "one"))
+        assert scan.rdd.getNumPartitions() >= 4
+        sizes = tables.spread(scan).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(sizes) == 20_000 and max(sizes) <= 1500
+
+
+def test_wide_contracts_are_dealt_after_their_join(spark, tmp_path, monkeypatch):
+    from docketlake.plans.views import Data
+    from docketlake.sources import tables
+
+    monkeypatch.setattr(tables, "SPREAD_ROWS", 50)
+    spark.range(20).selectExpr(
+        "id as c_custkey", "concat('Customer#', id) as c_name", "cast(id % 5 as int) as c_nationkey",
+    ).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(1000).selectExpr(
+        "id as o_orderkey", "id % 20 as o_custkey", "'F' as o_orderstatus", "timestamp '1998-02-06 00:00:00' as o_orderdate",
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    data = Data(spark, str(tmp_path))
+    wide = data.wide.contracts
+    assert wide.rdd.getNumPartitions() == 21
+    assert wide.columns == data.contracts.columns
+    assert wide.exceptAll(data.contracts).isEmpty() and wide.count() == data.contracts.count() == 1000
