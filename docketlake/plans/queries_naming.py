@@ -236,8 +236,7 @@ def read_text_documents(d):
     """Texts written as files below one folder per source, and read back."""
     path = scratch(d.spark, "texts")
     texts = d.table("documents").select("source", F.expr("doc_id div 100").alias("part"), "doc_id", F.col("text").alias("value"))
-    texts.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id", "value").select(
-        "source", "part", "value").write.partitionBy("source", "part").text(path)
+    sinks.write_text_files(texts, path, "source", "part", ["doc_id", "value"])
     part = F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part")
     return file_sources.read_text_documents(d.spark, path).select("folder", part, F.md5("text").alias("text_md5"))
 

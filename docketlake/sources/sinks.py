@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docketlake.functions.naming import clean_filename, tracking_id
@@ -52,6 +57,55 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def write_text_files(rows: DataFrame, path: str, folder: str, name: str, order: list[str], value: str = "value") -> None:
+    """One text file for every pair of ``folder`` and ``name``, with a line for every row, in order.
+
+    On a local or mounted folder the tasks write ``folder=a/name=b.txt`` themselves.
+    Spark's writer would make a folder for each file, and Hadoop's local file system
+    several child processes (permissions, checksum) for each.  On other file systems
+    it is Spark's writer, with ``folder=a/name=b/`` around the file.
+    """
+    laid = rows.withColumn(folder, F.nullif(F.col(folder).cast("string"), F.lit(""))).repartition(folder, name).sortWithinPartitions(
+        folder, name, *order).select(folder, name, value)
+    root = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    if root.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        laid.write.partitionBy(folder, name).text(path)
+        return
+    target = root.toUri().getPath()
+    os.makedirs(target)
+
+    def named(key: str, part) -> str:
+        """As Spark names the folders of ``partitionBy``."""
+        if part is None:
+            return f"{key}=__HIVE_DEFAULT_PARTITION__"
+        return f"{key}=" + re.sub(r"""["#%'*/:=?\\\x01-\x1f\x7f{\[\]^]""", lambda c: f"%{ord(c[0]):02X}", str(part))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a file gets its name when it is whole; readers leave out names that begin with a dot
+        attempt, done, key, out = TaskContext.get().taskAttemptId(), 0, None, None
+
+        def finish() -> None:
+            out.close()
+            os.replace(out.name, f"{target}/{named(folder, key[0])}/{named(name, key[1])}.txt")
+
+        for batch in batches:
+            for *pair, text in zip(*batch.columns):
+                pair = tuple(part.as_py() for part in pair)
+                if out is None or pair != key:
+                    if out is not None:
+                        finish()
+                    key, done = pair, done + 1
+                    os.makedirs(f"{target}/{named(folder, key[0])}", exist_ok=True)
+                    out = open(f"{target}/{named(folder, key[0])}/.{named(name, key[1])}.{attempt}", "wb")
+                out.write((text.as_buffer() or b"") if text.is_valid else b"")
+                out.write(b"\n")
+        if out is not None:
+            finish()
+        yield pa.record_batch([pa.array([done], pa.int64())], names=["files"])
+
+    laid.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
 def result_location(doc_id: Column, filename: Column) -> Column:
     """Where the result of a document lives; the same for every run."""
     safe = F.regexp_replace(clean_filename(filename), r"\s+", "_")

@@ -192,3 +192,23 @@ def test_wide_contracts_are_dealt_after_their_join(spark, tmp_path, monkeypatch)
     assert wide.rdd.getNumPartitions() == 21
     assert wide.columns == data.contracts.columns
     assert wide.exceptAll(data.contracts).isEmpty() and wide.count() == data.contracts.count() == 1000
+
+
+def test_text_files_of_one_folder(spark, tmp_path):
+    """A file for every pair, its lines in order; a folder for every vendor and none for a file."""
+    rows = [("Acme", 1, 2, "b"), ("Acme", 1, 1, "a�"), ("Acme", 2, 3, None), ("a/b: c%", 1, 4, "x"), (None, 1, 5, "n"), ("", 1, 6, "e")]
+    rows += [("many", n // 10, n, f"line {n}") for n in range(3000)]
+    df = spark.createDataFrame(rows, "source string, part long, doc_id long, value string")
+    path = str(tmp_path / "texts")
+    sinks.write_text_files(df, path, "source", "part", ["doc_id", "value"])
+    found = {(r["folder"], r["original_name"]): r["text"] for r in files.read_text_documents(spark, path).collect()}
+    many = {("source=many", f"part={k}.txt"): "".join(f"line {n}\n" for n in range(10 * k, 10 * k + 10)) for k in range(300)}
+    assert found == many | {
+        ("source=Acme", "part=1.txt"): "a\nb\n", ("source=Acme", "part=2.txt"): "\n", ("source=a%2Fb%3A c%25", "part=1.txt"): "x\n",
+        ("source=__HIVE_DEFAULT_PARTITION__", "part=1.txt"): "n\ne\n"}
+    assert sorted(p.name for p in (tmp_path / "texts").iterdir()) == [
+        "source=Acme", "source=__HIVE_DEFAULT_PARTITION__", "source=a%2Fb%3A c%25", "source=many"]
+    assert not [p for p in (tmp_path / "texts").rglob("*") if p.is_dir() and p.parent.name.startswith("source=")]
+    # the same names as those of Spark's own writer
+    df.where("source = 'a/b: c%'").select("source", "value").write.partitionBy("source").text(str(tmp_path / "spark"))
+    assert [p.name for p in (tmp_path / "spark").glob("source=*")] == ["source=a%2Fb%3A c%25"]
