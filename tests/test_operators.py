@@ -425,3 +425,24 @@ def test_folded_corrections_equal_those_in_order(spark, monkeypatch):
             assert "MapInArrow" not in plan
         found.append(Counter(tuple(r) for r in checked.withColumn("fields", F.to_json("fields")).collect()))
     assert found[0] == found[1] == found[2] and sum(found[0].values()) == 300
+
+
+def test_corrections_are_joined_and_sorted_once(spark):
+    """The fold, the places and the states share one join with the documents and one sort; no generated method is too long."""
+    schema = (
+        "doc_id long, tenant_id long, document_type string, execution_status string, retention_category string, vendor string, "
+        "review_notes string, effective_date date, expiration_date date, renewal_date date, review_date date, "
+        "termination_date date, review_status string, reviewed_by_id long, reviewed_at timestamp"
+    )
+    docs = spark.createDataFrame([(1, 1, "MSA", "final", None, "Acme", None, date(2024, 5, 1), None, None, None, None, "needs_review", None, None)], schema)
+    patches = spark.createDataFrame([
+        (1, 2, 9, {"expiration_date": "2024-04-30"}), (1, 1, 9, {"vendor": "A", "mark_reviewed": "1"}), (1, 3, 9, {"expiration_date": "2024-06-30"}),
+        (None, 1, 9, {"vendor": "x"}),
+    ], "doc_id long, seq int, reviewer_id long, fields map<string,string>")
+    checked = corrections.checked_corrections(docs, patches)
+    found = sorted((r["seq"], r["error"], r["applied"], r["vendor"], r["expiration_date"]) for r in checked.collect() if r["doc_id"])
+    wrong = "expiration_date cannot be before effective_date"
+    assert found == [(1, None, 1, "Acme", None), (2, wrong, None, "A", None), (3, None, 2, "A", None)]
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
