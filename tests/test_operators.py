@@ -72,6 +72,51 @@ def test_names_that_are_nearly_alike(spark, monkeypatch, listed, group):
         assert fuzzy.candidates(edited, targets, 90.0, [20], [18]).count() == len(set(masters))
 
 
+def lcs(one, two):
+    row = [0] * (len(two) + 1)
+    for a in one:
+        above, row = row, [0]
+        for j, b in enumerate(two):
+            row.append(above[j] + 1 if a == b else max(above[j + 1], row[-1]))
+    return row[-1]
+
+
+@pytest.mark.parametrize("tree, walkers", [(20_000, 2000), (50, 2)])
+def test_crowded_names_walk_trees(spark, monkeypatch, tree, walkers):
+    """Names alike in all but a few digits share rare elements with every master; only masters with enough in common are met."""
+    monkeypatch.setattr(fuzzy, "TREE", tree)
+    monkeypatch.setattr(fuzzy, "WALKERS", walkers)
+    monkeypatch.setattr(fuzzy, "CROWD", 0)
+    masters = [f"customer {i * 7:09d}" for i in range(700)] + ["customer of none"]
+    names = [f"ucstomer {i * 70:09d} llu" for i in range(12)] + ["ucstomer 000000003 llu", "an entirely other name"]
+    targets = spark.createDataFrame([(m, i) for i, m in enumerate(masters)], "norm string, pos long")
+    asked = spark.createDataFrame([(n,) for n in names], "norm string")
+    for level in (85.0, 80.0):
+        met = {tuple(r) for r in fuzzy.by_elements(asked, targets, level, [(22, 18)]).collect()}
+        assert met == {(n, i) for n in names for i, m in enumerate(masters)
+                       if len(m) == 18 and lcs(n, m) >= fuzzy.needed(level, 22, 18)}
+
+
+def test_trees_are_walked_as_far_as_enough_can_be_shared():
+    rnd = random.Random(6)
+    for _ in range(200):
+        letters, size = rnd.choice(["ab", "abc ", "abcdéfgh"]), rnd.randint(1, 8)
+        texts = sorted({"".join(rnd.choices(letters, k=size)) for _ in range(30)})
+        root, asked = fuzzy.grown(zip(texts, texts)), "".join(rnd.choices(letters, k=rnd.randint(1, 9)))
+        for need in range(1, min(size, len(asked)) + 1):
+            assert sorted(fuzzy.reached(root, asked, size, need)) == [t for t in texts if lcs(t, asked) >= need]
+
+
+def test_matching_broadcasts_no_names(spark):
+    """Names compress so well that they look small; only frames of a few rows may be broadcast."""
+    masters = spark.createDataFrame([(f"customer {i:09d}", i) for i in range(20)], "norm string, pos long")
+    names = spark.createDataFrame([("customer 000000005ßñ",)], "norm string")
+    found = fuzzy.candidates(names, masters, 90.0, [20], [18])
+    done = vendors.match_vendors(names, masters.withColumnRenamed("norm", "master_vendor"), "norm")
+    for df in (found, done):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_master(spark):
     master = spark.createDataFrame([], "pos long, master_vendor string")
     df = spark.createDataFrame([("Acme",)], "vendor string")
