@@ -15,7 +15,7 @@ SLICE_ROWS, MOST_SLICES = 10_000, 100_000  # rows of a slice, until there are th
 RAREST = 4  # lists read for one search; those left out can only be less selective
 FLUSH = 1_000_000  # trigrams held by a task before it writes posting lists
 SLICE_BITS = 33  # a row's key is its slice followed by its place in it
-POSTINGS = "gram long, n int, keys array<long>"
+POSTINGS = "gram long, n int, first long, gaps binary"  # the first key, and what each further one adds
 
 
 def grams_of(text: str) -> np.ndarray:
@@ -24,17 +24,56 @@ def grams_of(text: str) -> np.ndarray:
     return np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:])
 
 
+def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of at least 0 in seven bits a byte, lowest first, the eighth on all but the last; the size of each."""
+    sizes = np.ones(len(values), np.int64)
+    for bits in range(7, 63, 7):
+        sizes += values >> bits > 0
+    starts, out = np.cumsum(sizes) - sizes, np.zeros(sizes.sum(), np.uint8)
+    for at in range(int(sizes.max(initial=0))):
+        some = sizes > at
+        out[starts[some] + at] = values[some] >> 7 * at & 127 | (sizes[some] > at + 1) * 128
+    return out, sizes
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The numbers of ``packed``."""
+    held = np.frombuffer(data, np.uint8)
+    if not len(held):
+        return np.array([], np.int64)
+    starts = np.flatnonzero(np.append(True, held[:-1] < 128))
+    place = np.arange(len(held)) - np.repeat(starts, np.diff(np.append(starts, len(held))))
+    return np.add.reduceat((held & 127).astype(np.int64) << 7 * place, starts)
+
+
 def _lists(keys: list[int], grams: list[np.ndarray]) -> pa.RecordBatch:
-    """One row per trigram with the keys of the rows it is in, in ascending order."""
+    """One row per trigram with the keys of the rows it is in, in ascending order.
+
+    A frequent trigram is in nearly every row, so most keys are one byte each, and alike.
+    """
     owner = np.repeat(np.array(keys, np.int64), [len(g) for g in grams])
     every = np.concatenate(grams) if grams else np.array([], np.int64)
     order = np.lexsort((owner, every))
     every, owner = every[order], owner[order]
     starts = np.flatnonzero(np.diff(every, prepend=-1))
-    ends = np.append(starts, len(every)).astype(np.int32)
+    counts = np.diff(np.append(starts, len(every)))
+    gaps = np.diff(owner, prepend=0)
+    later = np.ones(len(owner), bool)
+    later[starts] = False
+    data, sizes = packed(gaps[later])
+    upto = np.zeros(len(owner), np.int64)
+    upto[later] = sizes
+    ends = np.append(0, np.cumsum(upto)[np.append(starts[1:] - 1, len(owner) - 1)] if len(owner) else []).astype(np.int32)
+    lists = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
     return pa.RecordBatch.from_arrays(
-        [pa.array(every[starts]), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends), pa.array(owner))],
-        ["gram", "n", "keys"])
+        [pa.array(every[starts]), pa.array(counts.astype(np.int32)), pa.array(owner[starts]), lists], ["gram", "n", "first", "gaps"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of posting lists (first, gaps)."""
+    for batch in batches:
+        for first, gaps in zip(batch.column(0).to_pylist(), batch.column(1)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(np.append(first, unpacked(gaps.as_py()))))], ["key"])
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +99,9 @@ def write_index(df: DataFrame, path: str) -> None:
 
     Rows are dealt evenly to slices, a folder each, whatever their ids are.  A task
     lists the trigrams of its rows before the shuffle; lists of one trigram stay
-    apart, so one that every document has lies in many files.  Null fields list nothing.
+    apart, so one that every document has lies in many files.  Lists hold the distances
+    of keys in as few bytes as they need, so they are a small part of the texts' size
+    when they are dealt and stored.  Null fields list nothing.
     """
     slices = min(df.count() // SLICE_ROWS + 1, MOST_SLICES)
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
@@ -69,7 +110,7 @@ def write_index(df: DataFrame, path: str) -> None:
     keyed.withColumn("slice", _slice("key")).write.partitionBy("slice").parquet(f"{path}/rows")
     fields = [F.lower(f"row.{f}").cast("binary").alias(f) for f in FIELDS]
     lists = _rows(df.sparkSession, path).select("key", *fields).mapInArrow(_postings, POSTINGS)
-    lists.repartitionByRange("gram", F.col("keys")[0]).sortWithinPartitions("gram").write.parquet(f"{path}/postings")
+    lists.repartitionByRange("gram", "first").sortWithinPartitions("gram", "first").write.option("compression", "zstd").parquet(f"{path}/postings")
 
 
 def _slice(key: str) -> Column:
@@ -110,9 +151,9 @@ def candidates(spark: SparkSession, path: str, grams: list[int]) -> DataFrame:
     wanted = postings.where(F.col("gram").isin(grams)).groupBy("gram").agg(F.sum("n").alias("n"))
     often = {r["gram"]: r["n"] for r in wanted.collect()}  # no longer than the query
     if len(often) < len(grams):
-        return postings.where(F.lit(False)).select(F.explode("keys").alias("key"))
+        return postings.where(F.lit(False)).select(F.col("first").alias("key"))
     rarest = sorted(grams, key=lambda g: (often[g], g))[:RAREST]
-    each = postings.where(F.col("gram").isin(rarest)).select(F.explode("keys").alias("key"))
+    each = postings.where(F.col("gram").isin(rarest)).select("first", "gaps").mapInArrow(_keys, "key long")
     return each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(rarest)).select("key")
 
 

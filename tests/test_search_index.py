@@ -1,5 +1,8 @@
 """Indexed search against the scan of every text."""
 
+import random
+
+import numpy as np
 import pytest
 
 from docketlake.operators import search_index
@@ -68,3 +71,28 @@ def test_reads_only_slices_with_candidates(spark, tmp_path, monkeypatch):
     assert "PartitionFilters: [isnotnull(slice" in plan or "PartitionFilters: [(slice" in plan
     assert search_index.search_index(spark, path, "number").count() == 200
     assert rows_of(search_index.search_index(spark, path, "<1_7>")) == rows_of(search_documents(df, "<1_7>"))
+
+
+def test_distances_of_keys_take_few_bytes():
+    rnd = random.Random(3)
+    values = np.array([0, 1, 127, 128, 16_383, 16_384, 2**33, 2**62] + [rnd.randrange(2 ** rnd.randint(1, 62)) for _ in range(500)], np.int64)
+    data, sizes = search_index.packed(values)
+    assert sizes[:6].tolist() == [1, 1, 1, 2, 2, 3]
+    assert search_index.unpacked(data.tobytes()).tolist() == values.tolist()
+    assert search_index.unpacked(b"").tolist() == []
+    keys = [5, 7, 1 << search_index.SLICE_BITS, (1 << search_index.SLICE_BITS) + 300]
+    lists = search_index._lists(keys, [search_index.grams_of(t) for t in ("abcd", "bcde", "abcd", "abc")])
+    found = {gram: np.cumsum(np.append(first, search_index.unpacked(gaps))).tolist() for gram, first, gaps in zip(
+        *(lists.column(c).to_pylist() for c in ("gram", "first", "gaps")))}
+    assert found == {search_index.grams_of("abc")[0]: [keys[0], keys[2], keys[3]],
+                     search_index.grams_of("bcd")[0]: keys[:3], search_index.grams_of("cde")[0]: [keys[1]]}
+    assert dict(zip(lists.column("gram").to_pylist(), lists.column("n").to_pylist())) == {g: len(k) for g, k in found.items()}
+
+
+def test_posting_lists_are_smaller_than_their_keys(spark, tmp_path):
+    df = spark.range(3000).selectExpr(
+        "id as doc_id", "'name' as original_name", "'vendor' as vendor", "concat('document number ', id % 97, ' of the archive') as text")
+    search_index.write_index(df, str(tmp_path / "index"))
+    listed = spark.read.parquet(str(tmp_path / "index" / "postings"))
+    assert listed.selectExpr("sum(n)").first()[0] > 100_000
+    assert sum(f.stat().st_size for f in (tmp_path / "index" / "postings").glob("*.parquet")) < 50_000
